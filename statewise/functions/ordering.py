@@ -20,7 +20,7 @@ from statewise.functions.hashing import digest
 ROWS_PER_BUCKET = 1_000_000
 FAN_OUT = 32  # two levels of 32 give 1,024 buckets per large group
 _CUTS = FAN_OUT * FAN_OUT - 1
-_FRACTIONS = "array(" + ",".join(f"{(i + 1) / (_CUTS + 1)!r}d" for i in range(_CUTS)) + ")"
+_FRACTIONS = "cast(split('" + ",".join(repr((i + 1) / (_CUTS + 1)) for i in range(_CUTS)) + "', ',') as array<double>)"
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -80,17 +80,28 @@ def prefix_sums(
     )
 
 
+def running_extreme(df: DataFrame, by: Sequence[str], value: str, measures: Mapping[str, str], largest: bool,
+                    descending: bool, limit: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Running minimum or maximum of each measure, this row included.
+
+    ``measures`` maps input to output columns; ``descending`` runs from the
+    largest value down.
+    """
+    cut = _cut(df, by, value, limit)
+    pick, merge = (F.max, F.greatest) if largest else (F.min, F.least)
+    order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    earlier = Window.partitionBy(*by).orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut.groupBy(*by, "__b").agg(*[pick(m).alias(f"__m_{m}") for m in measures])
+    cells = cells.select(*by, "__b", *[pick(f"__m_{m}").over(earlier).alias(f"__m_{m}") for m in measures])
+    local = Window.partitionBy(*by, "__b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(cells, [*by, "__b"]).select(
+        *df.columns, *[merge(pick(m).over(local), F.col(f"__m_{m}")).alias(out) for m, out in measures.items()])
+
+
 def suffix_min(df: DataFrame, by: Sequence[str], value: str, measure: str, out: str,
                limit: int = ROWS_PER_BUCKET) -> DataFrame:
     """Minimum of ``measure`` over this and all larger values of the group."""
-    cut = _cut(df, by, value, limit)
-    later = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    tails = cut.groupBy(*by, "__b").agg(F.min(measure).alias("__m"))
-    tails = tails.select(*by, "__b", F.min("__m").over(later).alias("__m"))
-    local = Window.partitionBy(*by, "__b").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(tails, [*by, "__b"]).select(
-        *df.columns, F.least(F.min(measure).over(local), F.col("__m")).alias(out)
-    )
+    return running_extreme(df, by, value, {measure: out}, largest=False, descending=True, limit=limit)
 
 
 def tie_groups(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
