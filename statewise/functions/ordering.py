@@ -5,7 +5,9 @@ state, a family, the whole table) holds a large share of all rows. Here a group
 above ``ROWS_PER_BUCKET`` rows is cut into ordered buckets at approximate
 quantiles; each bucket is sorted on its own and shifted by the total of the
 buckets before it. Results are exact: the sketch only places the cuts. Groups
-below the limit keep a single bucket and behave like a plain window.
+below the limit keep a single bucket and behave like a plain window. When
+Catalyst's own size estimate says that the whole input is small, the plain
+window is used at once; both forms give the same rows.
 """
 
 from __future__ import annotations
@@ -20,9 +22,21 @@ from statewise.functions.hashing import digest
 ROWS_PER_BUCKET = 1_000_000
 FAN_OUT = 32  # two levels of 32 give 1,024 buckets per large group
 _CUTS = FAN_OUT * FAN_OUT - 1
+ONE_TASK_BYTES = 64 << 20
 _FRACTIONS = "cast(split('" + ",".join(repr((i + 1) / (_CUTS + 1)) for i in range(_CUTS)) + "', ',') as array<double>)"
 
 
+def fits_one_task(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> bool:
+    """Whether the planner's size estimate bounds every group of ``df``.
+
+    Estimates come from file sizes and multiply over joins, so they err on the
+    large side. ``limit`` other than the default asks for the bucketed form.
+    """
+    if limit != ROWS_PER_BUCKET:
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_TASK_BYTES
+
+
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of an aggregate that has exactly one row."""
     return df.crossJoin(F.broadcast(one_row))
@@ -72,6 +86,9 @@ def prefix_sums(
 
     ``df`` holds one row per (group, value), so ties are already merged.
     """
+    if fits_one_task(df, limit):
+        before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"before_{m}") for m in measures])
     cut = _shift(_cut(df, by, value, limit), by, ["__b"], {m: F.col(m) for m in measures})
     local = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return cut.select(
@@ -87,9 +104,12 @@ def running_extreme(df: DataFrame, by: Sequence[str], value: str, measures: Mapp
     ``measures`` maps input to output columns; ``descending`` runs from the
     largest value down.
     """
-    cut = _cut(df, by, value, limit)
     pick, merge = (F.max, F.greatest) if largest else (F.min, F.least)
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    if fits_one_task(df, limit):
+        so_far = Window.partitionBy(*by).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[pick(m).over(so_far).alias(out) for m, out in measures.items()])
+    cut = _cut(df, by, value, limit)
     earlier = Window.partitionBy(*by).orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)
     cells = cut.groupBy(*by, "__b").agg(*[pick(m).alias(f"__m_{m}") for m in measures])
     cells = cells.select(*by, "__b", *[pick(f"__m_{m}").over(earlier).alias(f"__m_{m}") for m in measures])
@@ -112,6 +132,10 @@ def tie_groups(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def rank_average(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Average rank (ties share the mean of their positions); NULL stays NULL."""
+    if fits_one_task(df, ROWS_PER_BUCKET):
+        lower = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
+        return df.select("*", F.when(F.col(value).isNotNull(), lower + (ties - 1) / 2.0).alias(out))
     ranks = tie_groups(df, by, value).select(
         *by, value, (F.col("before_ties") + (F.col("ties") + 1) / 2.0).alias(out)
     )
@@ -133,6 +157,11 @@ def rank_first(
     tasks: its rows split by hash prefix and keep the same total order.
     """
     work = df.withColumn("__h", digest(*[F.col(k) for k in key]))
+    if fits_one_task(df, limit):
+        whole = Window.partitionBy(*by)
+        position = F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last(), "__h", *key)).cast("bigint")
+        size = [F.count(value).over(whole).alias(n_out)] if n_out else []
+        return work.select(*df.columns, F.when(F.col(value).isNotNull(), position).alias(out), *size)
     work = _cut(work, by, value, limit)
     prefix = F.conv(F.substring("__h", 1, 2), 16, 10).cast("int")
     present = F.col(value).isNotNull()
@@ -177,6 +206,9 @@ def exact_quantiles(
     Only the buckets that hold a wanted position are sorted.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    if fits_one_task(rows, limit):
+        found = rows.groupBy(*by).agg(*[F.percentile("__v", float(p)).alias(n) for n, p in probs.items()])
+        return found
     cut = _cut(rows, by, "__v", limit)
     counts = cut.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 _ERFC = np.vectorize(math.erfc, otypes=[float])
@@ -80,19 +81,19 @@ def _nullable(values, missing) -> pd.Series:
     return pd.Series(np.where(missing, np.nan, values)).replace({np.nan: None}).astype("object")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     x = z.to_numpy(dtype=float)
     return _nullable(_ERFC(np.abs(np.nan_to_num(x)) / math.sqrt(2.0)), np.isnan(x))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_upper(z: pd.Series) -> pd.Series:
     x = z.to_numpy(dtype=float)
     return _nullable(0.5 * _ERFC(np.nan_to_num(x) / math.sqrt(2.0)), np.isnan(x))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     x, n = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
     missing = np.isnan(x) | np.isnan(n) | ~(n > 0)
@@ -100,7 +101,7 @@ def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(incomplete_beta(n / 2.0, 0.5, n / (n + x * x)), missing)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi_square_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     v, n = x.to_numpy(dtype=float), df.to_numpy(dtype=float)
     missing = np.isnan(v) | np.isnan(n) | ~(n > 0)
