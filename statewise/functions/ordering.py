@@ -243,3 +243,19 @@ def exact_quantiles(
 
 def median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") -> DataFrame:
     return exact_quantiles(df, by, value, {out: 0.5})
+
+
+def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of the sample in which each value is repeated ``weight`` times."""
+    ties = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
+    totals = ties.groupBy(*by).agg(F.sum("__w").alias("__n"))
+    cum = attach(prefix_sums(ties, by, value, ["__w"]), totals, by)
+    picks, out = [], []
+    for name, p in probs.items():
+        spot = (F.col("__n") - 1) * F.lit(float(p))
+        for side, place in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+            inside = (place >= F.col("before___w")) & (place < F.col("before___w") + F.col("__w"))
+            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{name}_{side}"))
+        low, high = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+    return cum.groupBy(*by).agg(F.max("__n").alias("__n"), *picks).select(*by, *out)

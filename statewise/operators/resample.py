@@ -1 +1,353 @@
-"""placeholder"""
+"""Replicated resampling: bootstraps, permutations, flips, rewiring, multiplicity.
+
+The replicate is a column, so all replicates run in one plan. Draws are hashes
+of (seed, group, replicate, unit), hence independent of partitioning and stable
+when a task is run again. The resampled unit is always the independent cluster.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from statewise.functions.hashing import digest, draw, normal, replicates, sign_draw
+from statewise.functions.ordering import (
+    attach,
+    attach_scalar,
+    exact_quantiles,
+    fits_one_task,
+    hash_rank,
+    prefix_sums,
+    suffix_min,
+    unit_index,
+    weighted_quantiles,
+)
+from statewise.functions.tails import normal_two_sided
+from statewise.session import cut_lineage
+
+
+# bootstraps
+
+def bootstrap_draws(units: DataFrame, by: Sequence[str], count: int, seed: int) -> DataFrame:
+    """(by, replicate, idx): one drawn unit number per slot. ``units`` has idx and n_units."""
+    slots = units.select(*by, "idx", "n_units", F.explode(replicates(count)).alias("replicate"))
+    picked = draw(F.col("n_units"), seed, *[F.col(c) for c in by], F.col("replicate"), F.col("idx"))
+    return slots.select(*by, "replicate", picked.alias("idx"))
+
+
+def bootstrap_sums(df: DataFrame, by: Sequence[str], cluster: str, measures: Mapping[str, Column], count: int, seed: int) -> DataFrame:
+    """Sums of the measures over resampled clusters, one row per replicate.
+
+    Rows collapse to one row per cluster first; replicates never touch rows.
+    """
+    per = df.groupBy(*by, cluster).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+    units = unit_index(per, [cluster], by)
+    drawn = bootstrap_draws(units, by, count, seed)
+    return drawn.join(units.select(*by, "idx", *measures), [*by, "idx"]).groupBy(*by, "replicate").agg(
+        *[F.sum(m).alias(m) for m in measures])
+
+
+def bootstrap_rows(df: DataFrame, by: Sequence[str], cluster: str, count: int, seed: int) -> DataFrame:
+    """Rows with a replicate and the number of times their cluster was drawn."""
+    units = unit_index(df.select(*by, cluster).distinct(), [cluster], by)
+    weights = bootstrap_draws(units, by, count, seed).groupBy(*by, "replicate", "idx").agg(F.count(F.lit(1)).alias("weight"))
+    named = weights.join(units.select(*by, cluster, "idx"), [*by, "idx"]).drop("idx")
+    return named.join(df, [*by, cluster])
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, statistic: str = "median", count: int = 2000, seed: int = 20260912,
+                      by: Sequence[str] = (), prob: float = 0.5) -> DataFrame:
+    """Bootstrap draws of the mean, median or a quantile: (by, replicate, value)."""
+    rows = df.filter(F.col(value).isNotNull())
+    if statistic == "mean":
+        sums = bootstrap_sums(rows, by, cluster, {"s": F.col(value), "c": F.lit(1)}, count, seed)
+        return sums.select(*by, "replicate", (F.col("s") / F.col("c")).alias("value"))
+    slim = rows.groupBy(*by, cluster, value).agg(F.count(F.lit(1)).alias("__c"))
+    drawn = bootstrap_rows(slim, by, cluster, count, seed).withColumn("__w", F.col("weight") * F.col("__c"))
+    return weighted_quantiles(drawn, [*by, "replicate"], value, "__w", {"value": 0.5 if statistic == "median" else prob})
+
+
+def interval(draws: DataFrame, by: Sequence[str] = (), value: str = "value", level: float = 0.95) -> DataFrame:
+    """Percentile interval; a group holds one row per replicate."""
+    tail = (1 - level) / 2
+    return draws.groupBy(*by).agg(F.percentile(value, tail).alias("ci_low"), F.percentile(value, 1 - tail).alias("ci_high"))
+
+
+def ratio_bootstrap(df: DataFrame, cluster: str, total: str, size: str, count: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Draws of sum(total)/sum(size) over resampled clusters."""
+    sums = bootstrap_sums(df, by, cluster, {"t": F.col(total), "n": F.col(size)}, count, seed)
+    return sums.select(*by, "replicate", F.try_divide(F.col("t"), F.col("n").cast("double")).alias("value"))
+
+
+def paired_metric_bootstrap(df: DataFrame, cluster: str, y: str, a: str, b: str, metric: str, count: int, seed: int) -> DataFrame:
+    """Draws of metric(a) - metric(b) for r2, brier, auroc or average_precision."""
+    if metric in ("r2", "brier"):
+        yy, ea, eb = F.col(y).cast("double"), F.pow(F.col(y) - F.col(a), F.lit(2)), F.pow(F.col(y) - F.col(b), F.lit(2))
+        s = bootstrap_sums(df, [], cluster, {"n": F.lit(1), "sy": yy, "syy": yy * yy, "ea": ea, "eb": eb}, count, seed)
+        if metric == "brier":
+            value = F.col("ea") / F.col("n") - F.col("eb") / F.col("n")
+        else:
+            value = F.try_divide(F.col("eb") - F.col("ea"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+        return s.select("replicate", value.alias("value"))
+    from statewise.operators.metrics import auroc, average_precision
+
+    rows = bootstrap_rows(df.select(cluster, y, a, b), [], cluster, count, seed)
+    f = auroc if metric == "auroc" else average_precision
+    left = f(rows, ["replicate"], y, a, "weight", "ma")
+    right = f(rows, ["replicate"], y, b, "weight", "mb")
+    return left.join(right, "replicate").select("replicate", (F.col("ma") - F.col("mb")).alias("value"))
+
+
+def multiplier_bootstrap(df: DataFrame, by: Sequence[str], cluster: str, value: str, count: int, seed: int) -> DataFrame:
+    """Mean of cluster means plus se times a normal draw; groups below two clusters give NULL."""
+    means = df.groupBy(*by, cluster).agg(F.avg(value).alias("m"))
+    stats = means.groupBy(*by).agg(F.avg("m").alias("estimate"), (F.stddev_samp("m") / F.sqrt(F.count("m"))).alias("se"), F.count("m").alias("clusters"))
+    drawn = stats.select("*", F.explode(replicates(count)).alias("replicate"))
+    z = normal(seed, *[F.col(c) for c in by], F.col("replicate"))
+    ci = interval(drawn.select(*by, "estimate", "se", "clusters", (F.col("estimate") + F.col("se") * z).alias("value")), [*by, "estimate", "se", "clusters"])
+    return ci.withColumn("p_value", normal_two_sided(F.try_divide(F.col("estimate"), F.col("se"))))
+
+
+# permutations
+
+def permuted_values(df: DataFrame, strata: Sequence[str], key: Sequence[str], values: Sequence[str], count: int, seed: int,
+                    minimum: int = 1) -> DataFrame:
+    """Every replicate's uniform reassignment of values inside the strata.
+
+    The r-th row in hash order gives its values to the r-th row in key order.
+    Strata below ``minimum`` rows stay fixed.
+    """
+    base = unit_index(df.select(*strata, *key, *values), key, strata, "slot", "n")
+    moved = base.select(*strata, *key, *values, "n", F.explode(replicates(count)).alias("replicate"))
+    hashed = F.when(F.col("n") >= minimum, digest(seed, F.col("replicate"), *[F.col(k) for k in key])).otherwise(digest(*[F.col(k) for k in key]))
+    donors = hash_rank(moved.withColumn("__h", hashed), [*strata, "replicate"], "__h", key, "slot", size="n")
+    takers = base.select(*strata, *key, "slot")
+    return takers.join(donors.select(*strata, "replicate", "slot", *values), [*strata, "slot"]).drop("slot")
+
+
+def stratified_permutation(df: DataFrame, strata: Sequence[str], key: Sequence[str], value: str, statistic, count: int, seed: int) -> DataFrame:
+    """Null draws: ``statistic(permuted, by)`` on values shuffled inside strata."""
+    others = [c for c in df.columns if c not in (*strata, *key, value)]
+    shuffled = permuted_values(df, strata, key, [value], count, seed)
+    if others:
+        shuffled = shuffled.join(df.select(*strata, *key, *others), [*strata, *key])
+    return statistic(shuffled, ["replicate"])
+
+
+def bundle_permutation(units: DataFrame, unit: str, stratum: str, count: int, seed: int, minimum: int = 5) -> DataFrame:
+    """Whole-unit reassignment: (replicate, unit, donor) with all states moving together."""
+    named = units.select(stratum, unit, F.col(unit).alias("donor"))
+    return permuted_values(named, [stratum], [unit], ["donor"], count, seed, minimum)
+
+
+def check_bundles(mapping: DataFrame, units: DataFrame, unit: str, stratum: str) -> DataFrame:
+    """Per replicate: units, distinct donors and stratum changes (must be equal, equal, 0)."""
+    home = units.select(F.col(unit).alias("donor"), F.col(stratum).alias("donor_stratum"))
+    return mapping.join(home, "donor").groupBy("replicate", "donor").agg(
+        F.count(F.lit(1)).alias("uses"), F.max((F.col(stratum) != F.col("donor_stratum")).cast("int")).alias("moved"),
+    ).groupBy("replicate").agg(F.sum("uses").alias("units"), F.count(F.lit(1)).alias("distinct_donors"), F.sum("moved").alias("stratum_changes"))
+
+
+def sign_flip_null(df: DataFrame, unit: str, value: str, count: int, seed: int, statistic: str = "mean", by: Sequence[str] = (), x: str | None = None) -> DataFrame:
+    """Null draws of the mean, median or through-origin slope under random unit signs."""
+    flipped = df.filter(F.col(value).isNotNull()).select("*", F.explode(replicates(count)).alias("replicate"))
+    signed = flipped.withColumn("__v", F.col(value) * sign_draw(seed, F.col("replicate"), F.col(unit)))
+    keys = [*by, "replicate"]
+    if statistic == "median":
+        return exact_quantiles(signed, keys, "__v", {"value": 0.5})
+    if statistic == "slope":
+        return signed.groupBy(*keys).agg((F.sum(F.col(x) * F.col("__v")) / F.sum(F.col(x) * F.col(x))).alias("value"))
+    return signed.groupBy(*keys).agg(F.avg("__v").alias("value"))
+
+
+def swap_null(df: DataFrame, cluster: str, y: str, a: str, b: str, count: int, seed: int, metric: str = "brier") -> DataFrame:
+    """Null of metric(a) - metric(b) when predictions swap for random clusters.
+
+    For Brier a swap only changes the sign of the cluster's loss difference.
+    """
+    if metric == "brier":
+        loss = F.pow(F.col(y) - F.col(a), F.lit(2)) - F.pow(F.col(y) - F.col(b), F.lit(2))
+        per = df.groupBy(cluster).agg(F.sum(loss).alias("d"), F.count(F.lit(1)).alias("n"))
+        s = per.select("d", "n", cluster, F.explode(replicates(count)).alias("replicate"))
+        return s.groupBy("replicate").agg((F.sum(F.col("d") * sign_draw(seed, F.col("replicate"), F.col(cluster))) / F.sum("n")).alias("value"))
+    from statewise.operators.metrics import auroc, average_precision
+
+    rows = df.select(cluster, y, a, b, F.explode(replicates(count)).alias("replicate"))
+    swap = draw(2, seed, F.col("replicate"), F.col(cluster)) == 1
+    rows = rows.select("replicate", y, F.when(swap, F.col(b)).otherwise(F.col(a)).alias("__a"), F.when(swap, F.col(a)).otherwise(F.col(b)).alias("__b"))
+    f = auroc if metric == "auroc" else average_precision
+    return f(rows, ["replicate"], y, "__a", None, "ma").join(f(rows, ["replicate"], y, "__b", None, "mb"), "replicate").select(
+        "replicate", (F.col("ma") - F.col("mb")).alias("value"))
+
+
+def degree_matched_draw(rows: DataFrame, strata: Sequence[str], key: Sequence[str], values: Sequence[str], count: int, seed: int) -> DataFrame:
+    """Replace each row by a random row of its stratum, with replacement."""
+    base = unit_index(rows.select(*strata, *key, *values), key, strata, "slot", "n")
+    asked = base.select(*strata, *key, "n", F.explode(replicates(count)).alias("replicate"))
+    asked = asked.withColumn("slot", draw(F.col("n"), seed, F.col("replicate"), *[F.col(k) for k in key])).drop("n")
+    return asked.join(base.select(*strata, "slot", *values), [*strata, "slot"]).drop("slot")
+
+
+def feature_row_permutation(df: DataFrame, strata: Sequence[str], unit: str, features: Sequence[str], y: str, count: int, seed: int,
+                            alpha: float = 1.0) -> DataFrame:
+    """Permute the whole feature block inside strata and refit a ridge per
+    replicate; returns the in-sample R2 of each refit."""
+    from statewise.operators.regression import ridge_r2
+
+    moved = permuted_values(df, strata, [unit], features, count, seed)
+    return ridge_r2(moved.join(df.select(unit, y), unit), ["replicate"], features, y, alpha)
+
+
+def random_abstention_null(df: DataFrame, key: str, error: str, coverages: Sequence[float], count: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Mean error of random subsets without replacement, per coverage and replicate."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rows = attach(df.select(*by, key, error), sizes, by).select("*", F.explode(replicates(count)).alias("replicate"))
+    rows = hash_rank(rows.withColumn("__h", digest(seed, F.col("replicate"), F.col(key))), [*by, "replicate"], "__h", [key], "pos", size="n")
+    kept = rows.select(*by, "replicate", "n", "pos", error, F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage"))
+    kept = kept.filter(F.col("pos") < F.greatest(F.ceil(F.col("n") * F.col("coverage")), F.lit(1)))
+    return kept.groupBy(*by, "coverage", "replicate").agg(F.avg(error).alias("value"), F.count(F.lit(1)).alias("selected"))
+
+
+def condition_switch_null(df: DataFrame, unit: str, state: str, value: str, count: int, seed: int) -> DataFrame:
+    """Median within-unit range when values are reassigned inside each state."""
+    moved = permuted_values(df.select(unit, state, value), [state], [unit], [value], count, seed)
+    ranges = moved.groupBy("replicate", unit).agg((F.max(value) - F.min(value)).alias("__r"))
+    return exact_quantiles(ranges, ["replicate"], "__r", {"value": 0.5})
+
+
+# rewiring
+
+def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds: int, seed: int) -> DataFrame:
+    """Degree-preserving rewiring of a simple directed graph, all replicates at once.
+
+    Each round pairs edges by hash order inside a replicate and proposes
+    (a,d),(c,b). A pair is kept only when both proposals are no self edge, occur
+    once in the round and are not present already; so every in- and out-degree
+    and simplicity survive. Lineage is cut after each round.
+    """
+    current = edges.select(F.col(source).alias("a"), F.col(target).alias("b"), F.explode(replicates(count)).alias("replicate"))
+    sizes = edges.agg(F.count(F.lit(1)).alias("n"))
+    for i in range(rounds):
+        hashed = attach_scalar(current, sizes).withColumn("h", digest(seed, i, F.col("replicate"), F.col("a"), F.col("b")))
+        placed = hash_rank(hashed, ["replicate"], "h", ["a", "b"], "pos", size="n")
+        pairs = placed.groupBy("replicate", F.floor(F.col("pos") / 2).alias("pair")).agg(
+            F.min_by(F.struct("a", "b"), "pos").alias("e"), F.max_by(F.struct("a", "b"), "pos").alias("f"), F.count(F.lit(1)).alias("k"))
+        swapped = pairs.select("replicate", "pair", "e", "f", "k", F.explode(F.array(
+            F.struct(F.col("e.a").alias("a"), F.col("f.b").alias("b")), F.struct(F.col("f.a").alias("a"), F.col("e.b").alias("b")))).alias("x"))
+        swapped = swapped.select("replicate", "pair", "k", "x.a", "x.b")
+        once = swapped.groupBy("replicate", "a", "b").agg(F.count(F.lit(1)).alias("times"), F.max("pair").alias("pair"), F.max("k").alias("k"))
+        fresh = once.filter((F.col("times") == 1) & (F.col("k") == 2) & (F.col("a") != F.col("b"))).join(
+            current, ["replicate", "a", "b"], "left_anti")
+        good = fresh.groupBy("replicate", "pair").agg(F.count(F.lit(1)).alias("c")).filter("c = 2").select("replicate", "pair")
+        judged = pairs.join(good.withColumn("ok", F.lit(True)), ["replicate", "pair"], "left")
+        keep = F.when(F.col("k") == 1, F.array("e")).otherwise(F.array("e", "f"))
+        swap = F.array(F.struct(F.col("e.a").alias("a"), F.col("f.b").alias("b")), F.struct(F.col("f.a").alias("a"), F.col("e.b").alias("b")))
+        current = cut_lineage(judged.select("replicate", F.explode(F.when(F.col("ok"), swap).otherwise(keep)).alias("x")).select("replicate", "x.a", "x.b"))
+    return current.select("replicate", F.col("a").alias(source), F.col("b").alias(target))
+
+
+def rewiring_report(rewired: DataFrame, edges: DataFrame, source: str, target: str, reference: DataFrame) -> DataFrame:
+    """Per replicate: edges, edges changed, degree errors (must be 0) and overlap with a reference set."""
+    marked = rewired.join(edges.select(source, target).withColumn("__same", F.lit(1)), [source, target], "left")
+    marked = marked.join(reference.select(source, target).distinct().withColumn("__ref", F.lit(1)), [source, target], "left")
+    base = marked.groupBy("replicate").agg(
+        F.count(F.lit(1)).alias("edges"), F.sum(F.col("__same").isNull().cast("bigint")).alias("changed"), F.coalesce(F.sum("__ref"), F.lit(0)).alias("reference_overlap"))
+    wrong = None
+    for side in (source, target):
+        then = edges.groupBy(side).agg(F.count(F.lit(1)).alias("d0"))
+        now = rewired.groupBy("replicate", side).agg(F.count(F.lit(1)).alias("d1"))
+        bad = now.join(then, side, "left").groupBy("replicate").agg(F.sum((~F.col("d0").eqNullSafe(F.col("d1"))).cast("bigint")).alias(f"wrong_{side}"))
+        wrong = bad if wrong is None else wrong.join(bad, "replicate")
+    return base.join(wrong, "replicate")
+
+
+# p-values and multiplicity
+
+def permutation_p(null: DataFrame, observed: DataFrame, by: Sequence[str] = (), tail: str = "upper", tol: float = 1e-12,
+                  value: str = "value", expected: int | None = None) -> DataFrame:
+    """(1 + hits) / (R + 1) against ``observed(by, observed)``.
+
+    Tails: upper, lower, absolute, two_min (twice the smaller tail), centred
+    (bootstrap draws around the estimate) and median_centred. When a scheduled
+    replicate is undefined the slot is unavailable: p is NULL.
+    """
+    j = attach(null, observed, by)
+    if tail == "median_centred":
+        j = attach(j, null.groupBy(*by).agg(F.percentile(value, 0.5).alias("__mid")), by)
+    v, o = F.col(value), F.col("observed")
+    hit = {
+        "upper": v >= o - tol, "lower": v <= o + tol, "absolute": F.abs(v) >= F.abs(o) - tol,
+        "centred": F.abs(v - o) >= F.abs(o) - tol,
+    }
+    if tail == "median_centred":
+        hit[tail] = F.abs(v - F.col("__mid")) >= F.abs(o - F.col("__mid")) - tol
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    r = F.count(value)
+    share = lambda c: (1 + n(c)) / (r + 1)
+    p = F.least(F.lit(1.0), 2 * F.least(share(hit["upper"]), share(hit["lower"]))) if tail == "two_min" else share(hit[tail])
+    scheduled = F.lit(expected) if expected is not None else F.count(F.lit(1))
+    return j.groupBy(*by).agg(F.first("observed").alias("observed"), r.alias("finite_replicates"),
+                              F.when((r == scheduled) & F.first("observed").isNotNull(), p).alias("p_value"))
+
+
+def bh_adjust(df: DataFrame, p: str, family: Sequence[str] = (), m: int | None = None, out: str = "q") -> DataFrame:
+    """Benjamini-Hochberg inside each family; NULL p is skipped and not counted.
+
+    ``m`` fixes the family size. Equal p-values merge first, and the running
+    minimum from the tail is taken over ordered buckets.
+    """
+    size = F.lit(m) if m is not None else None
+    if fits_one_task(df):
+        w = Window.partitionBy(*family)
+        raw = F.col(p) * (size if size is not None else F.count(p).over(w)) / F.count(p).over(w.orderBy(F.col(p).asc_nulls_last()))
+        work = df.withColumn("__q", F.when(F.col(p).isNotNull(), raw))
+        low = F.min("__q").over(w.orderBy(F.col(p).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+        return work.withColumn(out, F.when(F.col(p).isNotNull(), F.least(low, F.lit(1.0)))).drop("__q")
+    ties = df.filter(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("ties"))
+    cum = prefix_sums(ties, family, p, ["ties"])
+    if size is None:
+        cum = attach(cum, ties.groupBy(*family).agg(F.sum("ties").alias("__m")), family)
+        size = F.col("__m")
+    raw = cum.select(*family, p, (F.col(p) * size / (F.col("before_ties") + F.col("ties"))).alias("__raw"))
+    low = suffix_min(raw, family, p, "__raw", "__low").select(*family, p, F.least("__low", F.lit(1.0)).alias(out))
+    return df.join(low, [*family, p], "left").select(*df.columns, out)
+
+
+# leave-one-out
+
+def leave_one_out(df: DataFrame, unit: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean without each unit and its change, from totals minus unit sums."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("c"))
+    total = per.groupBy(*by).agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
+    j = attach(per, total, by)
+    without = F.try_divide(F.col("ts") - F.col("s"), (F.col("tc") - F.col("c")).cast("double"))
+    return j.select(*by, unit, without.alias("estimate_without"), (without - F.col("ts") / F.col("tc")).alias("change"))
+
+
+def leave_one_group_out(df: DataFrame, null: DataFrame, group: str, hit: str, count_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Drop each group (e.g. chromosome) from an observed fraction *and* from
+    its null draws, with frozen mappings.
+
+    ``df`` (by, group, hit, count) and ``null`` (by, replicate, group, hit,
+    count) hold sums per group, so dropping a group is a subtraction.
+    """
+    def without(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+        per = sums.groupBy(*keys, group).agg(F.sum(hit).alias("h"), F.sum(count_col).alias("c"))
+        total = per.groupBy(*keys).agg(F.sum("h").alias("th"), F.sum("c").alias("tc"))
+        return attach(per, total, keys).select(*keys, group, F.try_divide((F.col("th") - F.col("h")).cast("double"), (F.col("tc") - F.col("c")).cast("double")).alias("value"),
+                                               (F.col("th") / F.col("tc")).alias("full"), (F.col("tc") - F.col("c")).alias("denominator"))
+
+    observed = without(df, by)
+    p = permutation_p(without(null, [*by, "replicate"]), observed.select(*by, group, F.col("value").alias("observed")), [*by, group])
+    return observed.join(p, [*by, group]).select(*by, group, F.col("value").alias("estimate"), "full", (F.col("value") - F.col("full")).alias("difference"),
+                                                 "denominator", "finite_replicates", "p_value")
+
+
+def draw_summary(draws: DataFrame, by: Sequence[str], expected: int, value: str = "value") -> DataFrame:
+    """Interval, median and mean of the draws with finite-replicate accounting."""
+    s = draws.groupBy(*by).agg(
+        F.count(value).alias("finite_replicates"), F.avg(value).alias("null_mean"), F.percentile(value, 0.5).alias("null_median"),
+        F.percentile(value, 0.025).alias("ci_low"), F.percentile(value, 0.975).alias("ci_high"))
+    return s.withColumn("status", F.when(F.col("finite_replicates") == expected, "complete").otherwise("unavailable"))
