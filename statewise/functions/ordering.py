@@ -47,34 +47,34 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner
 
 
 def _cut(df: DataFrame, by: Sequence[str], value: str, limit: int) -> DataFrame:
-    """Add group size ``__n``, bucket ``__b`` and a heavy-tie flag ``__heavy``."""
+    """Add group size ``__ord_n``, bucket ``__ord_b`` and a heavy-tie flag ``__ord_heavy``."""
     fractions = F.expr(_FRACTIONS)
     profile = df.groupBy(*by).agg(
-        F.count(value).alias("__n"),
-        F.percentile_approx(value, fractions, F.lit(4096)).alias("__cuts"),
+        F.count(value).alias("__ord_n"),
+        F.percentile_approx(value, fractions, F.lit(4096)).alias("__ord_cuts"),
     )
-    profile = profile.withColumn("__cuts", F.when(F.col("__n") > limit, F.col("__cuts")))
+    profile = profile.withColumn("__ord_cuts", F.when(F.col("__ord_n") > limit, F.col("__ord_cuts")))
     profile = profile.withColumn(
-        "__coarse",
-        F.transform(F.sequence(F.lit(1), F.lit(FAN_OUT - 1)), lambda i: F.element_at("__cuts", i * FAN_OUT)),
+        "__ord_coarse",
+        F.transform(F.sequence(F.lit(1), F.lit(FAN_OUT - 1)), lambda i: F.element_at("__ord_cuts", i * FAN_OUT)),
     )
     out = attach(df, profile, by)
     v = F.col(value)
-    whole = F.col("__cuts").isNull() | v.isNull()
-    coarse = F.when(whole, 0).otherwise(F.size(F.filter("__coarse", lambda x: x < v)))
-    out = out.withColumn("__b", coarse)
-    fine = F.size(F.filter(F.slice("__cuts", F.col("__b") * FAN_OUT + 1, FAN_OUT - 1), lambda x: x < v))
-    out = out.withColumn("__b", F.when(whole, 0).otherwise(F.col("__b") * FAN_OUT + fine))
-    heavy = (F.col("__b") < _CUTS - 1) & (F.try_element_at("__cuts", F.col("__b") + 2) == v)
-    return out.withColumn("__heavy", F.when(whole, False).otherwise(heavy)).drop("__cuts", "__coarse")
+    whole = F.col("__ord_cuts").isNull() | v.isNull()
+    coarse = F.when(whole, 0).otherwise(F.size(F.filter("__ord_coarse", lambda x: x < v)))
+    out = out.withColumn("__ord_b", coarse)
+    fine = F.size(F.filter(F.slice("__ord_cuts", F.col("__ord_b") * FAN_OUT + 1, FAN_OUT - 1), lambda x: x < v))
+    out = out.withColumn("__ord_b", F.when(whole, 0).otherwise(F.col("__ord_b") * FAN_OUT + fine))
+    heavy = (F.col("__ord_b") < _CUTS - 1) & (F.try_element_at("__ord_cuts", F.col("__ord_b") + 2) == v)
+    return out.withColumn("__ord_heavy", F.when(whole, False).otherwise(heavy)).drop("__ord_cuts", "__ord_coarse")
 
 
 def _shift(df: DataFrame, by: Sequence[str], cells: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """Join per-cell totals of the cells before each (group, cell)."""
-    totals = df.groupBy(*by, *cells).agg(*[F.sum(c).alias(f"__o_{k}") for k, c in sums.items()])
+    totals = df.groupBy(*by, *cells).agg(*[F.sum(c).alias(f"__ord_o_{k}") for k, c in sums.items()])
     before = Window.partitionBy(*by).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(
-        *by, *cells, *[F.coalesce(F.sum(f"__o_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in sums]
+        *by, *cells, *[F.coalesce(F.sum(f"__ord_o_{k}").over(before), F.lit(0)).alias(f"__ord_o_{k}") for k in sums]
     )
     return df.join(shifts, [*by, *cells])
 
@@ -89,11 +89,11 @@ def prefix_sums(
     if fits_one_task(df, limit):
         before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"before_{m}") for m in measures])
-    cut = _shift(_cut(df, by, value, limit), by, ["__b"], {m: F.col(m) for m in measures})
-    local = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    cut = _shift(_cut(df, by, value, limit), by, ["__ord_b"], {m: F.col(m) for m in measures})
+    local = Window.partitionBy(*by, "__ord_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return cut.select(
         *df.columns,
-        *[(F.coalesce(F.sum(m).over(local), F.lit(0)) + F.col(f"__o_{m}")).alias(f"before_{m}") for m in measures],
+        *[(F.coalesce(F.sum(m).over(local), F.lit(0)) + F.col(f"__ord_o_{m}")).alias(f"before_{m}") for m in measures],
     )
 
 
@@ -110,12 +110,12 @@ def running_extreme(df: DataFrame, by: Sequence[str], value: str, measures: Mapp
         so_far = Window.partitionBy(*by).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[pick(m).over(so_far).alias(out) for m, out in measures.items()])
     cut = _cut(df, by, value, limit)
-    earlier = Window.partitionBy(*by).orderBy(order("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut.groupBy(*by, "__b").agg(*[pick(m).alias(f"__m_{m}") for m in measures])
-    cells = cells.select(*by, "__b", *[pick(f"__m_{m}").over(earlier).alias(f"__m_{m}") for m in measures])
-    local = Window.partitionBy(*by, "__b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(cells, [*by, "__b"]).select(
-        *df.columns, *[merge(pick(m).over(local), F.col(f"__m_{m}")).alias(out) for m, out in measures.items()])
+    earlier = Window.partitionBy(*by).orderBy(order("__ord_b")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut.groupBy(*by, "__ord_b").agg(*[pick(m).alias(f"__ord_m_{m}") for m in measures])
+    cells = cells.select(*by, "__ord_b", *[pick(f"__ord_m_{m}").over(earlier).alias(f"__ord_m_{m}") for m in measures])
+    local = Window.partitionBy(*by, "__ord_b").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(cells, [*by, "__ord_b"]).select(
+        *df.columns, *[merge(pick(m).over(local), F.col(f"__ord_m_{m}")).alias(out) for m, out in measures.items()])
 
 
 def suffix_min(df: DataFrame, by: Sequence[str], value: str, measure: str, out: str,
@@ -156,22 +156,22 @@ def rank_first(
     Breaking ties by a hash lets one heavily repeated value be spread over many
     tasks: its rows split by hash prefix and keep the same total order.
     """
-    work = df.withColumn("__h", digest(*[F.col(k) for k in key]))
+    work = df.withColumn("__ord_h", digest(*[F.col(k) for k in key]))
     if fits_one_task(df, limit):
         whole = Window.partitionBy(*by)
-        position = F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last(), "__h", *key)).cast("bigint")
+        position = F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last(), "__ord_h", *key)).cast("bigint")
         size = [F.count(value).over(whole).alias(n_out)] if n_out else []
         return work.select(*df.columns, F.when(F.col(value).isNotNull(), position).alias(out), *size)
     work = _cut(work, by, value, limit)
-    prefix = F.conv(F.substring("__h", 1, 2), 16, 10).cast("int")
+    prefix = F.conv(F.substring("__ord_h", 1, 2), 16, 10).cast("int")
     present = F.col(value).isNotNull()
-    spread = F.when(F.col("__heavy"), prefix + 1).when(~present, -prefix - 1).otherwise(0)
-    work = work.withColumn("__s", spread)
-    work = _shift(work, by, ["__b", "__s"], {"c": present.cast("bigint")})
-    local = Window.partitionBy(*by, "__b", "__s").orderBy(F.col(value).asc_nulls_last(), "__h", *key)
-    position = F.when(present, F.row_number().over(local) + F.col("__o_c"))
+    spread = F.when(F.col("__ord_heavy"), prefix + 1).when(~present, -prefix - 1).otherwise(0)
+    work = work.withColumn("__ord_s", spread)
+    work = _shift(work, by, ["__ord_b", "__ord_s"], {"c": present.cast("bigint")})
+    local = Window.partitionBy(*by, "__ord_b", "__ord_s").orderBy(F.col(value).asc_nulls_last(), "__ord_h", *key)
+    position = F.when(present, F.row_number().over(local) + F.col("__ord_o_c"))
     cols = [*df.columns, position.cast("bigint").alias(out)]
-    return work.select(*cols, *([F.col("__n").alias(n_out)] if n_out else []))
+    return work.select(*cols, *([F.col("__ord_n").alias(n_out)] if n_out else []))
 
 
 def hash_rank(
@@ -185,17 +185,17 @@ def hash_rank(
     """
     prefix = F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
     bucket = F.when(F.col(size) > limit, prefix).otherwise(0) if size else prefix
-    work = _shift(df.withColumn("__b", bucket), by, ["__b"], {"c": F.lit(1)})
-    local = Window.partitionBy(*by, "__b").orderBy(hashed, *key)
-    return work.select(*df.columns, (F.row_number().over(local) - 1 + F.col("__o_c")).cast("bigint").alias(out))
+    work = _shift(df.withColumn("__ord_b", bucket), by, ["__ord_b"], {"c": F.lit(1)})
+    local = Window.partitionBy(*by, "__ord_b").orderBy(hashed, *key)
+    return work.select(*df.columns, (F.row_number().over(local) - 1 + F.col("__ord_o_c")).cast("bigint").alias(out))
 
 
 def unit_index(units: DataFrame, key: Sequence[str], by: Sequence[str] = (), out: str = "idx",
                n_out: str = "n_units") -> DataFrame:
     """Number the (distinct) units of each group 0..n-1 in md5 order and add n."""
     sizes = units.groupBy(*by).agg(F.count(F.lit(1)).alias(n_out))
-    work = attach(units.withColumn("__h", digest(*[F.col(k) for k in key])), sizes, by)
-    return hash_rank(work, by, "__h", key, out, size=n_out).drop("__h")
+    work = attach(units.withColumn("__ord_h", digest(*[F.col(k) for k in key])), sizes, by)
+    return hash_rank(work, by, "__ord_h", key, out, size=n_out).drop("__ord_h")
 
 
 def exact_quantiles(
@@ -205,38 +205,38 @@ def exact_quantiles(
 
     Only the buckets that hold a wanted position are sorted.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    rows = df.select(*by, F.col(value).cast("double").alias("__ord_v")).filter(F.col("__ord_v").isNotNull())
     if fits_one_task(rows, limit):
-        found = rows.groupBy(*by).agg(*[F.percentile("__v", float(p)).alias(n) for n, p in probs.items()])
+        found = rows.groupBy(*by).agg(*[F.percentile("__ord_v", float(p)).alias(n) for n, p in probs.items()])
         return found
-    cut = _cut(rows, by, "__v", limit)
-    counts = cut.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    cut = _cut(rows, by, "__ord_v", limit)
+    counts = cut.groupBy(*by, "__ord_b").agg(F.count(F.lit(1)).alias("__ord_c"), F.first("__ord_n").alias("__ord_n"))
+    before = Window.partitionBy(*by).orderBy("__ord_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__ord_o", F.coalesce(F.sum("__ord_c").over(before), F.lit(0)))
 
     def edge(p: float, upper: bool) -> Column:
-        spot = (F.col("__n") - 1) * F.lit(float(p))
+        spot = (F.col("__ord_n") - 1) * F.lit(float(p))
         return (F.ceil(spot) if upper else F.floor(spot)).cast("bigint")
 
     spots = F.array(*[edge(p, u) for p in probs.values() for u in (False, True)])
     wanted = counts.filter(
-        F.exists(spots, lambda s: (s >= F.col("__o")) & (s < F.col("__o") + F.col("__c")))
-    ).select(*by, "__b", "__o")
-    ties = cut.join(wanted, [*by, "__b"]).groupBy(*by, "__b", "__v").agg(
-        F.count(F.lit(1)).alias("__t"), F.first("__o").alias("__o"), F.first("__n").alias("__n")
+        F.exists(spots, lambda s: (s >= F.col("__ord_o")) & (s < F.col("__ord_o") + F.col("__ord_c")))
+    ).select(*by, "__ord_b", "__ord_o")
+    ties = cut.join(wanted, [*by, "__ord_b"]).groupBy(*by, "__ord_b", "__ord_v").agg(
+        F.count(F.lit(1)).alias("__ord_t"), F.first("__ord_o").alias("__ord_o"), F.first("__ord_n").alias("__ord_n")
     )
-    local = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ties = ties.withColumn("__hi", F.sum("__t").over(local) + F.col("__o"))
+    local = Window.partitionBy(*by, "__ord_b").orderBy("__ord_v").rowsBetween(Window.unboundedPreceding, 0)
+    ties = ties.withColumn("__ord_hi", F.sum("__ord_t").over(local) + F.col("__ord_o"))
     picks = []
     for name, p in probs.items():
         for side in (False, True):
-            inside = (edge(p, side) < F.col("__hi")) & (edge(p, side) >= F.col("__hi") - F.col("__t"))
-            picks.append(F.max(F.when(inside, F.col("__v"))).alias(f"__{name}_{int(side)}"))
-    got = ties.groupBy(*by).agg(F.max("__n").alias("__n"), *picks)
+            inside = (edge(p, side) < F.col("__ord_hi")) & (edge(p, side) >= F.col("__ord_hi") - F.col("__ord_t"))
+            picks.append(F.max(F.when(inside, F.col("__ord_v"))).alias(f"__ord_{name}_{int(side)}"))
+    got = ties.groupBy(*by).agg(F.max("__ord_n").alias("__ord_n"), *picks)
     out = []
     for name, p in probs.items():
-        spot = (F.col("__n") - 1) * F.lit(float(p))
-        low, high = F.col(f"__{name}_0"), F.col(f"__{name}_1")
+        spot = (F.col("__ord_n") - 1) * F.lit(float(p))
+        low, high = F.col(f"__ord_{name}_0"), F.col(f"__ord_{name}_1")
         out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
     return got.select(*by, *out)
 
@@ -247,15 +247,15 @@ def median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") ->
 
 def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, probs: Mapping[str, float]) -> DataFrame:
     """Quantiles of the sample in which each value is repeated ``weight`` times."""
-    ties = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
-    totals = ties.groupBy(*by).agg(F.sum("__w").alias("__n"))
-    cum = attach(prefix_sums(ties, by, value, ["__w"]), totals, by)
+    ties = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__ord_w"))
+    totals = ties.groupBy(*by).agg(F.sum("__ord_w").alias("__ord_n"))
+    cum = attach(prefix_sums(ties, by, value, ["__ord_w"]), totals, by)
     picks, out = [], []
     for name, p in probs.items():
-        spot = (F.col("__n") - 1) * F.lit(float(p))
+        spot = (F.col("__ord_n") - 1) * F.lit(float(p))
         for side, place in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            inside = (place >= F.col("before___w")) & (place < F.col("before___w") + F.col("__w"))
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{name}_{side}"))
-        low, high = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+            inside = (place >= F.col("before___ord_w")) & (place < F.col("before___ord_w") + F.col("__ord_w"))
+            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__ord_{name}_{side}"))
+        low, high = F.col(f"__ord_{name}_lo"), F.col(f"__ord_{name}_hi")
         out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
-    return cum.groupBy(*by).agg(F.max("__n").alias("__n"), *picks).select(*by, *out)
+    return cum.groupBy(*by).agg(F.max("__ord_n").alias("__ord_n"), *picks).select(*by, *out)

@@ -154,10 +154,10 @@ def split_conformal(calibration: DataFrame, test: DataFrame, by: Sequence[str],
 def residual_interval(train: DataFrame, test: DataFrame, by: Sequence[str], residual: str, levels: Sequence[float]) -> DataFrame:
     """Training-residual quantile interval (not conformal) and its coverage."""
     probs = {}
-    for v in levels:
-        probs |= {f"lo_{v}": (1 - v) / 2, f"hi_{v}": (1 + v) / 2}
+    for i, v in enumerate(levels):
+        probs |= {f"lo_{i}": (1 - v) / 2, f"hi_{i}": (1 + v) / 2}
     cuts = exact_quantiles(train, by, residual, probs)
-    stacked = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("level"), F.col(f"`lo_{v}`").alias("low"), F.col(f"`hi_{v}`").alias("high")) for v in levels]))
+    stacked = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("level"), F.col(f"lo_{i}").alias("low"), F.col(f"hi_{i}").alias("high")) for i, v in enumerate(levels)]))
     cuts = cuts.select(*by, stacked.alias("x")).select(*by, "x.*")
     j = attach(test.select(*by, residual), cuts, by)
     inside = (F.col(residual) >= F.col("low")) & (F.col(residual) <= F.col("high"))
