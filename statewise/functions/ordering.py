@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewise.functions.hashing import digest
+from statewise.session import cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
 FAN_OUT = 32  # two levels of 32 give 1,024 buckets per large group
@@ -37,6 +38,27 @@ def fits_one_task(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_TASK_BYTES
 
 
+_HEAVY = ("Join", "Aggregate", "Window", "InPandas", "GroupsIn")
+
+
+def settled(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> tuple[DataFrame, bool]:
+    """The input, ready to be read several times, and whether one task can hold it.
+
+    A deep plan (joins, aggregations) that the planner cannot bound is written
+    once to the checkpoint folder instead of being computed again for the cuts,
+    the shifts and the rows; its row count is then known and decides.
+    """
+    if limit != ROWS_PER_BUCKET:
+        return df, False
+    if fits_one_task(df, limit):
+        return df, True
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if not any(word in plan for word in _HEAVY):
+        return df, False
+    kept = cut_lineage(df)
+    return kept, kept.limit(ROWS_PER_BUCKET + 1).count() <= ROWS_PER_BUCKET
+
+
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of an aggregate that has exactly one row."""
     return df.crossJoin(F.broadcast(one_row))
@@ -86,7 +108,8 @@ def prefix_sums(
 
     ``df`` holds one row per (group, value), so ties are already merged.
     """
-    if fits_one_task(df, limit):
+    df, small = settled(df, limit)
+    if small:
         before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"before_{m}") for m in measures])
     cut = _shift(_cut(df, by, value, limit), by, ["__ord_b"], {m: F.col(m) for m in measures})
@@ -106,7 +129,8 @@ def running_extreme(df: DataFrame, by: Sequence[str], value: str, measures: Mapp
     """
     pick, merge = (F.max, F.greatest) if largest else (F.min, F.least)
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    if fits_one_task(df, limit):
+    df, small = settled(df, limit)
+    if small:
         so_far = Window.partitionBy(*by).orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[pick(m).over(so_far).alias(out) for m, out in measures.items()])
     cut = _cut(df, by, value, limit)
@@ -132,7 +156,8 @@ def tie_groups(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def rank_average(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Average rank (ties share the mean of their positions); NULL stays NULL."""
-    if fits_one_task(df, ROWS_PER_BUCKET):
+    df, small = settled(df)
+    if small:
         lower = F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()))
         ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
         return df.select("*", F.when(F.col(value).isNotNull(), lower + (ties - 1) / 2.0).alias(out))
@@ -156,8 +181,9 @@ def rank_first(
     Breaking ties by a hash lets one heavily repeated value be spread over many
     tasks: its rows split by hash prefix and keep the same total order.
     """
+    df, small = settled(df, limit)
     work = df.withColumn("__ord_h", digest(*[F.col(k) for k in key]))
-    if fits_one_task(df, limit):
+    if small:
         whole = Window.partitionBy(*by)
         position = F.row_number().over(whole.orderBy(F.col(value).asc_nulls_last(), "__ord_h", *key)).cast("bigint")
         size = [F.count(value).over(whole).alias(n_out)] if n_out else []
@@ -193,6 +219,12 @@ def hash_rank(
 def unit_index(units: DataFrame, key: Sequence[str], by: Sequence[str] = (), out: str = "idx",
                n_out: str = "n_units") -> DataFrame:
     """Number the (distinct) units of each group 0..n-1 in md5 order and add n."""
+    units, small = settled(units)
+    if small:
+        whole = Window.partitionBy(*by)
+        hashed = units.withColumn("__ord_h", digest(*[F.col(k) for k in key]))
+        number = (F.row_number().over(whole.orderBy("__ord_h", *key)) - 1).cast("bigint")
+        return hashed.select(*units.columns, F.count(F.lit(1)).over(whole).alias(n_out), number.alias(out))
     sizes = units.groupBy(*by).agg(F.count(F.lit(1)).alias(n_out))
     work = attach(units.withColumn("__ord_h", digest(*[F.col(k) for k in key])), sizes, by)
     return hash_rank(work, by, "__ord_h", key, out, size=n_out).drop("__ord_h")
@@ -206,7 +238,8 @@ def exact_quantiles(
     Only the buckets that hold a wanted position are sorted.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("__ord_v")).filter(F.col("__ord_v").isNotNull())
-    if fits_one_task(rows, limit):
+    rows, small = settled(rows, limit)
+    if small:
         found = rows.groupBy(*by).agg(*[F.percentile("__ord_v", float(p)).alias(n) for n, p in probs.items()])
         return found
     cut = _cut(rows, by, "__ord_v", limit)

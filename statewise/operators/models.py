@@ -18,6 +18,7 @@ from statewise.functions.ordering import attach, attach_scalar, exact_quantiles
 from statewise.operators.metrics import regression_metrics, split_conformal
 from statewise.operators.ranks import tail_class, zscore_within
 from statewise.operators.regression import _square, moments, predict
+from statewise.session import cut_lineage
 
 
 def cross_fit(df: DataFrame, fold: str, folds: Sequence[int], make: Callable[[DataFrame], object], key: Sequence[str], out: str = "prediction", probability: bool = False) -> DataFrame:
@@ -27,6 +28,7 @@ def cross_fit(df: DataFrame, fold: str, folds: Sequence[int], make: Callable[[Da
     fold, so predictions are complete by construction; a fold value outside the
     list fails the query.
     """
+    df = cut_lineage(df)  # read once per fold
     score = (lambda p: vector_to_array("probability")[1]) if probability else (lambda p: F.col("prediction"))
     parts = None
     for f in folds:
@@ -77,6 +79,7 @@ def elastic_net(train: DataFrame, stages: Sequence, y: str, alpha: float, l1_rat
 
 def choose_elastic_net(train: DataFrame, stages: Sequence, y: str, fold: str, folds: Sequence[int], alphas: Sequence[float], ratios: Sequence[float]) -> tuple[float, float, float]:
     """Nested choice of (alpha, l1 ratio) by held-out mean absolute error."""
+    train = cut_lineage(train)  # read once per grid point and fold
     best = None
     for a in alphas:
         for r in ratios:
@@ -110,6 +113,7 @@ def balanced_logistic(train: DataFrame, stages: Sequence, y: str, c: float = 0.5
 
 
 def logistic_cross_fit(df: DataFrame, fold: str, folds: Sequence[int], numeric: Sequence[str], categorical: Sequence[str], y: str, key: Sequence[str], c: float = 0.5) -> DataFrame:
+    df = cut_lineage(df)  # read once per fold
     parts = None
     for f in folds:
         model = balanced_logistic(df.filter(F.col(fold) != f), preprocess(numeric, categorical), y, c)
@@ -258,6 +262,7 @@ def dose_response(df: DataFrame, by: Sequence[str], fold: str, pair: str, guide:
     """
     heldouts = df.select(*by, F.col(fold).alias("heldout")).distinct()
     train = df.join(heldouts, list(by)).filter(F.col(fold) != F.col("heldout")) if by else attach(df, heldouts, []).filter(F.col(fold) != F.col("heldout"))
+    train, df = cut_lineage(train), cut_lineage(df)  # read by every family
     keys = [*by, "heldout"]
     cuts = exact_quantiles(train, keys, dose, {"dose_q25": 0.25, "dose_median": 0.5, "dose_q75": 0.75})
     spread = train.groupBy(*keys).agg(F.min(dose).alias("dose_min"), F.max(dose).alias("dose_max"), *[F.avg(q).alias(f"__m_{q}") for q in quality], *[F.stddev_pop(q).alias(f"__s_{q}") for q in quality])
@@ -322,6 +327,7 @@ def model_comparison(preds: DataFrame, model: str, fold: str, key: Sequence[str]
     from statewise.operators.resample import bh_adjust
     from statewise.operators.stats import wilcoxon_paired
 
+    preds = cut_lineage(preds.select(model, fold, *key, y, pred))  # read by every comparison
     overall = regression_metrics(preds, [model], y, pred, spearman=False).select(model, "n", "r2", "mae", "rmse")
     per_fold = regression_metrics(preds, [model, fold], y, pred, spearman=False)
     spread = per_fold.groupBy(model).agg(F.avg("r2").alias("mean_fold_r2"), (F.stddev_samp("r2") / F.sqrt(F.count("r2"))).alias("se_fold_r2"))
@@ -348,6 +354,7 @@ def applicability(df: DataFrame, numeric: Sequence[str], error: str, key: Sequen
     ``inner`` holds small integers: 0 marks calibration rows, the others are
     the inner folds. Returns (risk per row and level, fold table).
     """
+    df = cut_lineage(df)  # read by every fold
     stages = preprocess(numeric)
     rows, table = None, []
     values = sorted(r[0] for r in df.select(inner).distinct().limit(65).collect() if r[0] != 0)

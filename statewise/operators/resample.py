@@ -17,9 +17,9 @@ from statewise.functions.ordering import (
     attach,
     attach_scalar,
     exact_quantiles,
-    fits_one_task,
     hash_rank,
     prefix_sums,
+    settled,
     suffix_min,
     unit_index,
     weighted_quantiles,
@@ -299,7 +299,8 @@ def bh_adjust(df: DataFrame, p: str, family: Sequence[str] = (), m: int | None =
     minimum from the tail is taken over ordered buckets.
     """
     size = F.lit(m) if m is not None else None
-    if fits_one_task(df):
+    df, small = settled(df)
+    if small:
         w = Window.partitionBy(*family)
         raw = F.col(p) * (size if size is not None else F.count(p).over(w)) / F.count(p).over(w.orderBy(F.col(p).asc_nulls_last()))
         work = df.withColumn("__q", F.when(F.col(p).isNotNull(), raw))

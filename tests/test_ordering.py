@@ -55,7 +55,7 @@ def test_quantiles(rows):
 
 def test_rank_average(rows, monkeypatch):
     plain = as_set(o.rank_average(rows, ["g"], "v", "r"))
-    monkeypatch.setattr(o, "fits_one_task", lambda df, limit=0: False)
+    monkeypatch.setattr(o, "settled", lambda df, limit=0: (df, False))
     monkeypatch.setattr(o, "_cut", lambda df, by, value, limit, cut=o._cut: cut(df, by, value, 5))
     assert plain == as_set(o.rank_average(rows, ["g"], "v", "r"))
 
