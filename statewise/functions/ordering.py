@@ -41,6 +41,13 @@ def fits_one_task(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> bool:
 _HEAVY = ("Join", "Aggregate", "Window", "InPandas", "GroupsIn")
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """The input for operators that read it several times: a deep plan is
+    written once to the checkpoint folder, a plain scan is left alone."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut_lineage(df) if any(word in plan for word in _HEAVY) else df
+
+
 def settled(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> tuple[DataFrame, bool]:
     """The input, ready to be read several times, and whether one task can hold it.
 

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.functions.ordering import attach, attach_scalar, exact_quantiles
+from statewise.functions.ordering import attach, attach_scalar, exact_quantiles, reread
 from statewise.operators.metrics import regression_metrics, split_conformal
 from statewise.operators.ranks import tail_class, zscore_within
 from statewise.operators.regression import _square, moments, predict
@@ -128,6 +128,7 @@ def state_pool(df: DataFrame, fold: str, state: str, y: str, prior: float = 20.0
     Sums per (fold, state) are a tiny table; exclusion is a subtraction, so
     one aggregation and one lookup replace a model per fold.
     """
+    df = reread(df)
     cells = df.groupBy(*by, fold, state).agg(F.sum(y).alias("s"), F.count(y).alias("c"))
     per_fold = cells.groupBy(*by, fold).agg(F.sum("s").alias("fs"), F.sum("c").alias("fc"))
     per_state = cells.groupBy(*by, state).agg(F.sum("s").alias("ss"), F.sum("c").alias("sc"))
@@ -142,7 +143,7 @@ def state_pool(df: DataFrame, fold: str, state: str, y: str, prior: float = 20.0
 
 def transfer_phenotypes(df: DataFrame, state: str, y: str, expected: str = "expected", places: int = 6) -> DataFrame:
     """Residual, state-scaled z and tail class of an expectation."""
-    out = df.withColumn("residual", F.col(y) - F.col(expected))
+    out = reread(df).withColumn("residual", F.col(y) - F.col(expected))
     z = zscore_within(out, [state], "residual", 1, False, "transfer_z")
     # rounding first makes the cut-offs reproducible on any summation order
     scale = float(10**places)
@@ -195,6 +196,7 @@ def ridge_folds(stats: DataFrame, fold: str, x: Sequence[str], alpha: float, blo
 
 def ridge_cross_fit(df: DataFrame, fold: str, x: Sequence[str], y: str, alpha: float, blocks: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Out-of-fold ridge predictions; with ``blocks`` also one set per ablation."""
+    df = reread(df)
     fits = ridge_folds(fold_moments(df, fold, x, y), fold, x, alpha, blocks)
     j = df.join(fits, fold)
     return j.withColumn("prediction", predict(j, x)).drop("coef")

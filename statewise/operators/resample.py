@@ -19,6 +19,7 @@ from statewise.functions.ordering import (
     exact_quantiles,
     hash_rank,
     prefix_sums,
+    reread,
     settled,
     suffix_min,
     unit_index,
@@ -43,7 +44,7 @@ def bootstrap_sums(df: DataFrame, by: Sequence[str], cluster: str, measures: Map
     Rows collapse to one row per cluster first; replicates never touch rows.
     """
     per = df.groupBy(*by, cluster).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
-    units = unit_index(per, [cluster], by)
+    units = reread(unit_index(per, [cluster], by))
     drawn = bootstrap_draws(units, by, count, seed)
     return drawn.join(units.select(*by, "idx", *measures), [*by, "idx"]).groupBy(*by, "replicate").agg(
         *[F.sum(m).alias(m) for m in measures])
@@ -51,7 +52,8 @@ def bootstrap_sums(df: DataFrame, by: Sequence[str], cluster: str, measures: Map
 
 def bootstrap_rows(df: DataFrame, by: Sequence[str], cluster: str, count: int, seed: int) -> DataFrame:
     """Rows with a replicate and the number of times their cluster was drawn."""
-    units = unit_index(df.select(*by, cluster).distinct(), [cluster], by)
+    df = reread(df)
+    units = reread(unit_index(df.select(*by, cluster).distinct(), [cluster], by))
     weights = bootstrap_draws(units, by, count, seed).groupBy(*by, "replicate", "idx").agg(F.count(F.lit(1)).alias("weight"))
     named = weights.join(units.select(*by, cluster, "idx"), [*by, "idx"]).drop("idx")
     return named.join(df, [*by, cluster])
@@ -119,7 +121,7 @@ def permuted_values(df: DataFrame, strata: Sequence[str], key: Sequence[str], va
     The r-th row in hash order gives its values to the r-th row in key order.
     Strata below ``minimum`` rows stay fixed.
     """
-    base = unit_index(df.select(*strata, *key, *values), key, strata, "slot", "n")
+    base = reread(unit_index(df.select(*strata, *key, *values), key, strata, "slot", "n"))
     moved = base.select(*strata, *key, *values, "n", F.explode(replicates(count)).alias("replicate"))
     hashed = F.when(F.col("n") >= minimum, digest(seed, F.col("replicate"), *[F.col(k) for k in key])).otherwise(digest(*[F.col(k) for k in key]))
     donors = hash_rank(moved.withColumn("__h", hashed), [*strata, "replicate"], "__h", key, "slot", size="n")

@@ -92,7 +92,7 @@ def _summary(d: Dialect) -> str:
       CASE WHEN s.target % 23 = 0 THEN NULL ELSE p_size = 7 END AS distal_hit,
       CASE WHEN p_size > 45 THEN NULL ELSE p_brand END AS cluster
     FROM (SELECT l_partkey AS target, l_returnflag AS state, count(*) AS cells,
-            count(distinct CASE WHEN l_quantity > 25 THEN l_orderkey END) AS downstream,
+            count(CASE WHEN l_quantity > 25 THEN 1 END) AS downstream,
             count(distinct l_suppkey) AS guides, sum({CENTS}) AS dsum,
             (cast(sum({CENTS}) as double) / count(*) - 5) / 100 AS effect,
             sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open_lines
