@@ -60,9 +60,11 @@ def settled(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> tuple[DataFrame, boo
     if fits_one_task(df, limit):
         return df, True
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if not any(word in plan for word in _HEAVY):
+    written = "LogicalRDD" in plan or "InMemoryRelation" in plan
+    deep = any(word in plan for word in _HEAVY)
+    if not deep and not written:
         return df, False
-    kept = cut_lineage(df)
+    kept = cut_lineage(df) if deep else df
     return kept, kept.limit(ROWS_PER_BUCKET + 1).count() <= ROWS_PER_BUCKET
 
 
@@ -71,6 +73,17 @@ def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
+def spread_over(df: DataFrame, listed: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Every row with every entry of a short list, for outputs that are that product.
+
+    The list travels as one array whose length is checked (the query fails
+    beyond ``limit``; split the list then), so rows expand where they are.
+    """
+    packed = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("__ord_l"))
+    packed = packed.filter(F.assert_true(F.size("__ord_l") <= limit, F.lit("list too long to spread")).isNull())
+    return attach_scalar(df, packed).select(*df.columns, F.explode("__ord_l").alias("__ord_x")).select(*df.columns, "__ord_x.*")
+
+
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     return df.join(stats, list(by), how) if by else attach_scalar(df, stats)
 
@@ -287,7 +300,7 @@ def median(df: DataFrame, by: Sequence[str], value: str, out: str = "median") ->
 
 def weighted_quantiles(df: DataFrame, by: Sequence[str], value: str, weight: str, probs: Mapping[str, float]) -> DataFrame:
     """Quantiles of the sample in which each value is repeated ``weight`` times."""
-    ties = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__ord_w"))
+    ties = reread(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__ord_w")))
     totals = ties.groupBy(*by).agg(F.sum("__ord_w").alias("__ord_n"))
     cum = attach(prefix_sums(ties, by, value, ["__ord_w"]), totals, by)
     picks, out = [], []

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.functions.ordering import attach, attach_scalar, exact_quantiles
+from statewise.functions.ordering import attach, attach_scalar, exact_quantiles, spread_over
 from statewise.functions.scalars import hash_fold, pair_key
 from statewise.functions.tails import student_two_sided
 
@@ -120,7 +120,7 @@ def welch_statistics(
     groups = attach_scalar(sizes.filter((F.col(group) != control) & (F.col("n") >= min_cells)).select(group, "n"), enough)
     universe = c.select(feature).union(m.select(feature)).distinct()
     # features x eligible groups is the output itself
-    listed = groups.crossJoin(universe)
+    listed = spread_over(universe, groups)
     j = listed.join(m.select(group, feature, "mean", "variance"), [group, feature], "left").join(c, feature, "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     a, b = zero(F.col("variance")) / F.col("n"), zero(F.col("c_var")) / F.col("c_n")

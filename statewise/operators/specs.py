@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statewise.functions.ordering import spread_over
+
 
 def spec_grid(spark: SparkSession, dims: Mapping[str, Sequence], limit: int = 1_000_000) -> DataFrame:
     """Cartesian specifications numbered in row-major order of the dimensions.
@@ -42,7 +44,7 @@ def run_specs(df: DataFrame, unit: str, outcome: str, filters: Mapping[str, Mapp
     est = per.groupBy(*by, *filters).agg(F.count(F.lit(1)).alias("units"), F.sum("rows").alias("rows"), F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count(F.lit(1)))).alias("se"))
     grid = spec_grid(df.sparkSession, {d: list(levels) for d, levels in filters.items()})
     scopes = df.select(*by).distinct() if by else None
-    full = scopes.withColumn("one", F.lit(1)).join(F.broadcast(grid.withColumn("one", F.lit(1))), "one").drop("one") if by else grid
+    full = spread_over(scopes, grid) if by else grid
     j = full.join(est, [*by, *filters], "left")
     enough = F.coalesce(F.col("units") >= minimum, F.lit(False))
     return j.select(

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.functions.ordering import attach, attach_scalar, exact_quantiles
+from statewise.functions.ordering import attach_scalar, spread_over
 from statewise.operators.ranks import top_k_per_group
 
 
@@ -219,7 +219,7 @@ def factor_activity(triplets: DataFrame, network: DataFrame, row: Sequence[str],
     rows = triplets.groupBy(*row).agg(F.sum("value").alias("xs"), F.sum(F.col("value") * F.col("value")).alias("xx"))
     raw = triplets.join(w, "feature").groupBy(*row, "factor").agg(F.sum(F.col("value") * F.col("weight")).alias("raw"))
     # every row is scored on every factor: the factor list is the output width
-    full = rows.crossJoin(factors).join(raw, [*row, "factor"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    full = spread_over(rows, factors).join(raw, [*row, "factor"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     n = n_features if isinstance(n_features, Column) else F.lit(float(n_features))
     cov = F.col("raw") - F.col("xs") * F.col("ws") / n
     rss, wss = F.col("xx") - F.col("xs") * F.col("xs") / n, F.col("ww") - F.col("ws") * F.col("ws") / n

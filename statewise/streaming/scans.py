@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statewise.functions.ordering import attach_scalar
 from statewise.operators.contracts import gwas_counts, gwas_flags, order_violations
 
 
@@ -58,10 +59,10 @@ def stream_order_check(stream: DataFrame, position: str, coordinate: str, key: S
             before = carried.agg(F.max("c")).first()[0]
             seam = int(before is not None and ends["first_c"] < before)
         repeated = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicate_keys"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows"))
-        row = inside.crossJoin(F.broadcast(repeated)).withColumn("order_violations", F.col("order_violations") + seam)
+        row = attach_scalar(inside, repeated).withColumn("order_violations", F.col("order_violations") + seam)
         if carried is not None:
             shared = carried.select(*key).distinct().join(batch.select(*key).distinct(), list(key), "left_semi").agg(F.count(F.lit(1)).alias("shared"))
-            row = row.crossJoin(F.broadcast(shared)).withColumn("duplicate_keys", F.col("duplicate_keys") + F.col("shared")).drop("shared")
+            row = attach_scalar(row, shared).withColumn("duplicate_keys", F.col("duplicate_keys") + F.col("shared")).drop("shared")
         row.write.mode("overwrite").parquet(f"{work}/counts/batch={batch_id}")
         tail = batch.filter(F.col(coordinate) == F.lit(ends["last_c"])).select(F.col(coordinate).alias("c"), *key).distinct()
         tail.write.mode("overwrite").parquet(f"{work}/tail/batch={batch_id}")
