@@ -47,10 +47,7 @@ class Dialect:
         return f"(('0x'||substr(sha256(cast({key} as varchar)),1,{digits}))::UBIGINT % {k})::BIGINT"
 
     def epoch(self, ts: str) -> str:
-        return f"unix_timestamp({ts})" if self.spark else f"cast(floor(epoch({ts})) as bigint)"
-
-    def micros(self, ts: str) -> str:
-        return f"unix_micros({ts})" if self.spark else f"epoch_us({ts})"
+        return f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})" if self.spark else f"cast(floor(epoch({ts})) as bigint)"
 
     def text(self, x: str) -> str:
         return f"cast({x} as string)" if self.spark else f"cast({x} as varchar)"
