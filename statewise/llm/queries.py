@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statewise.llm import randomness
+from statewise.llm import pfair, randomness
 from statewise.llm.common import table
 from statewise.llm.seeds import contamination
 from statewise.llm.simhash import near_duplicates
@@ -54,3 +54,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(randomness.joined("base"), 256).alias("base_sha256"), randomness.joined("spans").alias("spans"),
     )
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pfair.mixed(documents, pfair.tempered(documents)).select("doc_id", "source", "mix_frame", "mix_slot")
