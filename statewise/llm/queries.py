@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statewise.llm import pfair, randomness
 from statewise.llm.common import table
+from statewise.llm.pivots import top_k
 from statewise.llm.seeds import contamination
 from statewise.llm.simhash import near_duplicates
 from statewise.llm.token_counts import token_counts
@@ -60,3 +61,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return pfair.mixed(documents, pfair.tempered(documents)).select("doc_id", "source", "mix_frame", "mix_slot")
+
+
+@query
+def op4_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, query_modulus=50, scale=256)
+
+
+ORACLES["op4_pivot_search"] = """
+WITH r AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM r q JOIN r c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
+"""
