@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statewise.llm import pfair, randomness
 from statewise.llm.common import table
+from statewise.llm.html_tree import main_text
 from statewise.llm.pivots import top_k
 from statewise.llm.seeds import contamination
 from statewise.llm.simhash import near_duplicates
@@ -80,3 +81,8 @@ WITH r AS (
 ), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
 """
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
