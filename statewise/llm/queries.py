@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statewise.llm import pfair, randomness
 from statewise.llm.common import table
 from statewise.llm.html_tree import main_text
+from statewise.llm.phrases import without_repeats
 from statewise.llm.pivots import top_k
 from statewise.llm.seeds import contamination
 from statewise.llm.simhash import near_duplicates
@@ -86,3 +87,9 @@ SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents"), size=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
