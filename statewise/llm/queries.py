@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewise.llm import pfair, randomness
+from statewise.llm.attention import language_scores
 from statewise.llm.common import table
 from statewise.llm.html_tree import main_text
 from statewise.llm.phrases import without_repeats
@@ -93,3 +94,8 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents"), size=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), modulus=7, remainder=2)
