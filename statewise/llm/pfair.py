@@ -98,11 +98,14 @@ def mixed(df: DataFrame, weights: DataFrame, block: int = 1, frame: int = FRAME,
     equal rows may change places. Columns of ``df`` named like those of the
     result are replaced. An empty table gives an empty result.
     """
-    own = [c for c in df.columns if c.lower() not in ("mix_frame", "mix_slot", "mix_within")]
-    named = lambda: F.coalesce(F.concat(F.lit("s"), F.col(source_column).cast("string")), F.lit("n")).alias("_source")
-    rows = df.select(*own, named())
+    names = [c for c in df.columns if c.lower() not in ("mix_frame", "mix_slot", "mix_within")]
+    own = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")).alias("_source")
+    rows = df.select(*names).toDF(*own)
+    rows = rows.select(*own, named(own[names.index(source_column)]))
+    id_place = own[names.index(id_column)]
     tie = F.md5(F.to_json(F.struct(*[F.col(c) for c in own])).cast("binary"))
-    given = weights.select(named(), F.col(weight_column).cast("double").alias("_weight"))
+    given = weights.select(named(source_column), F.col(weight_column).cast("double").alias("_weight"))
     given = given.where("_weight > 0 and _weight < double('infinity')").groupBy("_source").agg(F.max("_weight").alias("_weight"))
     blocks = rows.groupBy("_source").agg(F.ceil(F.count("*") / block).cast("long").alias("_blocks"))
     least = F.coalesce(F.min("_weight").over(Window.partitionBy()), F.lit(1.0))
@@ -126,12 +129,12 @@ def mixed(df: DataFrame, weights: DataFrame, block: int = 1, frame: int = FRAME,
     each = sized(each.select("_from", "_to", "_length", "_base", "_source", F.col("_slot").cast("long").alias("_slot"), nth.cast("long").alias("_nth")))
 
     # each block finds its frame, the kind of the frame and its slot in it
-    placed = ranked(rows, ["_source"], [tie], F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")))
+    placed = ranked(rows, ["_source"], [tie], F.md5(F.coalesce(F.col(id_place).cast("string"), F.lit("")).cast("binary")))
     placed = placed.withColumn("_block", F.floor(F.col("_rank") / block).cast("long")).join(shares.select("_source", "_share"), "_source")
     placed = placed.withColumn("mix_frame", F.floor(F.col("_block") / F.col("_share")).cast("long")).withColumn("_nth", F.col("_block") % F.col("_share"))
     found = placed.join(each, ["_source", "_nth"]).where("mix_frame >= _from and mix_frame < _to")
     slot = F.col("_base") + (F.col("mix_frame") - F.col("_from")) * F.col("_length") + F.col("_slot")
-    return found.select(*own, "mix_frame", slot.alias("mix_slot"), (F.col("_rank") % block).alias("mix_within"))
+    return found.select(*own, "mix_frame", slot.alias("mix_slot"), (F.col("_rank") % block).alias("mix_within")).toDF(*names, "mix_frame", "mix_slot", "mix_within")
 
 
 def tempered(df: DataFrame, alpha: float = 0.5, source_column: str = "source", text_column: str = "text") -> DataFrame:

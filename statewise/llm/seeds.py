@@ -169,3 +169,26 @@ def contamination(
         spans.alias("spans"),
         (F.size("overlaps") > 0).alias("contaminated"),
     )
+
+
+def clean_rows(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of ``documents`` without a verified overlap, with all their columns as they are.
+
+    Null and empty texts stay. Rows that one chunk of items clears go on to the next.
+    """
+    place = documents.columns.index(text_column)
+    for ids, texts in item_chunks(items, item_column, item_text):
+
+        def scan(batches, ids=ids, texts=texts):
+            chunk = Items(ids, texts, masks)
+            for batch in batches:
+                bodies = [lower_ascii(t) for t in byte_texts(batch.column(place))]
+                clean = np.ones(batch.num_rows, dtype=bool)
+                if chunk.ids:
+                    for a, b in chunks(bodies):
+                        for t, *_ in chunk.overlaps(Words(bodies[a:b])):
+                            clean[a + t] = False
+                yield batch.filter(pa.array(clean))
+
+        documents = documents.mapInArrow(scan, documents.schema)
+    return documents

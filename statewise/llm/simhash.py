@@ -14,13 +14,15 @@ measured in the tests.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewise.llm.common import byte_texts, components, mixed, written
+from statewise.llm.common import byte_texts, components, mixed, numbered, written
 
 SEED = 42
 SMALL_RUN = 16  # entries of a key compared by shifted arrays, all pairs
@@ -185,6 +187,15 @@ def links(classes: DataFrame, parts: int, segment: int, distance: int) -> DataFr
     return met.select(name("a").alias("a"), name("b").alias("b")).distinct()
 
 
+def class_components(prints: DataFrame, parts: int, segment: int, distance: int) -> DataFrame:
+    """(f0, f1, ..., node, component) of each distinct fingerprint of ``prints``; node and
+    component are hexadecimal, a fingerprint without links is its own component."""
+    columns = [f"f{p}" for p in range(parts)]
+    classes = written(prints.select(*columns).distinct().withColumn("node", hexadecimal(parts)), "classes")
+    joined = components(links(classes, parts, segment, distance))
+    return classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def near_duplicates(
     df: DataFrame, shingle: int = 5, parts: int = 1, segment: int = 32, distance: int = 2, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -200,9 +211,35 @@ def near_duplicates(
     """
     prints = written(fingerprints(df, shingle, parts, id_column, text_column), "fingerprints")
     columns = [f"f{p}" for p in range(parts)]
-    classes = written(prints.groupBy(*columns).agg(F.min("_id").alias("least")).withColumn("node", hexadecimal(parts)), "classes")
-    joined = components(links(classes, parts, segment, distance))
-    of_class = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_class = written(class_components(prints, parts, segment, distance).join(prints.groupBy(*columns).agg(F.min("_id").alias("least")), columns), "components")
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
     found = of_class.join(least, "component").select(*columns, F.col("node").alias("fingerprint"), "component_id")
     return prints.join(found, columns).select(F.col("_id").alias(id_column), "fingerprint", "component_id")
+
+
+def distance_of(similarity: float, bits: int) -> int:
+    """Differing bits that texts of this Jaccard similarity of shingles stay below, 5 times in 6."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 2, segment: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The row with the smallest id of each group of near-duplicates, with all its columns.
+
+    Texts are linked if their fingerprints of 64 bits a part are as near as texts
+    of this similarity are; a group is all that links reach. Null ids come last;
+    of equal ids the row that is read first stays. Empty and null texts are copies
+    of each other. Tests measure how many pairs of the similarity are found.
+    """
+    plain_names = [f"c{i}" for i in range(len(df.columns))]  # whatever the columns are called
+    rows = numbered(df.toDF(*plain_names), *plain_names)
+    order, text = (plain_names[df.columns.index(c)] for c in (id_column, text_column))
+    keys = rows.select("_row", F.col(order).alias("_order"), F.col(text).alias("_text"))
+    plain = fingerprints(keys, shingle, parts, "_row", "_text").withColumnRenamed("_id", "_row")
+    prints = written(plain, "fingerprints")
+    columns = [f"f{p}" for p in range(parts)]
+    of_class = class_components(prints, parts, segment, distance_of(similarity, 64 * parts))
+    placed = prints.join(of_class.select(*columns, "component"), columns).join(keys.select("_row", "_order"), "_row")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("_order").isNull().alias("a"), F.col("_order").alias("b"), F.col("_row").alias("c"))).alias("first"))
+    kept = written(first.select(F.col("first.c").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").drop("_row").toDF(*df.columns)

@@ -147,6 +147,42 @@ def features(rows: DataFrame, terms: np.ndarray) -> tuple[list[list[int]], np.nd
     return got.column("at").to_pylist(), np.asarray(got.column("_y").to_pylist(), dtype=np.float64)
 
 
+def machine(df: DataFrame, labels: DataFrame, modulus: int = 5, bound: int = TRAIN_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Machine:
+    """Learn from labelled rows of ``df`` whose fold is not 0, ``bound`` of each label at most."""
+    rows = training_rows(df, labels, modulus, id_column, text_column, label_column, bound)
+    terms = screened(rows, TERMS, LEAST_ROWS)
+    return fit(*features(rows, terms), terms)
+
+
+class Scorer:
+    """Scores of texts by a machine; the terms of a word are looked up once."""
+
+    def __init__(self, m: Machine):
+        self.machine, self.known, self.cache = m, {int(t): i for i, t in enumerate(m.terms)}, {}
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        cache, known, found = self.cache, self.known, []
+        for text in texts:
+            at: set[int] = set()
+            for word in words_of(text):
+                terms = cache.get(word)
+                if terms is None:
+                    if len(cache) > CACHED_WORDS:
+                        cache.clear()
+                    terms = cache[word] = tuple(known[t] for t in word_terms(word) if t in known)
+                if terms:
+                    at.update(terms)
+            found.append(sorted(at))
+        scores = np.zeros(len(found))
+        for a in range(0, len(found), 512):
+            scores[a:a + 512] = self.machine.scores(dense(found[a:a + 512], len(self.machine.terms)))
+        return scores
+
+
+def _sent(df: DataFrame, m: Machine):
+    return df.sparkSession.sparkContext.broadcast((m.terms, m.bias, m.w, m.v))  # a few hundred KB: ``TERMS`` terms
+
+
 def toxicity(
     df: DataFrame, labels: DataFrame, modulus: int = 5, bound: int = TRAIN_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic"
 ) -> DataFrame:
@@ -155,37 +191,29 @@ def toxicity(
     Learns from labelled rows whose fold is not 0, ``bound`` of each label at
     most; rows without a 0/1 label or without an id are not learnt from. Only
     the text enters a score. A null or empty text has no terms and gets the score
-    of the bias; without any labels every score is 0.5. Repeated ids and rows
-    keep a row each; other columns are not read. An empty table gives an empty
-    result.
+    of the bias; without both labels every score is that of the bias. Repeated
+    ids and rows keep a row each; other columns are not read. An empty table
+    gives an empty result.
     """
-    rows = training_rows(df, labels, modulus, id_column, text_column, label_column, bound)
-    terms = screened(rows, TERMS, LEAST_ROWS)
-    machine = fit(*features(rows, terms), terms)
-    sent = df.sparkSession.sparkContext.broadcast((machine.terms, machine.bias, machine.w, machine.v))  # a few hundred KB: ``limit`` terms
+    sent = _sent(df, machine(df, labels, modulus, bound, id_column, text_column, label_column))
     kind = dict(df.dtypes)[id_column]
 
     def scan(batches):
-        m = Machine(*sent.value)
-        known = {int(t): i for i, t in enumerate(m.terms)}
-        cache: dict[str, tuple] = {}
+        score = Scorer(Machine(*sent.value))
         for batch in batches:
-            found = []
-            for text in texts_of(batch.column(1)):
-                at: set[int] = set()
-                for word in words_of(text):
-                    terms = cache.get(word)
-                    if terms is None:
-                        if len(cache) > CACHED_WORDS:
-                            cache.clear()
-                        terms = cache[word] = tuple(known[t] for t in word_terms(word) if t in known)
-                    if terms:
-                        at.update(terms)
-                found.append(sorted(at))
-            scores = np.zeros(len(found))
-            for a in range(0, len(found), 512):
-                scores[a:a + 512] = m.scores(dense(found[a:a + 512], len(m.terms)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(texts_of(batch.column(1))))], names=["_id", "score"])
 
     scored = df.select(id_column, text_column).mapInArrow(scan, f"_id {kind}, score double")
     return scored.select(F.col("_id").alias(id_column), (fold("_id", modulus) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(df: DataFrame, m: Machine, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """Rows of ``df`` whose score is below ``threshold``, with all their columns as they are."""
+    sent, place = _sent(df, m), df.columns.index(text_column)
+
+    def scan(batches):
+        score = Scorer(Machine(*sent.value))
+        for batch in batches:
+            yield batch.filter(pa.array(score(texts_of(batch.column(place))) < threshold))
+
+    return df.mapInArrow(scan, df.schema)
