@@ -38,8 +38,10 @@ def two_hop_paths(effects: DataFrame, prior: DataFrame) -> DataFrame:
     """
     mid = effects.select("source", "state", F.col("response").alias("intermediate"), F.col("effect").alias("mid_effect")).filter("intermediate <> source")
     steps = prior.filter("prior_direction <> 0").select(F.col("source").alias("intermediate"), F.col("response").alias("distal"), "prior_direction")
-    reach = mid.join(steps, "intermediate").filter("distal <> source")
     end = effects.select("source", "state", F.col("response").alias("distal"), F.col("effect").alias("distal_effect"))
+    # steps to where no effect is lead nowhere; without them the first hop stays near the result
+    steps = steps.join(end.select("distal").distinct(), "distal", "left_semi").join(mid.select("intermediate").distinct(), "intermediate", "left_semi")
+    reach = mid.join(steps, "intermediate").filter("distal <> source")
     paths = reach.join(end, ["source", "state", "distal"])
     agree = F.signum("distal_effect") == F.signum("mid_effect") * F.col("prior_direction")
     best = F.max(F.struct(F.abs("mid_effect").alias("size"), F.col("intermediate").alias("name"), agree.alias("agrees")))

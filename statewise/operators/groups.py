@@ -11,6 +11,8 @@ from statewise.functions.ordering import attach, attach_scalar, exact_quantiles,
 from statewise.functions.scalars import hash_fold, pair_key
 from statewise.functions.tails import student_two_sided
 
+TINY = 2.2250738585072014e-308  # the smallest normal double
+
 
 def group_summary(df: DataFrame, by: Sequence[str], value: str, unit: str | None = None, quantiles: Mapping[str, float] = {}) -> DataFrame:
     """size, distinct units, mean, sd (ddof 1), min, max, median and quantiles.
@@ -107,16 +109,17 @@ def implicit_zero_moments(triplets: DataFrame, sizes: DataFrame, group: str, fea
 
 
 def welch_statistics(
-    triplets: DataFrame, sizes: DataFrame, group: str, feature: str, value: str, control: str, min_cells: int = 30, min_controls: int = 500
+    triplets: DataFrame, sizes: DataFrame, group: str, feature: str, value: str, control: str, min_cells: int = 30
 ) -> DataFrame:
     """Welch statistics of every (group, feature) against the control group.
 
     All features of the control or the group are tested; a side without cells
-    for a feature has mean and variance 0.
+    for a feature has mean and variance 0. Without any spread the error is the
+    smallest double and the freedom null, which stands for infinite.
     """
     m = implicit_zero_moments(triplets, sizes, group, feature, value)
     c = m.filter(F.col(group) == control).select(feature, F.col("mean").alias("c_mean"), F.col("variance").alias("c_var"))
-    enough = sizes.filter((F.col(group) == control) & (F.col("n") >= min_controls)).agg(F.max("n").alias("c_n"))
+    enough = sizes.filter(F.col(group) == control).agg(F.max("n").alias("c_n"))
     groups = attach_scalar(sizes.filter((F.col(group) != control) & (F.col("n") >= min_cells)).select(group, "n"), enough)
     universe = c.select(feature).union(m.select(feature)).distinct()
     # features x eligible groups is the output itself
@@ -127,16 +130,18 @@ def welch_statistics(
     j = j.select(group, feature, "n", "c_n", (zero(F.col("mean")) - zero(F.col("c_mean"))).alias("difference"), a.alias("a"), b.alias("b"))
     se2 = F.col("a") + F.col("b")
     down = F.pow("a", F.lit(2)) / F.greatest(F.col("n") - 1, F.lit(1)) + F.pow("b", F.lit(2)) / F.greatest(F.col("c_n") - 1, F.lit(1))
-    return j.select(group, feature, "n", "difference", F.when(se2 > 0, F.col("difference") / F.sqrt(se2)).alias("statistic"),
+    return j.select(group, feature, "n", "difference", (F.col("difference") / F.sqrt(F.greatest(se2, F.lit(TINY)))).alias("statistic"),
                     F.when(down > 0, se2 * se2 / down).alias("freedom"))
 
 
-def welch_de(triplets, sizes, group, feature, value, control, min_cells=30, min_controls=500, fdr=0.05, min_difference=0.10) -> DataFrame:
+def welch_de(triplets, sizes, group, feature, value, control, min_cells=30, fdr=0.05, min_difference=0.10) -> DataFrame:
     """Differential features: Welch p, BH within group, significance by q and size."""
     from statewise.operators.resample import bh_adjust
 
-    t = welch_statistics(triplets, sizes, group, feature, value, control, min_cells, min_controls)
-    p = F.coalesce(student_two_sided("statistic", "freedom"), F.lit(1.0))
+    t = welch_statistics(triplets, sizes, group, feature, value, control, min_cells)
+    # infinite freedom: no spread at all, so any difference is beyond chance
+    sure = F.when(F.col("freedom").isNull() & (F.col("difference") != 0), 0.0).otherwise(1.0)
+    p = F.coalesce(student_two_sided("statistic", "freedom"), sure)
     tested = bh_adjust(t.withColumn("p", p), "p", [group])
     return tested.withColumn("significant", (F.col("q") < fdr) & (F.abs("difference") >= min_difference))
 

@@ -44,23 +44,22 @@ def auroc(df: DataFrame, by: Sequence[str], y: str, score: str, weight: str | No
 
 
 def average_precision(df: DataFrame, by: Sequence[str], y: str, score: str, weight: str | None = None, out: str = "average_precision") -> DataFrame:
-    """Step-wise average precision over tied thresholds, best score first."""
+    """Step-wise average precision over tied thresholds, best score first; null without positives."""
     w = _w(weight)
     t = df.filter(F.col(score).isNotNull()).groupBy(*by, (-F.col(score)).alias("__s")).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w).alias("all"))
     c = prefix_sums(t, by, "__s", ["pos", "all"])
     step = F.col("pos") * (F.col("before_pos") + F.col("pos")) / (F.col("before_all") + F.col("all"))
-    mixed = (F.sum("pos") > 0) & (F.sum("pos") < F.sum("all"))
-    return c.groupBy(*by).agg(F.when(mixed, F.sum(step) / F.sum("pos")).alias(out))
+    return c.groupBy(*by).agg(F.when(F.sum("pos") > 0, F.sum(step) / F.sum("pos")).alias(out))
 
 
 def early_precision_ratio(df: DataFrame, by: Sequence[str], y: str, score: str, key: Sequence[str], out: str = "early_precision_ratio") -> DataFrame:
-    """Precision among the top P rows over prevalence (P = positives)."""
+    """Precision among the top P rows over prevalence (P = positives); null without positives."""
     rows = df.withColumn("__s", -F.col(score))
     ranked = rank_first(rows, by, "__s", key, "__r", "__n")
     p = df.groupBy(*by).agg(F.sum(y).alias("__p"))
     hits = F.sum(F.when(F.col("__r") <= F.col("__p"), F.col(y)).otherwise(0))
     agg = attach(ranked, p, by).groupBy(*by).agg(hits.alias("h"), F.max("__p").alias("p"), F.count(F.lit(1)).alias("n"))
-    return agg.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("h") * F.col("n") / (F.col("p") * F.col("p"))).alias(out))
+    return agg.select(*by, F.when(F.col("p") > 0, F.col("h") * F.col("n") / (F.col("p") * F.col("p"))).alias(out))
 
 
 def target_metrics(df: DataFrame, by: Sequence[str], y: str, score: str, key: Sequence[str]) -> DataFrame:

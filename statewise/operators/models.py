@@ -141,13 +141,16 @@ def state_pool(df: DataFrame, fold: str, state: str, y: str, prior: float = 20.0
     return df.join(lookup, [*by, fold, state])
 
 
-def transfer_phenotypes(df: DataFrame, state: str, y: str, expected: str = "expected", places: int = 6) -> DataFrame:
-    """Residual, state-scaled z and tail class of an expectation."""
+def transfer_phenotypes(df: DataFrame, state: str, y: str, expected: str = "expected", places: int | None = None) -> DataFrame:
+    """Residual, state-scaled z and tail class of an expectation.
+
+    ``places`` rounds the z before the classes are cut, for comparisons across engines.
+    """
     out = reread(df).withColumn("residual", F.col(y) - F.col(expected))
     z = zscore_within(out, [state], "residual", 1, False, "transfer_z")
-    # rounding first makes the cut-offs reproducible on any summation order
-    scale = float(10**places)
-    z = z.withColumn("transfer_z", F.floor(F.col("transfer_z") * scale + 0.4937) / scale)
+    if places is not None:
+        scale = float(10**places)
+        z = z.withColumn("transfer_z", F.floor(F.col("transfer_z") * scale + 0.4937) / scale)
     return tail_class(z, "transfer_z", 0.10, 0.90, (), "transfer_class")
 
 
@@ -359,7 +362,7 @@ def applicability(df: DataFrame, numeric: Sequence[str], error: str, key: Sequen
     df = cut_lineage(df)  # read by every fold
     stages = preprocess(numeric)
     rows, table = None, []
-    values = sorted(r[0] for r in df.select(inner).distinct().limit(65).collect() if r[0] != 0)
+    values = sorted(r[0] for r in df.select(inner).distinct().collect() if r[0] != 0)
     for f in folds:
         outer = df.filter(F.col(fold) != f)
         proper, calibration = outer.filter(F.col(inner) != 0), outer.filter(F.col(inner) == 0)

@@ -14,7 +14,7 @@ from statewise.plans.bindings import DUCK, q6
 from statewise.plans.queries_groups import r6
 from statewise.plans.queries_tables import GWAS_SQL
 from statewise.plans.registry import query, with_views
-from statewise.session import scratch_path
+from statewise.session import cut_lineage, scratch_path
 from statewise.streaming import scans as st
 
 D = DUCK
@@ -68,7 +68,7 @@ EVIDENCE = TWO_HOP + """, mo AS (SELECT DISTINCT source, response FROM priors WH
 
 
 def _evidence(b):
-    ef, li = _effects(b), b.table("lineitem")
+    ef, li = cut_lineage(_effects(b)), b.table("lineitem")  # read for the edges, the units and both hops
     contacts = li.select((F.col("l_partkey") % 400).alias("response"), F.col("l_returnflag").alias("state"), (F.col("l_quantity") / 5).alias("score"), (F.col("l_linestatus") == "O").alias("open"),
                          (F.col("l_tax") > 0.03).alias("marked"), (F.col("l_linenumber") % 3).alias("prey"))
     n = lambda c: F.sum(c.cast("bigint"))
@@ -76,7 +76,7 @@ def _evidence(b):
     ct = contacts.filter("score > 9.6").groupBy("response", "state").agg(n(act).alias("active_links"), n(act & (F.col("prey") > 1)).alias("occupied_enhancer_links"))
     units = ef.groupBy("source", "state").agg((F.min("effect") - 0.01).alias("cis"), (F.count(F.lit(1)) % 2 == 0).alias("guide_concordant")).withColumn("occupancy_compatible", F.col("source") % 3 == 0)
     promoters = b.table("part").groupBy((F.col("p_partkey") % 400).alias("response")).agg(n(F.col("p_size") < 5).alias("promoter_peaks"))
-    prior, motifs = _curated(b), b.view("priors").filter("resource = 'motif-x'").select("source", "response")
+    prior, motifs = cut_lineage(_curated(b)), b.view("priors").filter("resource = 'motif-x'").select("source", "response")
     return ev.edge_evidence(ef, prior, motifs, ct, units, promoters, ev.two_hop_paths(ef, prior)), contacts
 
 

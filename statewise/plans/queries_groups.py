@@ -110,7 +110,7 @@ def _(b):
 
 @query("e10_welch_statistics", lambda: f"""
     WITH {CELLS_SQL}, j AS (SELECT a.grp, a.feature, a.n, a.mean - c.mean AS difference, a.variance / a.n AS va, c.variance / c.n AS vc, c.n AS cn FROM m a JOIN m c ON a.feature = c.feature AND c.grp = '5-LOW' AND a.grp <> '5-LOW')
-    SELECT grp, feature, n, {D.q6('difference')} AS difference, {D.q6('difference / sqrt(va + vc)')} AS statistic, {D.q6('pow(va + vc, 2) / (va * va / (n - 1) + vc * vc / (cn - 1))', 3)} AS freedom FROM j""")
+    SELECT grp, feature, n, {D.q6('difference')} AS difference, {D.q6('difference / sqrt(greatest(va + vc, 2.2250738585072014e-308))')} AS statistic, {D.q6('pow(va + vc, 2) / nullif(va * va / greatest(n - 1, 1) + vc * vc / greatest(cn - 1, 1), 0)', 3)} AS freedom FROM j""")
 def _(b):
     trip, sizes = _cell_triplets(b)
     out = gr.welch_statistics(trip, sizes, "grp", "feature", "value", "5-LOW")

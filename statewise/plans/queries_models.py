@@ -98,7 +98,7 @@ POOL = f""", t AS (SELECT target, state, ln(1 + downstream) AS y, {D.fold('targe
 def _flagship(b):
     p = ct.quality_filter(b.view("summary"), 2, 3)
     t = p.select("target", "state", F.log1p(F.col("downstream").cast("double")).alias("y"), hash_fold(F.col("target"), 10).alias("fold"))
-    return md.transfer_phenotypes(md.state_pool(t, "fold", "state", "y", 20.0), "state", "y")
+    return md.transfer_phenotypes(md.state_pool(t, "fold", "state", "y", 20.0), "state", "y", places=6)
 
 
 @query("j7_state_pool_transfer", lambda: with_views("passed", POOL + " SELECT state, transfer_class, count(*) AS n, " + D.q6("avg(z)") + " AS mean_z, min(z) AS min_z, max(z) AS max_z FROM k GROUP BY state, transfer_class"))

@@ -72,10 +72,10 @@ def _(b):
 
 
 @query("h4_binomial_test", lambda: with_views("cis trans", f"""
-    , j AS (SELECT c.snp_chrom, sign(c.z) = sign(t.z) AS hit FROM cis c JOIN trans t ON c.snp = t.snp AND c.snp % 10 < 3 AND c.z <> 0 AND t.z <> 0), s AS (SELECT snp_chrom, count(*) FILTER (WHERE hit) AS hits, count(*) AS n FROM j GROUP BY 1)
+    , j AS (SELECT c.snp_chrom, sign(c.z) = sign(t.z) AS hit FROM cis c JOIN trans t ON c.snp = t.snp AND c.z <> 0 AND t.z <> 0), s AS (SELECT snp_chrom, count(*) FILTER (WHERE hit) AS hits, count(*) AS n FROM j GROUP BY 1)
     SELECT snp_chrom, hits, n, {D.q6('least(sum(exp(' + _choose('n', 'i') + ' - n * ln(2))), 1)')} AS p_value FROM s, range(0, 40000) r(i) WHERE i BETWEEN hits AND n GROUP BY ALL"""))
 def _(b):
-    c, t = b.view("cis").filter("z <> 0 AND snp % 10 < 3").select("snp", "snp_chrom", F.col("z").alias("cz")), b.view("trans").filter("z <> 0").select("snp", F.col("z").alias("tz"))
+    c, t = b.view("cis").filter("z <> 0").select("snp", "snp_chrom", F.col("z").alias("cz")), b.view("trans").filter("z <> 0").select("snp", F.col("z").alias("tz"))
     j = c.join(t, "snp").select("snp_chrom", (F.signum("cz") == F.signum("tz")).alias("hit"))
     return r6(st.binomial_test(j, ["snp_chrom"], "hit"), "p_value")
 
@@ -176,7 +176,11 @@ EPR_SQL = """ep AS (SELECT {by}, sum(CASE WHEN rn <= p THEN y ELSE 0 END) * max(
       row_number() OVER (PARTITION BY {by} ORDER BY {s} DESC, md5(concat_ws('|', {key})), {key}) AS rn FROM {src}) GROUP BY {by} HAVING max(p) BETWEEN 1 AND max(n) - 1)"""
 
 
-@query("h13_early_precision_ratio", lambda: with_views("scored", ", " + EPR_SQL.format(by="dataset", s="score_a", key="unit", src="scored") + f" SELECT dataset, {D.q6('epr')} AS early_precision_ratio FROM ep"))
+# with the groups of one class: 1 if all are positive, null if none is
+EPR_ALL_SQL = EPR_SQL.replace(" HAVING max(p) BETWEEN 1 AND max(n) - 1", "").replace("(max(p) * max(p))", "nullif(max(p) * max(p), 0)")
+
+
+@query("h13_early_precision_ratio", lambda: with_views("scored", ", " + EPR_ALL_SQL.format(by="dataset", s="score_a", key="unit", src="scored") + f" SELECT dataset, {D.q6('epr')} AS early_precision_ratio FROM ep"))
 def _(b):
     return r6(mx.early_precision_ratio(b.view("scored"), ["dataset"], "y", "score_a", ["unit"]), "early_precision_ratio")
 

@@ -50,12 +50,16 @@ def stream_order_check(stream: DataFrame, position: str, coordinate: str, key: S
         batch = batch.persist()
         inside = order_violations(batch, position, coordinate)
         ends = batch.agg(F.min_by(coordinate, position).alias("first_c"), F.max_by(coordinate, position).alias("last_c")).first()
-        if ends["first_c"] is None:
+        carried = spark.read.parquet(f"{work}/tail/batch={batch_id - 1}") if batch_id > 0 else None
+        if ends["first_c"] is None:  # nothing arrived: what was carried goes on
+            kept = carried if carried is not None else batch.select(F.col(coordinate).alias("c"), *key).limit(0)
+            kept.write.mode("overwrite").parquet(f"{work}/tail/batch={batch_id}")
+            nothing = [F.lit(0).cast("long").alias(c) for c in ("order_violations", "duplicate_keys", "rows")]
+            spark.range(1).select(*nothing).write.mode("overwrite").parquet(f"{work}/counts/batch={batch_id}")
             batch.unpersist()
             return
-        seam, carried = 0, None
-        if batch_id > 0:
-            carried = spark.read.parquet(f"{work}/tail/batch={batch_id - 1}")
+        seam = 0
+        if carried is not None:
             before = carried.agg(F.max("c")).first()[0]
             seam = int(before is not None and ends["first_c"] < before)
         repeated = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicate_keys"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows"))
