@@ -138,7 +138,7 @@ def _edges(d: Dialect) -> str:
     SELECT l_suppkey AS source, l_returnflag AS state, l_partkey AS response,
       (cast(sum({CENTS}) as double) / count(*) - 5) / 100 AS effect,
       cast(sign(sum({CENTS}) - 5 * count(*)) as int) AS direction
-    FROM {d.t('lineitem')} WHERE l_quantity > 10 GROUP BY l_suppkey, l_returnflag, l_partkey"""
+    FROM {d.t('lineitem')} GROUP BY l_suppkey, l_returnflag, l_partkey"""
 
 
 def _priors(d: Dialect) -> str:
@@ -146,7 +146,7 @@ def _priors(d: Dialect) -> str:
     return f"""
     SELECT l_suppkey AS source, l_partkey AS response, CASE WHEN {CENTS} > 5 THEN 1 WHEN {CENTS} < 5 THEN -1 ELSE 0 END AS direction,
       CASE l_linenumber % 4 WHEN 0 THEN 'curated-a' WHEN 1 THEN 'curated-b' WHEN 2 THEN 'motif-x' ELSE 'regulon-y' END AS resource
-    FROM {d.t('lineitem')} WHERE l_quantity > 30"""
+    FROM {d.t('lineitem')}"""
 
 
 def _points(d: Dialect) -> str:
@@ -210,7 +210,7 @@ def _cells(d: Dialect) -> str:
     return f"""
     SELECT o_orderpriority AS dataset, l_orderkey AS cell_id, p_brand AS label
     FROM {d.t('lineitem')} JOIN {d.t('part')} ON p_partkey = l_partkey
-    JOIN {d.t('orders')} ON o_orderkey = l_orderkey WHERE l_quantity > 40"""
+    JOIN {d.t('orders')} ON o_orderkey = l_orderkey"""
 
 
 def _dense(d: Dialect) -> str:

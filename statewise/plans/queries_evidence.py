@@ -226,13 +226,13 @@ def _(b):
 
 
 @query("k5_convergence_edges", lambda: """
-    WITH g AS (SELECT DISTINCT s_nationkey AS locus, concat('g', s_suppkey) AS gene, CASE WHEN s_acctbal > 5000 THEN 'trait' END AS trait FROM supplier WHERE s_nationkey > 3), p AS (SELECT DISTINCT concat('g', l_suppkey) AS gene, concat('pr', l_partkey % 7) AS program FROM lineitem WHERE l_suppkey % 3 = 0),
+    WITH g AS (SELECT DISTINCT s_nationkey AS locus, concat('g', s_suppkey) AS gene, CASE WHEN s_acctbal > 5000 THEN 'trait' END AS trait FROM supplier), p AS (SELECT DISTINCT concat('g', l_suppkey) AS gene, concat('pr', l_partkey % 7) AS program FROM lineitem),
     v AS (SELECT c_nationkey AS locus, concat('v', c_custkey) AS variant FROM customer), e AS (SELECT coalesce(variant, 'unavailable') AS source, coalesce(gene, 'unavailable') AS target, 'variant_gene' AS relation FROM v LEFT JOIN g USING (locus)
       UNION SELECT g.gene, coalesce(program, 'unavailable'), 'gene_program' FROM g LEFT JOIN p USING (gene) UNION SELECT coalesce(program, 'unavailable'), coalesce(trait, 'unavailable'), 'program_trait' FROM g LEFT JOIN p USING (gene))
     SELECT DISTINCT source, target, relation, source <> 'unavailable' AND target <> 'unavailable' AS available FROM e""")
 def _(b):
-    genes = b.table("supplier").filter("s_nationkey > 3").select(F.col("s_nationkey").alias("locus"), F.concat(F.lit("g"), "s_suppkey").alias("gene"), F.when(F.col("s_acctbal") > 5000, "trait").alias("trait"))
-    programs = b.table("lineitem").filter("l_suppkey % 3 = 0").select(F.concat(F.lit("g"), "l_suppkey").alias("gene"), F.concat(F.lit("pr"), F.col("l_partkey") % 7).alias("program")).distinct()
+    genes = b.table("supplier").select(F.col("s_nationkey").alias("locus"), F.concat(F.lit("g"), "s_suppkey").alias("gene"), F.when(F.col("s_acctbal") > 5000, "trait").alias("trait"))
+    programs = b.table("lineitem").select(F.concat(F.lit("g"), "l_suppkey").alias("gene"), F.concat(F.lit("pr"), F.col("l_partkey") % 7).alias("program")).distinct()
     variants = b.table("customer").select(F.col("c_nationkey").alias("locus"), F.concat(F.lit("v"), "c_custkey").alias("variant"))
     return gp.convergence_edges(variants, genes, programs)
 

@@ -124,11 +124,11 @@ def _(b):
 
 @query("d9_candidate_pairs", lambda: with_views("edges", """
     SELECT s_suppkey AS regulator, p_partkey AS gene, CAST(g.response IS NOT NULL AS INT) AS gold
-    FROM (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) r JOIN part ON s_suppkey <> p_partkey
+    FROM supplier JOIN part ON s_suppkey <> p_partkey
     LEFT JOIN (SELECT DISTINCT source, response FROM edges WHERE direction = 1) g ON g.source = s_suppkey AND g.response = p_partkey"""))
 def _(b):
     genes = b.table("part").select(F.col("p_partkey").alias("gene"))
-    regulators = b.table("supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("regulator"))
+    regulators = b.table("supplier").select(F.col("s_suppkey").alias("regulator"))
     gold = b.view("edges").filter("direction = 1").select(F.col("source").alias("regulator"), F.col("response").alias("gene"))
     return jn.candidate_pairs(genes, regulators, gold)
 
@@ -221,8 +221,8 @@ def _(b):
 
 @query("d18_pair_partner_features", lambda: f"""
     WITH att AS (SELECT l_suppkey AS guide, count(*) AS n, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, count(*) FILTER (WHERE l_quantity > 40) AS hits,
-        count(*) FILTER (WHERE l_tax > 0.07)::DOUBLE AS quality FROM lineitem WHERE l_suppkey % 9 <> 0 GROUP BY l_suppkey),
-    p AS (SELECT DISTINCT l_orderkey % 500 AS pair, l_suppkey AS guide_1, (l_suppkey * 7 + 3) % 100 AS guide_2, 200 AS n_union FROM lineitem WHERE l_linenumber = 1),
+        count(*) FILTER (WHERE l_tax > 0.07)::DOUBLE AS quality FROM lineitem GROUP BY l_suppkey),
+    p AS (SELECT DISTINCT l_orderkey % 500 AS pair, l_suppkey AS guide_1, (l_suppkey * 7 + 3) % 100 AS guide_2, 200 AS n_union FROM lineitem),
     j AS (SELECT p.*, a.n AS n1, c.n AS n2, a.mean AS m1, c.mean AS m2, a.std AS s1, c.std AS s2, a.hits AS h1, c.hits AS h2, a.quality AS q1, c.quality AS q2,
         a.hits + c.hits - n_union AS ov, c.mean - a.mean AS dm, ln(1 + c.hits) - ln(1 + a.hits) AS dh FROM p LEFT JOIN att a ON a.guide = guide_1 LEFT JOIN att c ON c.guide = guide_2)
     SELECT pair, guide_1, guide_2, CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN least(n1, n2) END AS min_n,
@@ -236,10 +236,10 @@ def _(b):
 def _(b):
     t = b.table("lineitem")
     n = lambda c: F.sum(c.cast("bigint"))
-    att = t.filter("l_suppkey % 9 <> 0").groupBy(F.col("l_suppkey").alias("guide")).agg(
+    att = t.groupBy(F.col("l_suppkey").alias("guide")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"), F.stddev_samp("l_quantity").alias("std"),
         n(F.col("l_quantity") > 40).alias("hits"), n(F.col("l_tax") > 0.07).cast("double").alias("quality"))
-    pairs = t.filter("l_linenumber = 1").select(
+    pairs = t.select(
         (F.col("l_orderkey") % 500).alias("pair"), F.col("l_suppkey").alias("guide_1"), ((F.col("l_suppkey") * 7 + 3) % 100).alias("guide_2"),
         F.lit(200).alias("n_union")).distinct()
     out = jn.pair_partner_features(pairs, att, "guide", ["n", "mean", "std", "hits", "quality"], 580)

@@ -163,11 +163,11 @@ def _(b):
     return r6(vx.core_permutation_null(e, strata, "target", "stratum", STATES, 10, 40), "mean_core_fraction")
 
 
-SETS = "st AS (SELECT DISTINCT p_type AS set_id, concat('F', p_partkey % 40) AS member FROM part WHERE p_size < 4)"
+SETS = "st AS (SELECT DISTINCT p_type AS set_id, concat('F', p_partkey % 40) AS member FROM part)"
 
 
 def _sets(b):
-    return b.table("part").filter("p_size < 4").select(F.col("p_type").alias("set_id"), F.concat(F.lit("F"), F.col("p_partkey") % 40).alias("member")).distinct()
+    return b.table("part").select(F.col("p_type").alias("set_id"), F.concat(F.lit("F"), F.col("p_partkey") % 40).alias("member")).distinct()
 
 
 @query("i14_set_activity", lambda: with_views("effects", f""", {SETS}, z AS (SELECT *, count(*) OVER (PARTITION BY set_id) AS k FROM st)
