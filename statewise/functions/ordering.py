@@ -5,9 +5,9 @@ state, a family, the whole table) holds a large share of all rows. Here a group
 above ``ROWS_PER_BUCKET`` rows is cut into ordered buckets at approximate
 quantiles; each bucket is sorted on its own and shifted by the total of the
 buckets before it. Results are exact: the sketch only places the cuts. Groups
-below the limit keep a single bucket and behave like a plain window. When
-Catalyst's own size estimate says that the whole input is small, the plain
-window is used at once; both forms give the same rows.
+below the limit keep a single bucket and behave like a plain window. When the counted
+rows of the whole input are below the limit, the plain window is used at once;
+both forms give the same rows.
 """
 
 from __future__ import annotations
@@ -23,22 +23,19 @@ from statewise.session import cut_lineage
 ROWS_PER_BUCKET = 1_000_000
 FAN_OUT = 32  # two levels of 32 give 1,024 buckets per large group
 _CUTS = FAN_OUT * FAN_OUT - 1
-ONE_TASK_BYTES = 64 << 20
 _FRACTIONS = "cast(split('" + ",".join(repr((i + 1) / (_CUTS + 1)) for i in range(_CUTS)) + "', ',') as array<double>)"
 
 
 def fits_one_task(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> bool:
-    """Whether the planner's size estimate bounds every group of ``df``.
+    """Whether the counted rows of ``df`` bound every group of it.
 
-    Estimates come from file sizes and multiply over joins, so they err on the
-    large side. ``limit`` other than the default asks for the bucketed form.
+    Counting stops just above the limit. ``limit`` other than the default asks
+    for the bucketed form.
     """
-    if limit != ROWS_PER_BUCKET:
-        return False
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_TASK_BYTES
+    return limit == ROWS_PER_BUCKET and df.limit(limit + 1).count() <= limit
 
 
-_HEAVY = ("Join", "Aggregate", "Window", "InPandas", "GroupsIn")
+_HEAVY = ("Join", "Aggregate", "Window", "Generate", "InPandas", "GroupsIn")
 
 
 def reread(df: DataFrame) -> DataFrame:
@@ -51,21 +48,15 @@ def reread(df: DataFrame) -> DataFrame:
 def settled(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> tuple[DataFrame, bool]:
     """The input, ready to be read several times, and whether one task can hold it.
 
-    A deep plan (joins, aggregations) that the planner cannot bound is written
-    once to the checkpoint folder instead of being computed again for the cuts,
-    the shifts and the rows; its row count is then known and decides.
+    A deep plan (joins, aggregations, generators) is written once to the
+    checkpoint folder instead of being computed again for the count, the cuts, the
+    shifts and the rows. The rows are counted, never estimated: file sizes say
+    little about how many rows a compressed column or a generator holds.
     """
     if limit != ROWS_PER_BUCKET:
         return df, False
-    if fits_one_task(df, limit):
-        return df, True
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    written = "LogicalRDD" in plan or "InMemoryRelation" in plan
-    deep = any(word in plan for word in _HEAVY)
-    if not deep and not written:
-        return df, False
-    kept = cut_lineage(df) if deep else df
-    return kept, kept.limit(ROWS_PER_BUCKET + 1).count() <= ROWS_PER_BUCKET
+    kept = reread(df)
+    return kept, fits_one_task(kept, limit)
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
