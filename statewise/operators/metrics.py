@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewise.functions.hashing import draw, replicates
-from statewise.functions.ordering import attach, exact_quantiles, prefix_sums, rank_average, rank_first
+from statewise.functions.ordering import attach, exact_quantiles, prefix_sums, rank_average, rank_first, reread
 from statewise.operators.ranks import bin_of_rank
-from statewise.operators.resample import bootstrap_sums, interval
+from statewise.operators.resample import bh_adjust, bootstrap_sums, interval
 
 
 def _w(weight: str | None) -> Column:
@@ -81,6 +81,33 @@ def macro_metrics(df: DataFrame, by: Sequence[str], target: str, y: str, score:
     return est.join(ci, [*by, "metric"])
 
 
+def paired_contrasts(
+    df: DataFrame, by: Sequence[str], target: str, y: str, a: str, b: str, key: Sequence[str], minimum_targets: int = 100, alpha: float = 0.05,
+    count: int = 2000, seed: int = 20260912,
+) -> DataFrame:
+    """Two scores of the same rows compared target by target, one row per (by, metric).
+
+    Mean of each score's metric and of the paired difference, interval, error and
+    centred two-sided p from a bootstrap over targets, BH over all rows, and the
+    result: the score that wins beyond ``alpha`` with an interval on its side,
+    unresolved, or underpowered below ``minimum_targets``.
+    """
+    names = ["auroc", "auprc", "early_precision_ratio"]
+    cell = [*by, "metric"]
+    df = reread(df.select(*by, target, y, a, b, *key))
+    one = target_metrics(df, [*by, target], y, a, key).unpivot([*by, target], names, "metric", "value_a")
+    two = target_metrics(df, [*by, target], y, b, key).unpivot([*by, target], names, "metric", "value_b")
+    each = reread(one.join(two, [*by, target, "metric"]).withColumn("v", F.col("value_a") - F.col("value_b")))
+    means = each.groupBy(*cell).agg(F.count("v").alias("targets"), F.avg("value_a").alias("mean_a"), F.avg("value_b").alias("mean_b"), F.avg("v").alias("difference"))
+    draws = bootstrap_sums(each, cell, target, {"s": F.col("v"), "c": F.lit(1)}, count, seed).withColumn("value", F.col("s") / F.col("c"))
+    beyond = F.sum((F.abs(F.col("value") - F.col("difference")) >= F.abs("difference")).cast("bigint"))
+    null = draws.join(means.select(*cell, "difference"), cell).groupBy(*cell).agg(F.stddev_samp("value").alias("standard_error"), ((beyond + 1) / F.lit(count + 1.0)).alias("p_value"))
+    out = bh_adjust(means.join(interval(draws, cell), cell).join(null, cell), "p_value", [], None, "q_value")
+    sure = F.col("q_value") < alpha
+    result = F.when(F.col("targets") < minimum_targets, "underpowered").when(sure & (F.col("ci_low") > 0), "a_superior").when(sure & (F.col("ci_high") < 0), "b_superior")
+    return out.withColumn("result", result.otherwise("unresolved"))
+
+
 def loss_improvement(df: DataFrame, by: Sequence[str], y: str, a: str, b: str, clip: float = 1e-12) -> DataFrame:
     """Brier and log loss of two probabilities and the improvement of b over a."""
     sq = lambda p: F.avg(F.pow(F.col(y) - F.col(p), F.lit(2)))

@@ -214,6 +214,33 @@ def _(b):
     return r6(mx.macro_metrics(_cand(b), ["dataset"], "target", "y", "score", ["edge"], R, 5), "estimate", "ci_low", "ci_high")
 
 
+def _contrast_ctes():
+    def parts(k, s):
+        ap = AP_SQL.format(by="target", s=s, src="c").replace("ap AS (", f"ap{k} AS (", 1)
+        ep = EPR_SQL.format(by="target", s=s, key="edge", src="c").replace("ep AS (", f"ep{k} AS (", 1)
+        return f"au{k} AS (SELECT target, {AUROC_SQL} AS auroc FROM (SELECT target, y, {avg_rank(s, 'target')} AS r FROM c) GROUP BY target), {ap}, {ep}"
+
+    return f""", c AS (SELECT response % 60 AS target, abs(effect) AS score, ((response * 7 + source) % 100)::DOUBLE / 100 AS other, (direction = 1)::INT AS y, concat_ws('-', source, response, state) AS edge FROM edges),
+      {parts(1, 'score')}, {parts(2, 'other')},
+      m AS (SELECT target, 'auroc' AS metric, au1.auroc AS a, au2.auroc AS b FROM au1 JOIN au2 USING (target) WHERE au1.auroc IS NOT NULL UNION ALL SELECT target, 'auprc', ap1.ap, ap2.ap FROM ap1 JOIN ap2 USING (target) JOIN ep1 USING (target)
+        UNION ALL SELECT target, 'early_precision_ratio', ep1.epr, ep2.epr FROM ep1 JOIN ep2 USING (target)),
+      e AS (SELECT metric, count(*) AS targets, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS difference FROM m GROUP BY metric),
+      ux AS (SELECT metric, a - b AS v, row_number() OVER (PARTITION BY metric ORDER BY md5(concat_ws('|', target)), target) - 1 AS idx, count(*) OVER (PARTITION BY metric) AS n FROM m),
+      dr AS (SELECT metric, r AS replicate, {D.draw('n', "'5'", "'one'", 'metric', 'r', 'idx')} AS idx FROM ux, range({R}) x(r)), bs AS (SELECT metric, replicate, avg(v) AS v FROM dr JOIN ux USING (metric, idx) GROUP BY ALL),
+      s AS (SELECT metric, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, stddev_samp(v) AS standard_error, (count(*) FILTER (WHERE abs(v - difference) >= abs(difference)) + 1)::DOUBLE / {R + 1} AS p_value FROM bs JOIN e USING (metric) GROUP BY metric),
+      b AS (SELECT *, p_value * count(*) OVER () / count(*) OVER (ORDER BY p_value) AS raw FROM s), f AS (SELECT *, least(min(raw) OVER (ORDER BY p_value DESC), 1) AS q_value FROM b)"""
+
+
+@query("h31_paired_contrasts", lambda: with_views("edges", _contrast_ctes() + f"""
+    SELECT 'one' AS dataset, metric, targets, {', '.join(f"{D.q6(x)} AS {x}" for x in ('mean_a', 'mean_b', 'difference', 'ci_low', 'ci_high', 'standard_error', 'p_value', 'q_value'))},
+      CASE WHEN targets < 50 THEN 'underpowered' WHEN q_value < 0.05 AND ci_low > 0 THEN 'a_superior' WHEN q_value < 0.05 AND ci_high < 0 THEN 'b_superior' ELSE 'unresolved' END AS result FROM f JOIN e USING (metric)"""))
+def _(b):
+    c = b.view("edges").select(F.lit("one").alias("dataset"), (F.col("response") % 60).alias("target"), F.abs("effect").alias("score"), (((F.col("response") * 7 + F.col("source")) % 100).cast("double") / 100).alias("other"),
+                               (F.col("direction") == 1).cast("int").alias("y"), F.concat_ws("-", "source", "response", "state").alias("edge"))
+    out = mx.paired_contrasts(c, ["dataset"], "target", "y", "score", "other", ["edge"], 50, 0.05, R, 5)
+    return r6(out, "mean_a", "mean_b", "difference", "ci_low", "ci_high", "standard_error", "p_value", "q_value")
+
+
 def _ll(p):
     return f"avg(-(y * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12))))"
 
