@@ -7,6 +7,7 @@ when a task is run again. The resampled unit is always the independent cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -221,16 +222,22 @@ def condition_switch_null(df: DataFrame, unit: str, state: str, value: str, coun
 
 # rewiring
 
-def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds: int, seed: int) -> DataFrame:
+def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds: int, seed: int, swaps_per_edge: float = 1.0) -> DataFrame:
     """Degree-preserving rewiring of a simple directed graph, all replicates at once.
 
     Each round pairs edges by hash order inside a replicate and proposes
     (a,d),(c,b). A pair is kept only when both proposals are no self edge, occur
     once in the round and are not present already; so every in- and out-degree
     and simplicity survive. Lineage is cut after each round.
+
+    A replicate goes on until it has ``swaps_per_edge`` accepted swaps an edge, or
+    for ``rounds`` rounds. Each row carries its replicate's ``successful_swaps``
+    and ``status``: ok, or incomplete_swap when the rounds ended first.
     """
     current = edges.select(F.col(source).alias("a"), F.col(target).alias("b"), F.explode(replicates(count)).alias("replicate"))
-    sizes = edges.agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(edges.agg(F.count(F.lit(1)).alias("n")))
+    wanted = math.ceil(swaps_per_edge * sizes.first()[0])
+    accepted = edges.sparkSession.range(count).select(F.col("id").alias("replicate"), F.lit(0).cast("bigint").alias("successful_swaps"))
     for i in range(rounds):
         hashed = attach_scalar(current, sizes).withColumn("h", digest(seed, i, F.col("replicate"), F.col("a"), F.col("b")))
         placed = hash_rank(hashed, ["replicate"], "h", ["a", "b"], "pos", size="n")
@@ -242,20 +249,30 @@ def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds:
         once = swapped.groupBy("replicate", "a", "b").agg(F.count(F.lit(1)).alias("times"), F.max("pair").alias("pair"), F.max("k").alias("k"))
         fresh = once.filter((F.col("times") == 1) & (F.col("k") == 2) & (F.col("a") != F.col("b"))).join(
             current, ["replicate", "a", "b"], "left_anti")
-        good = fresh.groupBy("replicate", "pair").agg(F.count(F.lit(1)).alias("c")).filter("c = 2").select("replicate", "pair")
+        going = F.broadcast(accepted.filter(F.col("successful_swaps") < wanted).select("replicate"))  # a row for each replicate at most
+        good = fresh.groupBy("replicate", "pair").agg(F.count(F.lit(1)).alias("c")).filter("c = 2").select("replicate", "pair").join(going, "replicate", "left_semi")
+        good = cut_lineage(good)
+        gained = good.groupBy("replicate").agg(F.count(F.lit(1)).alias("gained"))
+        accepted = cut_lineage(accepted.join(gained, "replicate", "left").select("replicate", (F.col("successful_swaps") + F.coalesce("gained", F.lit(0))).alias("successful_swaps")))
         judged = pairs.join(good.withColumn("ok", F.lit(True)), ["replicate", "pair"], "left")
         keep = F.when(F.col("k") == 1, F.array("e")).otherwise(F.array("e", "f"))
         swap = F.array(F.struct(F.col("e.a").alias("a"), F.col("f.b").alias("b")), F.struct(F.col("f.a").alias("a"), F.col("e.b").alias("b")))
         current = cut_lineage(judged.select("replicate", F.explode(F.when(F.col("ok"), swap).otherwise(keep)).alias("x")).select("replicate", "x.a", "x.b"))
-    return current.select("replicate", F.col("a").alias(source), F.col("b").alias(target))
+        if accepted.filter(F.col("successful_swaps") < wanted).isEmpty():
+            break
+    status = F.when(F.col("successful_swaps") >= wanted, "ok").otherwise("incomplete_swap")
+    done = F.broadcast(accepted.withColumn("status", status))
+    return current.join(done, "replicate").select("replicate", F.col("a").alias(source), F.col("b").alias(target), "successful_swaps", "status")
 
 
 def rewiring_report(rewired: DataFrame, edges: DataFrame, source: str, target: str, reference: DataFrame) -> DataFrame:
-    """Per replicate: edges, edges changed, degree errors (must be 0) and overlap with a reference set."""
+    """Per replicate: edges, swaps and status, edges changed, repeated and self edges and degree errors
+    (must be 0), and overlap with a reference set."""
     marked = rewired.join(edges.select(source, target).withColumn("__same", F.lit(1)), [source, target], "left")
     marked = marked.join(reference.select(source, target).distinct().withColumn("__ref", F.lit(1)), [source, target], "left")
     base = marked.groupBy("replicate").agg(
-        F.count(F.lit(1)).alias("edges"), F.sum(F.col("__same").isNull().cast("bigint")).alias("changed"), F.coalesce(F.sum("__ref"), F.lit(0)).alias("reference_overlap"))
+        F.count(F.lit(1)).alias("edges"), F.max("successful_swaps").alias("successful_swaps"), F.max("status").alias("status"),
+        (F.count(F.lit(1)) - F.count_distinct(source, target)).alias("repeated_edges"), F.sum((F.col(source) == F.col(target)).cast("bigint")).alias("self_edges"), F.sum(F.col("__same").isNull().cast("bigint")).alias("changed"), F.coalesce(F.sum("__ref"), F.lit(0)).alias("reference_overlap"))
     wrong = None
     for side in (source, target):
         then = edges.groupBy(side).agg(F.count(F.lit(1)).alias("d0"))

@@ -168,11 +168,23 @@ def _(b):
     return r6(rs.feature_row_permutation(p, ["p_brand"], "p_partkey", ["p_size"], "p_retailprice", 20, 8, 1.0), "value")
 
 
+def _rewired(b):
+    e = b.view("edges").filter("direction = 1 AND source <> response").select("source", "response").distinct()
+    rewired = rs.rewire_edges(e, "source", "response", 3, 6, 17)
+    return rs.rewiring_report(rewired, e, "source", "response", b.view("edges").filter("direction = -1"))
+
+
 @query("g12_rewire_edges")
 def _(b):
-    e = b.view("edges").filter("direction = 1").select("source", "response").distinct()
-    rewired = rs.rewire_edges(e, "source", "response", 3, 3, 17)
-    return rs.rewiring_report(rewired, e, "source", "response", b.view("edges").filter("direction = -1"))
+    return _rewired(b)
+
+
+@query("g12_rewire_invariants", lambda: with_views("edges", """
+    , e AS (SELECT DISTINCT source, response FROM edges WHERE direction = 1 AND source <> response)
+    SELECT r AS replicate, n AS edges, true AS status_fits, 0::BIGINT AS repeated_edges, 0::BIGINT AS self_edges, 0::BIGINT AS wrong_source, 0::BIGINT AS wrong_response
+    FROM (SELECT count(*) AS n FROM e), range(3) x(r)"""))
+def _(b):
+    return _rewired(b).select("replicate", "edges", ((F.col("status") == "ok") == (F.col("successful_swaps") >= F.col("edges"))).alias("status_fits"), "repeated_edges", "self_edges", "wrong_source", "wrong_response")
 
 
 def _null_sql(rest: str) -> str:
