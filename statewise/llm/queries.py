@@ -99,3 +99,40 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), modulus=7, remainder=2)
+
+
+ORACLES["op9_mixing"] = """
+WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k, coalesce(length(text), 0) AS size FROM documents),
+w AS (SELECT k, count(*) AS blocks, pow(greatest(sum(size), 1)::DOUBLE, 0.5) AS weight FROM d GROUP BY k),
+x AS (SELECT *, weight / sum(weight) OVER () * 200 AS exact FROM w),
+y AS (SELECT *, greatest(floor(exact), 1)::BIGINT AS low FROM x),
+sh AS (SELECT k, blocks, low + CASE WHEN row_number() OVER (ORDER BY exact - low DESC, k) <= 200 - sum(low) OVER () THEN 1 ELSE 0 END AS share FROM y),
+cut AS (SELECT 0::BIGINT AS a UNION SELECT floor(blocks / share)::BIGINT FROM sh UNION SELECT ceil(blocks / share)::BIGINT FROM sh),
+kind AS (SELECT a, b FROM (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM cut) WHERE b IS NOT NULL),
+counts AS (SELECT a, b, list(k ORDER BY k) AS ks, list(least(share, greatest(blocks - a * share, 0)) ORDER BY k) AS c FROM kind, sh GROUP BY a, b),
+total AS (SELECT *, list_sum(c)::BIGINT AS n FROM counts),
+sim AS (
+  SELECT a, n, c, 0::BIGINT AS slot, list_transform(c, lambda v: 0::BIGINT) AS done, 0::BIGINT AS chosen FROM total
+  UNION ALL
+  SELECT a, n, c, slot + 1, list_transform(range(1, len(c) + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
+  FROM (SELECT *, list_min(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN done[i] < c[i] AND floor(done[i] * n::DOUBLE / nullif(c[i], 0)) <= slot
+    THEN ceil((done[i] + 1) * n::DOUBLE / nullif(c[i], 0))::BIGINT * 100000 + i END)) % 100000 AS pick FROM sim WHERE slot < n)
+),
+base AS (SELECT a, b, n, ks, coalesce(sum((b - a) * n) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM total),
+served AS (SELECT s.a, b.b, b.n, b.base, b.ks[s.chosen] AS k, s.slot - 1 AS slot, row_number() OVER (PARTITION BY s.a, s.chosen ORDER BY s.slot) - 1 AS nth FROM sim s JOIN base b ON s.a = b.a WHERE s.slot > 0),
+ranked AS (SELECT doc_id, source, d.k, share, row_number() OVER (PARTITION BY d.k ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS r FROM d JOIN sh ON d.k = sh.k)
+SELECT r.doc_id, r.source, (r.r // r.share)::BIGINT AS mix_frame, (s.base + (r.r // r.share - s.a) * s.n + s.slot)::BIGINT AS mix_slot
+FROM ranked r JOIN served s ON r.k = s.k AND r.r % r.share = s.nth AND r.r // r.share >= s.a AND r.r // r.share < s.b
+"""
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+n AS (SELECT doc_id, p, word, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s FROM x),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(s, ' ') ORDER BY doc_id, p) AS r FROM n WHERE len(s) = 20),
+gone AS (SELECT DISTINCT doc_id, p + j AS p FROM f, range(20) t(j) WHERE r > 1),
+kept AS (SELECT x.doc_id, count(*) AS k, string_agg(word, ' ' ORDER BY x.p) AS line FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.p = gone.p GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
