@@ -218,9 +218,8 @@ def near_duplicates(
 
 
 def distance_of(similarity: float, bits: int) -> int:
-    """Differing bits that texts of this Jaccard similarity of shingles stay below, 5 times in 6."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
+    """Differing bits to be expected of texts of this Jaccard similarity of shingles."""
+    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 2, segment: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
