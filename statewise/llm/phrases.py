@@ -194,11 +194,15 @@ def ordered(passages: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def window_rows(passages: DataFrame, size: int) -> DataFrame:
-    """(w1, w2, place): two hashes of each window of the passages."""
+    """(w1, w2, place, later): two hashes of each window of the passages.
+
+    ``later``: the window also stands earlier in the same batch of rows. Only the
+    others need to meet, so a window that is everywhere has one row for each batch.
+    """
 
     def scan(batches):
         for batch in batches:
-            base, texts = batch.column(0).to_numpy(), byte_texts(batch.column(1))
+            base, texts, found = batch.column(0).to_numpy(), byte_texts(batch.column(1)), []
             for a, b in chunks(texts):
                 w = Words(texts[a:b])
                 h, inside = w.grams(size)
@@ -207,9 +211,17 @@ def window_rows(passages: DataFrame, size: int) -> DataFrame:
                 second = np.zeros(len(h), np.uint64)
                 for j in range(size):
                     second = second * np.uint64(0xD1342543DE82EF95) + mixed(w.hash[j:j + len(h)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array((mixed(second[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(place)], names=["w1", "w2", "place"])
+                found.append((h[at].view(np.int64), (mixed(second[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32), place))
+            if not found:
+                continue
+            w1, w2, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((place, w2, w1))
+            same = (w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]])
+            later = np.zeros(len(place), dtype=bool)
+            later[order[1:][same]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(place), pa.array(later)], names=["w1", "w2", "place", "later"])
 
-    return passages.select("base", "text").mapInArrow(scan, "w1 long, w2 int, place long")
+    return passages.select("base", "text").mapInArrow(scan, "w1 long, w2 int, place long, later boolean")
 
 
 def spans(passages: DataFrame, later: DataFrame, size: int) -> DataFrame:
@@ -262,8 +274,9 @@ def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     met = passages.join(folded, "key")
     copies = met.where("base > earliest").select("_row", "first", (F.col("first") + F.col("n")).cast("int").alias("end"))
     windows = window_rows(met.where("base = earliest"), size)
-    least = windows.groupBy("w1", "w2").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = written(windows.join(least, ["w1", "w2"]).where("place > earliest").select("place"), "later")
+    earliest = F.min("place").over(Window.partitionBy("w1", "w2"))
+    across = windows.where("not later").withColumn("earliest", earliest).where("place > earliest")
+    later = written(windows.where("later").select("place").union(across.select("place")), "later")
     release(spark)
     return written(copies.union(spans(passages, later, size)), "spans")
 
