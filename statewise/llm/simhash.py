@@ -10,22 +10,28 @@ With ``bits`` = 64, segments of 32 bits and links at 2 differing bits this finds
 every link: 2 bits over 2 segments leave one with 1 at most. For looser links
 than ``2 * segments - 1`` bits the index finds a link with a probability that is
 measured in the tests.
+
+``first_of_groups`` links by the Jaccard similarity of shingles itself: sets meet by
+the shingles of their prefixes, which no similar pair can miss.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.llm.common import byte_texts, components, mixed, numbered, written
+from statewise.llm.common import Words, byte_texts, chunks, components, lower_ascii, mixed, numbered, written
 
 SEED = 42
 SMALL_RUN = 16  # entries of a key compared by shifted arrays, all pairs
+SAMPLE_ROWS = 8192  # texts that show which shingles are common; this steers speed only
+COMMON = 1 << 17  # common shingles that a task holds
 LARGE_RUN = 4096  # beyond it a key is split once more by further deletion variants
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
@@ -217,28 +223,116 @@ def near_duplicates(
     return prints.join(found, columns).select(F.col("_id").alias(id_column), "fingerprint", "component_id")
 
 
-def distance_of(similarity: float, bits: int) -> int:
-    """Differing bits to be expected of texts of this Jaccard similarity of shingles."""
-    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text in order; fewer words give one shingle, none give none."""
+    for a, b in chunks(texts):
+        words = Words([lower_ascii(t) for t in texts[a:b]])
+        whole, _ = words.grams(size)
+        for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            if hi - lo >= size:
+                yield np.unique(whole[lo:hi - size + 1])
+            elif hi > lo:
+                yield np.frombuffer(xxhash.xxh64(words.hash[lo:hi].tobytes(), SEED).digest(), dtype=np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
+
+
+def prefix(found: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """So many shingles, rare ones first, that each set of this Jaccard similarity or more
+    has one of them among its own. Any one order of all shingles will do for that;
+    ``common`` (in order) and their counts ``often`` only keep the entries of a shingle few."""
+    if not len(found):
+        return found
+    rank = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        rank = np.where(common[at] == found, often[at], 0)
+    return found[np.argsort(rank, kind="stable")[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]]
+
+
+def common_shingles(keys: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of ``SAMPLE_ROWS`` distinct texts share, in order, and in how many."""
+
+    def scan(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([s.view(np.int64) for s in shingle_sets(byte_texts(batch.column(0)), shingle)], type=pa.list_(pa.int64()))], names=["found"])
+
+    sample = keys.where(F.rand(SEED) < SAMPLE_ROWS / max(keys.count(), 1)).select("_text")
+    each = sample.mapInArrow(scan, "found array<long>").distinct().select(F.explode("found").alias("s"))
+    top = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    common, often = np.asarray(top.column(0)).astype(np.int64).view(np.uint64), np.asarray(top.column(1)).astype(np.int64)
+    order = np.argsort(common)
+    return common[order], often[order]
+
+
+def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that hold all pairs of this Jaccard similarity or more together.
 
+    ``entries`` (key, node, size): the prefix of each set; ``keys`` (_row, _text):
+    the texts of the nodes. Each entry of a key is first held against the key's
+    least node only, so that a large group of copies joins at once; then all pairs
+    of a key that are not yet together are. Every pair is linked by its whole sets.
+    """
+    by = Window.partitionBy("key")
+    met = entries.withColumn("least", F.min(F.struct("node", "size")).over(by)).withColumn("most", F.max("node").over(by))
+    shared = written(met.where("least.node < most").drop("most"), "shared")
 
-def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, parts: int = 2, segment: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    def scan(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(byte_texts(batch.column(1)), shingle)], type=pa.list_(pa.int64()))], names=["node", "found"]
+            )
+
+    wanted = written(shared.select(F.col("node").alias("_row")).distinct(), "nodes")
+    sets = written(keys.select("_row", "_text").join(wanted, "_row", "left_semi").mapInArrow(scan, "node long, found array<long>"), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = pairs.where(F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9).select("a", "b").distinct()
+        both = near.join(sets.select(F.col("node").alias("a"), F.col("found").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("q")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("p", "q")).alias("n"), (F.size("p") + F.size("q")).alias("m"))
+        return written(both.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("a", "b"), "links")
+
+    first = verified(shared.where("least.node < node").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.size").alias("x"), F.col("size").alias("y")))
+    placed = shared.drop("least").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = placed.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).where("low < high")
+    apart = written(apart.select("key", "node", "size", "component"), "apart")
+    one = apart.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("component").alias("c"))
+    two = apart.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("component").alias("d"))
+    return first.union(verified(one.join(two, "key").where("a < b and c <> d")))
+
+
+def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The row with the smallest id of each group of near-duplicates, with all its columns.
 
-    Texts are linked if their fingerprints of 64 bits a part are as near as texts
-    of this similarity are; a group is all that links reach. Null ids come last;
-    of equal ids the row that is read first stays. Empty and null texts are copies
-    of each other. Tests measure how many pairs of the similarity are found.
+    Texts are linked if the Jaccard similarity of their sets of shingles (64-bit
+    hashes of them) is ``similarity`` or more, all such pairs and no others; a
+    group is all that links reach. Equal sets fold before anything is indexed.
+    Null ids come last; of equal ids the row that is read first stays. Empty and
+    null texts are copies of each other.
     """
     plain_names = [f"c{i}" for i in range(len(df.columns))]  # whatever the columns are called
     rows = numbered(df.toDF(*plain_names), *plain_names)
     order, text = (plain_names[df.columns.index(c)] for c in (id_column, text_column))
     keys = rows.select("_row", F.col(order).alias("_order"), F.col(text).alias("_text"))
-    plain = fingerprints(keys, shingle, parts, "_row", "_text").withColumnRenamed("_id", "_row")
-    prints = written(plain, "fingerprints")
-    columns = [f"f{p}" for p in range(parts)]
-    of_class = class_components(prints, parts, segment, distance_of(similarity, 64 * parts))
-    placed = prints.join(of_class.select(*columns, "component"), columns).join(keys.select("_row", "_order"), "_row")
-    first = placed.groupBy("component").agg(F.min(F.struct(F.col("_order").isNull().alias("a"), F.col("_order").alias("b"), F.col("_row").alias("c"))).alias("first"))
+    common, often = common_shingles(keys, shingle)
+    sent = df.sparkSession.sparkContext.broadcast((common, often))  # 2 MB at most
+
+    def scan(batches):
+        common, often = sent.value
+        for batch in batches:
+            digest, size, heads = [], [], []
+            for s in shingle_sets(byte_texts(batch.column(2)), shingle):
+                digest.append(xxhash.xxh3_128_digest(s.tobytes())), size.append(len(s))
+                heads.append(prefix(s, similarity, common, often).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(digest, type=pa.binary()), pa.array(size, type=pa.int32()), pa.array(heads, type=pa.list_(pa.int64()))],
+                names=["_row", "_order", "digest", "size", "heads"],
+            )
+
+    found = keys.mapInArrow(scan, f"_row long, _order {dict(keys.dtypes)['_order']}, digest binary, size int, heads array<long>")
+    least = F.min(F.struct(F.col("_order").isNull().alias("a"), F.col("_order").alias("b"), F.col("_row").alias("c"))).alias("least")
+    classes = written(found.groupBy("digest").agg(least, F.min("_row").alias("node"), F.first("size").alias("size"), F.first("heads").alias("heads")).drop("digest"), "classes")
+    joined = components(similar_links(classes.select(F.explode("heads").alias("key"), "node", "size"), keys, shingle, similarity))
+    first = classes.select("node", "least").join(joined, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("first"))
     kept = written(first.select(F.col("first.c").alias("_row")), "kept")
     return rows.join(kept, "_row", "left_semi").drop("_row").toDF(*df.columns)

@@ -224,6 +224,45 @@ def test_groups_of_similar_texts_keep_one(spark, small):
     assert {i for i, _ in apart} <= kept
 
 
+def test_groups_link_at_the_exact_similarity(spark):
+    """Pairs from 0.75 to 0.90, at 0.8 itself and just below it, of several lengths."""
+    rows, want, at = [], set(), 0
+    for n in (9, 45, 90, 400):
+        for share in (0.75, 0.77, 0.79, 0.799, 0.8, 0.801, 0.81, 0.83, 0.86, 0.9):
+            for _ in range(4):
+                equal = n
+                while equal / (2 * n - equal) > share and equal:  # n shingles each, the first ``equal`` shared
+                    equal -= 1
+                equal += share == 0.801
+                w = [f"s{at}x{i}" for i in range(n + 4)]
+                v = w[: equal + 4] + [f"t{at}x{i}" for i in range(n - equal)]
+                rows += [(2 * at, " ".join(w)), (2 * at + 1, " ".join(v))]
+                want |= {2 * at} | ({2 * at + 1} if equal / (2 * n - equal) < 0.8 else set())
+                at += 1
+    rows += [(10_000 + i, " ".join(f"hub{j}" for j in range(60)) + f" own{i}") for i in range(300)]  # a group of 300 copies
+    rows += [(20_000 + i, "a line that all of these texts have in common " + " ".join(f"u{i}x{j}" for j in range(30))) for i in range(300)]
+    want |= {10_000} | {20_000 + i for i in range(300)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.first_of_groups(df).collect()} == want
+
+
+def test_groups_equal_those_of_all_pairs(spark, small):
+    docs = [(i, t.lower().split()) for i, t in texts(small)]
+    sets = [(i, {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}) for i, w in docs]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if (not a and not b) or (a and b and len(a & b) / len(a | b) >= 0.8):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert {r.doc_id for r in simhash.first_of_groups(small).collect()} == {i for i in parent if find(i) == i}
+
+
 def test_first_of_groups_of_odd_rows(spark, odd, none):
     kept = simhash.first_of_groups(odd)
     assert kept.schema == odd.schema
