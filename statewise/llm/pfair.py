@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling.
 
 Time runs in slots of one block. In a stretch of L slots a source with c blocks
 has the weight c / L: its block k is released at floor(k L / c) and due at
@@ -11,18 +11,28 @@ after frame looks alike until a source runs out, so one schedule is made for
 each kind of frame, of which there are at most twice as many as sources, and
 every block finds its slot by arithmetic. When a source is used up, the others
 go on in their proportions: no row is dropped or repeated.
+
+``mixed`` rounds the weights to whole blocks of a frame, in DataFrame operations
+only, so a source keeps to its rounded share. ``exactly_mixed`` has no frames and
+keeps each source within one block of its weight as given, over the whole run.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.llm.common import written
+from statewise.llm.common import numbered, written
 
 FRAME = 200  # blocks of a frame while all sources last
 ROWS_PER_BUCKET = 20_000
 BROADCAST_ROWS = 200_000  # of a schedule, about 60 bytes each
+WEIGHT_BITS = 60  # of the largest weight as a whole number
+SERVED = 1 << 16  # slots of a batch
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], spread: Column) -> DataFrame:
@@ -137,6 +147,74 @@ def mixed(df: DataFrame, weights: DataFrame, block: int = 1, frame: int = FRAME,
     return found.select(*own, "mix_frame", slot.alias("mix_slot"), (F.col("_rank") % block).alias("mix_within")).toDF(*names, "mix_frame", "mix_slot", "mix_within")
 
 
+def served(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, block) of each slot: earliest deadline first over the whole run, by the weights as
+    they are. After t slots since a source last ran out, each source that is left has had its
+    weight's part of t to within less than one block; ties go to the earlier source."""
+    most = max(weights, default=1.0)
+    whole = [max(int(w / most * (1 << WEIGHT_BITS)), 1) for w in weights]
+    done, left = [0] * len(blocks), {i for i, n in enumerate(blocks) if n > 0}
+    while left:
+        total = sum(whole[i] for i in left)
+        from_block = done.copy()
+        waiting, ready, slot = [], [(-(-total // whole[i]), i) for i in left], 0
+        heapq.heapify(ready)
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                i = heapq.heappop(waiting)[1]
+                heapq.heappush(ready, (-(-(done[i] - from_block[i] + 1) * total // whole[i]), i))
+            i = heapq.heappop(ready)[1]
+            yield i, done[i]
+            done[i] += 1
+            slot += 1
+            if done[i] == blocks[i]:
+                left.remove(i)
+                break
+            heapq.heappush(waiting, ((done[i] - from_block[i]) * total // whole[i], i))
+
+
+def exactly_mixed(df: DataFrame, weights: DataFrame, block: int = 1, frame: int = FRAME, source_column: str = "source", id_column: str = "doc_id", weight_column: str = "weight") -> DataFrame:
+    """As ``mixed``, by the weights as given: no source is ever a block or more from its part.
+
+    Deadlines follow from all blocks before, so one task makes the schedule, a row
+    for each block, in memory that grows with the sources only; ranks and rows are
+    spread as ever. ``mix_frame`` counts stretches of ``frame`` slots.
+    """
+    names = [c for c in df.columns if c.lower() not in ("mix_frame", "mix_slot", "mix_within")]
+    own = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")).alias("_source")
+    rows = numbered(df.select(*names).toDF(*own), *own)
+    tie = F.md5(F.to_json(F.struct(*[F.col(c) for c in own])).cast("binary")).alias("_tie")
+    spread = F.md5(F.coalesce(F.col(own[names.index(id_column)]).cast("string"), F.lit("")).cast("binary")).alias("_order")
+    slim = written(rows.select("_row", named(own[names.index(source_column)]), spread, tie), "slim")
+    given = weights.select(named(source_column), F.col(weight_column).cast("double").alias("_weight"))
+    given = given.where("_weight > 0 and _weight < double('infinity')").groupBy("_source").agg(F.max("_weight").alias("_weight"))
+    blocks = slim.groupBy("_source").agg(F.ceil(F.count("*") / block).cast("long").alias("_blocks"))
+    least = F.coalesce(F.min("_weight").over(Window.partitionBy()), F.lit(1.0))
+    known = blocks.join(given, "_source", "left").withColumn("_weight", F.coalesce("_weight", least))
+    listed = known.agg(F.array_sort(F.collect_list(F.struct("_source", "_weight", "_blocks"))).alias("_all"))  # an entry for each source
+
+    def schedule(batches):
+        for batch in batches:
+            for entries in batch.column(0).to_pylist():
+                source, nth = [], []
+                slot = 0
+                for i, k in served([e["_weight"] for e in entries], [e["_blocks"] for e in entries]):
+                    source.append(entries[i]["_source"]), nth.append(k)
+                    if len(nth) == SERVED:
+                        yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(nth), pa.array(range(slot, slot + SERVED))], names=["_source", "_block", "_slot"])
+                        slot += SERVED
+                        source, nth = [], []
+                if nth:
+                    yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(nth), pa.array(range(slot, slot + len(nth)))], names=["_source", "_block", "_slot"])
+
+    slots_of = written(listed.mapInArrow(schedule, "_source string, _block long, _slot long"), "schedule")
+    placed = ranked(slim, ["_source"], [F.col("_tie")], F.col("_order")).withColumn("_block", F.floor(F.col("_rank") / block).cast("long"))
+    placed = placed.join(slots_of, ["_source", "_block"])
+    placed = placed.select("_row", F.floor(F.col("_slot") / frame).cast("long").alias("mix_frame"), F.col("_slot").alias("mix_slot"), (F.col("_rank") % block).alias("mix_within"))
+    return rows.join(placed, "_row").select(*own, "mix_frame", "mix_slot", "mix_within").toDF(*names, "mix_frame", "mix_slot", "mix_within")
+
+
 def tempered(df: DataFrame, alpha: float = 0.5, source_column: str = "source", text_column: str = "text") -> DataFrame:
     """(source, weight): target weights from the characters of each source to the power ``alpha``."""
     size = F.sum(F.coalesce(F.length(text_column), F.lit(0)))

@@ -464,6 +464,50 @@ def test_mixture_of_odd_rows(spark, odd, none):
     assert pfair.mixed(none, pfair.tempered(none)).count() == 0
 
 
+def off_target(order, weights, blocks):
+    """Largest distance of a source from its weight's part, in blocks, over all slots since a source last ran out."""
+    left, worst, t, done, since = dict(enumerate(blocks)), 0.0, 0, Counter(), Counter()
+    for i in order:
+        t, total = t + 1, sum(weights[x] for x in left)
+        done[i] += 1
+        since[i] += 1
+        worst = max(worst, *(abs(since[x] - weights[x] / total * t) for x in left))
+        if done[i] == blocks[i]:
+            del left[i]
+            t, since = 0, Counter()
+    return worst
+
+
+@pytest.mark.parametrize(("weights", "blocks"), [
+    ([9.553, 10.646] + [179.801 / 18] * 18, [400] * 20),  # of 200: rounding to 9 and 11 is off by a block in two frames
+    ([1000.0] + [1.0] * 300, [1000] + [3] * 300),  # one source has most of the weight
+    ([0.1, 0.7, 1 / 3, 1e-9], [50, 31, 7, 2]),
+])
+def test_slots_keep_to_the_weights_as_given(weights, blocks):
+    order = list(pfair.served(weights, blocks))
+    assert sorted(order) == [(i, k) for i, n in enumerate(blocks) for k in range(n)]
+    assert off_target([i for i, _ in order], weights, blocks) < 1
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_exact_mixture_keeps_all_rows_within_a_block_of_the_weights(spark, block):
+    rng = random.Random(9)
+    sizes = {"a": 700, "b": 430, "c": 31, "d": 1, None: 44}
+    rows = [document(rng.randrange(10**6), "t", s) for s, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string, score double, mix_slot int")
+    weights = spark.createDataFrame([("a", 9.553), ("b", 5.7), ("c", None), ("d", -1.0), ("zz", 1.3)], "source string, weight double")
+    got = pfair.exactly_mixed(df, weights, block).collect()
+    assert multiset((r.doc_id, r.source) for r in got) == multiset((x[0], x[3]) for x in rows)
+    by_slot = defaultdict(list)
+    for r in got:
+        by_slot[r.mix_slot].append(r)
+    names = list(sizes)
+    blocks = [-(-n // block) for n in sizes.values()]
+    assert sorted(by_slot) == list(range(sum(blocks)))
+    assert all(len({r.source for r in x}) == 1 and sorted(r.mix_within for r in x) == list(range(len(x))) for x in by_slot.values())
+    assert off_target([names.index(by_slot[s][0].source) for s in sorted(by_slot)], [9.553, 5.7, 5.7, 5.7, 5.7], blocks) < 1
+
+
 # ---- 10 -----------------------------------------------------------------------------------
 
 def plain_spans(text):
