@@ -23,7 +23,7 @@ from statewise.llm.common import fold, texts_of
 WORD = re.compile(r"\w+")
 PREFIXES = (2, 3, 4, 5, 6)
 HASH_BITS = 40  # of a term; the screened terms are few, so two of them hardly ever meet
-TRAIN_ROWS = 20_000  # labelled rows of each label that the fit takes at most
+TRAIN_ROWS = 20_000  # half of the labelled rows that the fit takes at most, of both labels together
 TERMS = 2048  # terms of the machine
 LEAST_ROWS = 4  # training rows that a term needs
 CACHED_WORDS = 300_000
@@ -96,13 +96,11 @@ def fit(docs: list[list[int]], y: np.ndarray, terms: np.ndarray, rank: int = 4,
 
 
 def training_rows(df: DataFrame, labels: DataFrame, modulus: int, id_column: str, text_column: str, label_column: str, bound: int) -> DataFrame:
-    """(_id, _y, text) of ``bound`` labelled training rows of each label at most, chosen by a hash of the id."""
+    """(_id, _y, text) of ``2 * bound`` labelled training rows at most, chosen by a hash of the id
+    whatever the label, so a bounded sample has the true rate of the labels."""
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).cast("int").alias("_y"))
     known = known.where(fold(id_column, modulus) != 0).withColumnRenamed(id_column, "_id")
-    chosen = None
-    for y in (0, 1):
-        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(bound)
-        chosen = part if chosen is None else chosen.union(part)
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(2 * bound)  # of both labels together, so that their rate stays
     texts = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     return texts.join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")  # 2 * bound rows at most
 
@@ -148,7 +146,7 @@ def features(rows: DataFrame, terms: np.ndarray) -> tuple[list[list[int]], np.nd
 
 
 def machine(df: DataFrame, labels: DataFrame, modulus: int = 5, bound: int = TRAIN_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Machine:
-    """Learn from labelled rows of ``df`` whose fold is not 0, ``bound`` of each label at most."""
+    """Learn from labelled rows of ``df`` whose fold is not 0, ``2 * bound`` rows at most."""
     rows = training_rows(df, labels, modulus, id_column, text_column, label_column, bound)
     terms = screened(rows, TERMS, LEAST_ROWS)
     return fit(*features(rows, terms), terms)
@@ -188,7 +186,7 @@ def toxicity(
 ) -> DataFrame:
     """(id, held_out, score, predicted) for each row of ``df``.
 
-    Learns from labelled rows whose fold is not 0, ``bound`` of each label at
+    Learns from labelled rows whose fold is not 0, ``2 * bound`` of them at
     most; rows without a 0/1 label or without an id are not learnt from. Only
     the text enters a score. A null or empty text has no terms and gets the score
     of the bias; without both labels every score is that of the bias. Repeated

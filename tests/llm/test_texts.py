@@ -89,6 +89,16 @@ def test_toxicity_holds_out_a_fold_and_finds_toxic_texts(spark):
     assert sum(s >= 0.5 for s in neg) <= 0.05 * len(neg)
 
 
+def test_toxicity_learns_from_the_true_rate_of_the_labels(spark):
+    """A bound that the clean labels exceed and the toxic ones do not leaves the rate as it is."""
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    labels = df.selectExpr("doc_id", "cast(doc_id % 10 = 0 as int) as toxic")
+    rows = toxicity.training_rows(df, labels, 5, "doc_id", "text", "toxic", 400).collect()
+    assert len(rows) == 800 and abs(sum(r._y for r in rows) / 800 - 0.1) < 0.04  # 320 of 720 before
+    few = toxicity.training_rows(df, labels, 5, "doc_id", "text", "toxic", 4000).count()
+    assert few == labels.where(toxicity.fold("doc_id", 5) != 0).count()
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, "z") for i in range(3, 13)] + [(None, 1, "z"), (7, None, "z"), (8, 5, "z")], "doc_id long, toxic int, text string")
     rows = toxicity.toxicity(odd, labels).collect()
