@@ -31,6 +31,7 @@ from statewise.llm.common import Words, byte_texts, chunks, components, lower_as
 SEED = 42
 SMALL_RUN = 16  # entries of a key compared by shifted arrays, all pairs
 SAMPLE_ROWS = 8192  # texts that show which shingles are common; this steers speed only
+PARITIES = 1024  # bits of a set that rule out most pairs before whole sets meet
 COMMON = 1 << 17  # common shingles that a task holds
 LARGE_RUN = 4096  # beyond it a key is split once more by further deletion variants
 
@@ -250,6 +251,12 @@ def prefix(found: np.ndarray, similarity: float, common: np.ndarray, often: np.n
     return found[np.argsort(rank, kind="stable")[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]]
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits, each the parity of the shingles that fall to it: two sets differ
+    in as many shingles as bits at least."""
+    return np.packbits(np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).view(np.int64)
+
+
 def common_shingles(keys: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of ``SAMPLE_ROWS`` distinct texts share, in order, and in how many."""
 
@@ -265,17 +272,19 @@ def common_shingles(keys: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return common[order], often[order]
 
 
-def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_links(entries: DataFrame, bits: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes that hold all pairs of this Jaccard similarity or more together.
 
-    ``entries`` (key, node, size): the prefix of each set; ``keys`` (_row, _text):
-    the texts of the nodes. Each entry of a key is first held against the key's
+    ``entries`` (key, node, size): the prefix of each set; ``bits`` (node, bits): its
+    parities; ``keys`` (_row, _text): the texts of the nodes. Each entry of a key is first held against the key's
     least node only, so that a large group of copies joins at once; then all pairs
-    of a key that are not yet together are. Every pair is linked by its whole sets.
+    of a key that are not yet together are. Sizes and parities rule pairs out; every pair is linked by its whole sets.
     """
     by = Window.partitionBy("key")
-    met = entries.withColumn("least", F.min(F.struct("node", "size")).over(by)).withColumn("most", F.max("node").over(by))
-    shared = written(met.where("least.node < most").drop("most"), "shared")
+    near_size = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
+    beside = lambda other: F.coalesce(near_size(F.col("size"), other("size").over(by.orderBy("size"))), F.lit(False))
+    met = entries.withColumn("met", beside(F.lag) | beside(F.lead)).where("met").drop("met")
+    shared = written(met.withColumn("least", F.min(F.struct("node", "size")).over(by)), "shared")
 
     def scan(batches):
         for batch in batches:
@@ -283,11 +292,15 @@ def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity:
                 [batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(byte_texts(batch.column(1)), shingle)], type=pa.list_(pa.int64()))], names=["node", "found"]
             )
 
-    wanted = written(shared.select(F.col("node").alias("_row")).distinct(), "nodes")
-    sets = written(keys.select("_row", "_text").join(wanted, "_row", "left_semi").mapInArrow(scan, "node long, found array<long>"), "sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9).select("a", "b").distinct()
+        near = pairs.where(near_size(F.col("x"), F.col("y"))).distinct()
+        for node, name in (("a", "p"), ("b", "q")):
+            near = near.join(bits.select(F.col("node").alias(node), F.col("bits").alias(name)), node)
+        apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+        near = near.where(apart <= (F.col("x") + F.col("y")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+        near = written(near.select("a", "b"), "near")
+        wanted = written(near.select(F.col("a").alias("_row")).union(near.select("b")).distinct(), "nodes")
+        sets = written(keys.select("_row", "_text").join(wanted, "_row", "left_semi").mapInArrow(scan, "node long, found array<long>"), "sets")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("found").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("q")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("p", "q")).alias("n"), (F.size("p") + F.size("q")).alias("m"))
         return written(both.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("a", "b"), "links")
@@ -320,19 +333,19 @@ def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     def scan(batches):
         common, often = sent.value
         for batch in batches:
-            digest, size, heads = [], [], []
+            digest, size, heads, bits = [], [], [], []
             for s in shingle_sets(byte_texts(batch.column(2)), shingle):
                 digest.append(xxhash.xxh3_128_digest(s.tobytes())), size.append(len(s))
-                heads.append(prefix(s, similarity, common, often).view(np.int64))
+                heads.append(prefix(s, similarity, common, often).view(np.int64)), bits.append(parities(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digest, type=pa.binary()), pa.array(size, type=pa.int32()), pa.array(heads, type=pa.list_(pa.int64()))],
-                names=["_row", "_order", "digest", "size", "heads"],
+                [batch.column(0), batch.column(1), pa.array(digest, type=pa.binary()), pa.array(size, type=pa.int32()), *[pa.array(x, type=pa.list_(pa.int64())) for x in (heads, bits)]],
+                names=["_row", "_order", "digest", "size", "heads", "bits"],
             )
 
-    found = keys.mapInArrow(scan, f"_row long, _order {dict(keys.dtypes)['_order']}, digest binary, size int, heads array<long>")
+    found = keys.mapInArrow(scan, f"_row long, _order {dict(keys.dtypes)['_order']}, digest binary, size int, heads array<long>, bits array<long>")
     least = F.min(F.struct(F.col("_order").isNull().alias("a"), F.col("_order").alias("b"), F.col("_row").alias("c"))).alias("least")
-    classes = written(found.groupBy("digest").agg(least, F.min("_row").alias("node"), F.first("size").alias("size"), F.first("heads").alias("heads")).drop("digest"), "classes")
-    joined = components(similar_links(classes.select(F.explode("heads").alias("key"), "node", "size"), keys, shingle, similarity))
+    classes = written(found.groupBy("digest").agg(least, F.min("_row").alias("node"), *[F.first(c).alias(c) for c in ("size", "heads", "bits")]).drop("digest"), "classes")
+    joined = components(similar_links(classes.select(F.explode("heads").alias("key"), "node", "size"), classes.select("node", "bits"), keys, shingle, similarity))
     first = classes.select("node", "least").join(joined, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("first"))
     kept = written(first.select(F.col("first.c").alias("_row")), "kept")
     return rows.join(kept, "_row", "left_semi").drop("_row").toDF(*df.columns)
