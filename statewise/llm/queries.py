@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statewise.llm import pfair, randomness
 from statewise.llm.attention import language_scores
 from statewise.llm.common import table
+from statewise.llm.fim import fill_in_middle
 from statewise.llm.html_tree import main_text
 from statewise.llm.phrases import without_repeats
 from statewise.llm.pivots import top_k
@@ -136,3 +137,23 @@ kept AS (SELECT x.doc_id, count(*) AS k, string_agg(word, ' ' ORDER BY x.p) AS l
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50, texts=False).drop("output")
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(o) AS output_sha256, sha256(CASE form WHEN 'plain' THEN o
+    WHEN 'psm' THEN regexp_replace(o, '^<P>([\s\S]*)<S>([\s\S]*)<M>([\s\S]*)$', '\1\3\2')
+    ELSE regexp_replace(o, '^<S>([\s\S]*)<P>([\s\S]*)<M>([\s\S]*)$', '\2\3\1') END) AS restored_sha256
+FROM o
+"""
