@@ -26,9 +26,10 @@ from itertools import groupby
 
 from pyspark import RDD
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PIECE = 1 << 16  # characters of a piece at most
-SPLITS = 4  # partitions of sorted pieces for each partition of the scan
+PARTITION_BYTES = 16 << 20  # text that one partition sorts, on average
 MARKS = {"P": "<P>", "S": "<S>", "M": "<M>"}
 ORDER = {"psm": "PSM", "spm": "SPM"}  # sections of an output text
 PLACE = {"P": 0, "M": 1, "S": 2}  # sections of a source text
@@ -145,9 +146,10 @@ def row_of(key: tuple) -> int:
 
 def output_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 7, rate: int = 100, spm_rate: int = 50) -> RDD:
     """((row, place), (piece, facts)) sorted by row and place, a row's pieces in one partition."""
-    rows = docs.select(id, text).rdd
-    pieces = rows.mapPartitionsWithIndex(lambda part, it: emitted(part, it, seed, rate, spm_rate))
-    return pieces.repartitionAndSortWithinPartitions(max(1, SPLITS * rows.getNumPartitions()), row_of)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
+    pieces = docs.select(id, text).rdd.mapPartitionsWithIndex(lambda part, it: emitted(part, it, seed, rate, spm_rate))
+    return pieces.repartitionAndSortWithinPartitions(parts, row_of)
 
 
 def fill_in_middle(docs: DataFrame, id: str = "doc_id", text: str = "text", seed: int = 7, rate: int = 100, spm_rate: int = 50, texts: bool = True) -> DataFrame:
