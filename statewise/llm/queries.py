@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewise.llm import pfair, randomness
+from statewise.llm.archives import archived
 from statewise.llm.attention import language_scores
 from statewise.llm.common import table
 from statewise.llm.fim import fill_in_middle
@@ -157,3 +158,20 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
     ELSE regexp_replace(o, '^<S>([\s\S]*)<P>([\s\S]*)<M>([\s\S]*)$', '\2\3\1') END) AS restored_sha256
 FROM o
 """
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = archived(table(spark, sf_dir, "pages"), version=1, min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op13_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS r, sha1(h) AS x FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || x[5 * i + 1:5 * i + 5])::BIGINT) AS v FROM f)
+SELECT page_id, octet_length(h) AS payload_bytes,
+  array_to_string(list_transform(v, lambda y: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[y // d % 32 + 1]), '')), '') AS payload_digest,
+  CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first END AS refers_to
+FROM g
+"""

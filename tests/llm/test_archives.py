@@ -1,13 +1,16 @@
 """Fill-in-middle, archives and vector codes against plain Python."""
 
+import base64
+import gzip
 import hashlib
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import document, texts
 
-from statewise.llm import fim
+from statewise.llm import archives, fim
 
 
 def multiset(rows):
@@ -58,3 +61,71 @@ def test_pieces_hold_whole_units_and_meet_once(spark, monkeypatch):
     assert all([k for k, _ in p] == sorted(k for k, _ in p) for p in parts)
     again = rdd.mapPartitions(lambda it: fim.assembled(it, False), True).repartitionAndSortWithinPartitions(rdd.getNumPartitions(), fim.row_of)
     assert again.toDebugString().decode().count("ShuffledRDD") == rdd.toDebugString().decode().count("ShuffledRDD") == 1
+
+
+# ---- 13 -----------------------------------------------------------------------------------
+
+PAGES = "page_id long, url string, html string, head string, payload string, offset int, first string"
+ENDS = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nhttp://x 0.0.0.0 19700101000000 text/html 5\n"
+
+
+def sha1(payload):
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+@pytest.mark.parametrize(("version", "least"), [(1, 0), (2, 0), (1, 5)])
+def test_archived_pages_come_back(spark, version, least):
+    long = "<p>\u00e9\U0001f600</p>" * 30_000
+    html = [None, "", "same", "same", ENDS, ENDS, long, "HTTP/1.1 no head", "\r\n\r\n", "same page"]
+    rows = [(i, f"http://a b/{i % 3}\n", h) for i, h in enumerate(html)] + [(None, None, "same"), (None, "", "alone"), (3, "u", "same page"), (3, "u", "same page")]
+    pages = spark.createDataFrame([(*r, "h", "p", 1, "f") for r in rows], PAGES).repartition(3)
+    got = archives.archived(pages, version=version, min_bytes=least)
+    want, seen = Counter(), {}
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        payload = (h or "").encode()
+        revisit = payload in seen and len(payload) >= least
+        want[(i, len(payload), sha1(payload), "revisit" if revisit else "response", seen[payload] if revisit else None)] += 1
+        seen.setdefault(payload, i)
+    assert multiset(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+    assert all(r.stated_digest == "sha1:" + r.payload_digest for r in got.collect())
+    assert {r.uri for r in got.collect()} == {"http://a%20b/0%20", "http://a%20b/1%20", "http://a%20b/2%20", "unknown:", "u"}
+    assert archives.archived(pages.limit(0), version=version).count() == 0
+
+
+def test_legacy_archives_of_both_versions(spark, tmp_path):
+    """Hand-made files: header lines as their version block says, cut and broken ones told apart."""
+    body = b"HTTP/1.0 200 OK\nServer: x\n\n\xff\xfe raw"
+    one = b"filedesc://one.arc 0.0.0.0 19960923142103 text/plain 76\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    one = one.replace(b" 76\n", b" %d\n" % len(one.split(b"\n", 1)[1].removesuffix(b"\n")))
+    one += b"\nhttp://a/ 1.2.3.4 199609231421 text/html %d\n%s\n\ndns:a 1.2.3.4 x text/dns 4\nA\n\nB\n" % (len(body), body)
+    block = b"2 0 Someone\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    two = b"filedesc://two.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 two.arc %d\n%s\n" % (len(block), block)
+    two += b"http://b c/ 5.6.7.8 20010203040506 text/html 200 abc - 99 two.arc %d\n%s" % (len(body) + 50, body)
+    (tmp_path / "one.arc").write_bytes(one)
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(two[:60]) + gzip.compress(two[60:]))
+    (tmp_path / "bad.arc").write_bytes(b"http://c/ 1.1.1.1 19990101 text/html 2\nhi\nnot a header\n")
+    (tmp_path / "empty.arc").write_bytes(b"")
+    arc = archives.read_arc(spark, str(tmp_path))
+    rows = {(r.archive, r.uri): r for r in arc.collect()}
+    assert {k: (r.version, r.problem) for k, r in rows.items()} == {
+        ("one.arc", "filedesc://one.arc"): (1, None), ("one.arc", "http://a/"): (1, None), ("one.arc", "dns:a"): (1, None),
+        ("two.arc.gz", "filedesc://two.arc"): (2, None), ("two.arc.gz", "http://b c/"): (2, "truncated"),
+        ("bad.arc", "http://c/"): (1, None), ("bad.arc", "not a header"): (1, "header line"),
+    }
+    page = rows["one.arc", "http://a/"]
+    assert (bytes(page.payload), page.payload_digest, page.block_digest, page.ip) == (b"\xff\xfe raw", sha1(b"\xff\xfe raw"), sha1(body), "1.2.3.4")
+    assert rows["two.arc.gz", "http://b c/"].date == "20010203040506"
+    back = archives.read_warc(spark, archives.converted(spark, str(tmp_path), [F.col("uri")])).collect()
+    assert Counter((r.record_type, r.uri, r.date) for r in back) == Counter([
+        ("warcinfo", None, "1996-09-23T14:21:03Z"), ("response", "http://a/", "1996-09-23T14:21:00Z"), ("resource", "dns:a", "1970-01-01T00:00:00Z"), ("warcinfo", None, "2001-01-01T00:00:00Z"), ("resource", "http://c/", "1999-01-01T00:00:00Z"),
+    ])
+    got = next(r for r in back if r.uri == "http://a/")
+    assert (bytes(got.head) + bytes(got.payload), got.stated_block_digest) == (body, "sha1:" + sha1(body))
+    assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", got.record_id) and len({r.record_id for r in back}) == 5
+
+
+def test_dates_of_any_length(spark):
+    dates = ["1999", "199912", "19991231", "1999123123", "199912312359", "19991231235958", "1", "19991", "x", "", None]
+    got = spark.createDataFrame([(d,) for d in dates], "d string").select(archives.warc_date(F.col("d")).alias("w"))
+    epoch = "1970-01-01T00:00:00Z"
+    assert [r.w for r in got.collect()] == ["1999-01-01T00:00:00Z", "1999-12-01T00:00:00Z", "1999-12-31T00:00:00Z", "1999-12-31T23:00:00Z", "1999-12-31T23:59:00Z", "1999-12-31T23:59:58Z"] + [epoch] * 5
