@@ -14,6 +14,7 @@ from statewise.llm.attention import language_scores
 from statewise.llm.common import table
 from statewise.llm.fim import fill_in_middle
 from statewise.llm.html_tree import main_text
+from statewise.llm.lloyd import vector_codes
 from statewise.llm.phrases import without_repeats
 from statewise.llm.pivots import top_k
 from statewise.llm.seeds import contamination
@@ -175,3 +176,39 @@ SELECT page_id, octet_length(h) AS payload_bytes,
   CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first END AS refers_to
 FROM g
 """
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _ = vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _code_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd rounds unrolled: a is an assignment, b the codebooks after it."""
+    steps = [f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM k, range({parts}) t(p)),
+h AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM m JOIN h USING (vec_id) WHERE e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, p, x, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT vec_id, m.p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS d FROM m JOIN b{r} b ON m.p = b.p)
+  GROUP BY vec_id, p, x)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM b{r} b LEFT JOIN (
+    SELECT p, e, list((total - ((total % n) + n) % n) // n ORDER BY i) AS c
+    FROM (SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS total, count(*) AS n FROM a{r}, range(1, len(x) + 1) t(i) GROUP BY p, e, i) GROUP BY p, e) s
+  ON b.p = s.p AND b.e = s.e)""")
+    steps.append(f"""c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN k USING (vec_id)""")
+    return ",\n".join(steps)
+
+
+ORACLES["op12_vector_codes"] = _code_sql()

@@ -3,14 +3,17 @@
 import base64
 import gzip
 import hashlib
+import math
+import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 from helpers import document, texts
 
-from statewise.llm import archives, fim
+from statewise.llm import archives, fim, lloyd
 
 
 def multiset(rows):
@@ -129,3 +132,88 @@ def test_dates_of_any_length(spark):
     got = spark.createDataFrame([(d,) for d in dates], "d string").select(archives.warc_date(F.col("d")).alias("w"))
     epoch = "1970-01-01T00:00:00Z"
     assert [r.w for r in got.collect()] == ["1999-01-01T00:00:00Z", "1999-12-01T00:00:00Z", "1999-12-31T00:00:00Z", "1999-12-31T23:00:00Z", "1999-12-31T23:59:00Z", "1999-12-31T23:59:58Z"] + [epoch] * 5
+
+
+# ---- 12 -----------------------------------------------------------------------------------
+
+def codes_of(rows, parts, entries, rounds, scale=4096):
+    """(id, label, vector) rows in plain integers: codes, errors, and the digest of the codebooks."""
+    good = [(i, l, v) for i, l, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    n = Counter(len(v) for _, _, v in good)
+    d = max(n, key=lambda k: (n[k], k), default=0)
+    good = sorted((r for r in good if len(r[2]) == d), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    cuts = [(j * d // parts, (j + 1) * d // parts) for j in range(parts)]
+    whole = [[math.floor(Fraction(x) * scale) for x in v] for _, _, v in good]
+    split = [[v[a:b] for v in whole] for a, b in cuts]
+    books = [m[:entries] for m in split]
+    far = lambda x, c: sum((a - b) ** 2 for a, b in zip(x, c))
+    best = lambda x, book: min((far(x, c), e) for e, c in enumerate(book))
+    for _ in range(rounds):
+        for m, book in zip(split, books):
+            of = [best(x, book)[1] for x in m]
+            for e in range(len(book)):
+                mine = [x for x, y in zip(m, of) if y == e]
+                if mine:
+                    book[e] = [sum(c) // len(mine) for c in zip(*mine)]
+    found = [[best(m[i], book) for m, book in zip(split, books)] for i in range(len(good))]
+    errors = [sum(f for f, _ in row) for row in found]
+    by_label = Counter()
+    for (_, label, _), e in zip(good, errors):
+        by_label[label] += e
+    fits = lambda e: e if e < 2**63 else None
+    sha = hashlib.sha256(",".join(str(x) for book in books for c in book for x in c).encode()).hexdigest()
+    return Counter((i, label, "".join(f"{e:02x}" for _, e in row), fits(err), fits(by_label[label]), sha) for (i, label, _), row, err in zip(good, found, errors))
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, code string, _row int, error string"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, label, "c", 1, "e") for i, label, v in rows], VECTORS)
+
+
+def check(spark, rows, parts, entries, rounds):
+    got, _ = lloyd.vector_codes(vectors(spark, rows).repartition(3), parts=parts, entries=entries, rounds=rounds)
+    assert multiset(got.collect()) == codes_of(rows, parts, entries, rounds)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_vector_codes_equal_plain_lloyd(spark, monkeypatch, small):
+    """With small owners, entries are many salts and members move between partitions."""
+    if small:
+        monkeypatch.setattr(lloyd, "OWNER_PARTS", 64)
+        monkeypatch.setattr(lloyd, "BLOCK_PARTS", 8)
+    rng = random.Random(7)
+    rows = [(rng.randrange(5000), rng.choice([None, 0, 1, 2]), [rng.gauss(rng.choice([-1, 0, 2]), 0.3) for _ in range(12)]) for _ in range(300)]
+    rows += [(9000 + i, 7, [0.25] * 12) for i in range(200)]  # one entry with many equal members
+    rows += [(1, 1, None), (2, 1, [None] * 12), (3, 1, [float("nan")] * 12), (4, 1, [float("inf")] * 12), (None, 1, [0.5] * 12), (None, None, [-0.5] * 12), (5, 1, [0.1]), (6, 1, [])]
+    check(spark, rows, parts=4, entries=16, rounds=6)
+
+
+def test_vector_codes_of_odd_tables(spark):
+    few = [(i, None, [0.1 * i, -1.0 * i, 3.0]) for i in range(5)]
+    check(spark, few, parts=8, entries=16, rounds=2)  # parts without components, fewer rows than entries
+    check(spark, [(1, 0, []), (2, None, [])], parts=8, entries=16, rounds=1)
+    large = [(i, i % 2, [1e9 * i, -1e300 if i == 7 else 1.5, 5e6, 1e-300]) for i in range(20)]
+    check(spark, large, parts=2, entries=4, rounds=3)
+    check(spark, few + [(9, 1, [1.0, 2.0])] * 3, parts=3, entries=2, rounds=6)
+    check(spark, [], parts=8, entries=16, rounds=6)
+
+
+def test_only_moved_members_are_shuffled(spark):
+    rng = random.Random(3)
+    df = vectors(spark, [(i, 0, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)])
+    rows, n, d, top = lloyd.members_of(df, "vec_id", "embedding", "label")
+    books = [lloyd.integers(lloyd.np.array([[rng.gauss(0, 1)] for _ in range(4)]), 4096, False).astype(object) for _ in range(8)]
+    owners = lloyd.Owners(8, 4, 1, 8)
+    residents = lloyd.first_blocks(rows, d, 4096, False, books, owners).partitionBy(8, lloyd.home)
+    again = lloyd.migrated(residents, books, owners, [])
+    at = lambda rdd: sorted((p, o, int(r)) for p, part in enumerate(rdd.glom().collect()) for o, (rs, _) in part for r in rs)
+    assert at(again) == at(residents) and len(at(again)) == 8 * n and again.getNumPartitions() == 8
+    keep = []
+    other = [b[::-1].copy() for b in books]
+    moved = lloyd.migrated(residents, other, owners, keep)
+    assert all(lloyd.home(o) % 8 == p for p, o, _ in at(moved))
+    leaving = keep[0].flatMap(lambda x: [] if x[0] else list(x[1][1][0])).count()
+    changed = len({(o, r) for _, o, r in at(moved)} - {(o, r) for _, o, r in at(residents)})
+    assert 0 < leaving <= changed <= 8 * n
