@@ -7,8 +7,8 @@ its version block which fields its header lines have; a WARC record gets the
 identifier, date, type and digests that follow from them.
 
 Equal payloads are found by digest and length alone. Only these small rows are
-grouped, and payloads move once, keyed by archive and offset, so a payload shared by a
-third of the records makes no large group.
+grouped, and payloads move at most once, keyed by archive and offset, so a payload
+shared by a third of the records makes no large group.
 
 Defined cases: a null html is an empty payload; a null page_id has no id header and
 comes back null; a null or empty url is ``unknown:``; white space and control
@@ -286,7 +286,8 @@ def write_warc(records: DataFrame, repeats: DataFrame) -> str:
 def converted(spark: SparkSession, arc: str, order: list[Column] | None = None, min_bytes: int = 0) -> str:
     """The ARC files under ``arc`` as WARC files; returns their folder."""
     facts = written(as_warc(read_arc(spark, arc, payloads=False)).drop("payload"), "arc-facts")
-    return write_warc(as_warc(read_arc(spark, arc)), first_of_equal(facts, order or [], min_bytes))
+    repeats = written(first_of_equal(facts, order or [], min_bytes), "repeats")  # its size known, Spark broadcasts a small one and payloads stay
+    return write_warc(as_warc(read_arc(spark, arc)), repeats)
 
 
 def resolved(back: DataFrame) -> DataFrame:
