@@ -52,6 +52,11 @@ ID_HEADER = "X-Page-Id"
 _PART = (1 << 33) - 1  # rows of a partition, as monotonically_increasing_id counts them
 
 
+def write_lines(lines: DataFrame, end: str, path: str) -> None:
+    """One gzip file for each partition; each row is followed by ``end``."""
+    lines.write.options(maxRecordsPerFile=0, lineSep=end, compression="gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
 # ---- writing ARC --------------------------------------------------------------------------
 
 def page_blocks(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -76,7 +81,7 @@ def write_arc(blocks: DataFrame, version: int = 1, date: str = "19700101000000",
     name = F.concat(F.lit("filedesc://pages-"), F.shiftright("_at", 33), F.lit(f".arc {ip} {date} text/plain{fill} {len(head)}\n{head}\n"))
     first = F.col("_at").bitwiseAND(_PART) == 0  # the version block opens the file
     lines = blocks.withColumn("_at", F.monotonically_increasing_id()).select(F.when(first, F.concat(name, record)).otherwise(record))
-    lines.write.option("maxRecordsPerFile", 0).option("lineSep", "\n").option("compression", "gzip").text(path)
+    write_lines(lines, "\n", path)
     return path
 
 
@@ -278,8 +283,7 @@ def write_warc(records: DataFrame, repeats: DataFrame) -> str:
         field("WARC-Refers-To-Target-URI", F.col("first.uri")), field("WARC-Refers-To-Date", F.col("first.warc_date")),
         field("Content-Type", kind), field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    out = r.select(F.concat(lines, block))
-    out.write.option("maxRecordsPerFile", 0).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    write_lines(r.select(F.concat(lines, block)), "\r\n\r\n", path)
     return path
 
 
