@@ -1,142 +1,123 @@
 """Moment matrices over feature panels: correlation, lag, transition, horizon, modules.
 
-A panel is a bounded list of features (regulators and the most variable genes),
-so one step is one short dense vector. Tasks add up X'Y locally and only the
-partial matrices are shuffled, in row blocks.
+A panel numbers its features in a table and keeps a step as one sparse row; matrices over
+it are blocks (``operators/blocks.py``), so neither the driver nor a task holds a
+list of all features or a whole matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewise.functions.ordering import attach_scalar, exact_quantiles
+from statewise.functions.ordering import attach_scalar, exact_quantiles, rank_first, reread, unit_index
+from statewise.operators import blocks as bl
 from statewise.session import cut_lineage
 
-PANEL_LIMIT = 4096
-ROW_BLOCK = 64
+# ---- panels -------------------------------------------------------------------------------
 
+class Panel(NamedTuple):
+    """Numbered features and sparse rows over them: index (feature, i), rows (step..., i, x arrays)."""
 
-def panel(long: DataFrame, feature: str = "feature", limit: int = PANEL_LIMIT) -> list:
-    """The checked, sorted feature list of a panel."""
-    names = [r[0] for r in long.select(feature).distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"panel above {limit} features: select features first")
-    return sorted(names)
+    index: DataFrame
+    size: int
+    rows: DataFrame
 
 
-def dense_rows(long: DataFrame, step: Sequence[str], names: Sequence, feature: str = "feature", value: str = "x") -> DataFrame:
-    """One zero-filled vector per step in panel order."""
-    pairs = long.groupBy(*step).agg(F.map_from_entries(F.collect_list(F.struct(feature, F.col(value).cast("double")))).alias("m"))
-    kind = long.schema[feature].dataType.simpleString()
-    listed = F.lit(list(names)).cast(f"array<{kind}>")
-    return pairs.select(*step, F.transform(listed, lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0))).alias("v"))
+def numbered(names: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct values of one column as (feature, i), and how many."""
+    units = cut_lineage(names.toDF("feature").distinct())
+    return unit_index(units, ["feature"], out="i").select("feature", F.col("i").cast("int").alias("i")), units.count()
 
 
-def cross_moments(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """(i, j, sxy) of the augmented vectors [1, left] and [1, right]."""
+def panel(long: DataFrame, step: Sequence[str], feature: str = "feature", value: str = "x") -> Panel:
+    """One sparse row for each step; absent and null values are 0, repeated ones add up."""
+    long = reread(long.filter(F.col(feature).isNotNull()))
+    index, size = numbered(long.select(F.col(feature).alias("feature")))
+    cell = F.struct("i", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"))
+    packed = long.withColumnRenamed(feature, "feature").join(index, "feature").groupBy(*step).agg(F.collect_list(cell).alias("p"))
+    return Panel(index, size, packed.select(*step, F.col("p.i").alias("vi"), F.col("p.x").alias("vx")))
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for f in frames:
-            if len(f) == 0:
-                continue
-            x, y = np.stack(f[left].to_numpy()), np.stack(f[right].to_numpy())
-            one = np.ones((len(f), 1))
-            g = np.hstack([one, x]).T @ np.hstack([one, y])
-            total = g if total is None else total + g
-        if total is not None:
-            for start in range(0, total.shape[0], ROW_BLOCK):
-                yield pd.DataFrame({"block": [start], "cells": [total[start:start + ROW_BLOCK].ravel()], "width": [total.shape[1]]})
-
-    def merge(f: pd.DataFrame) -> pd.DataFrame:
-        width, start = int(f["width"].iloc[0]), int(f["block"].iloc[0])
-        s = np.sum(np.stack(f["cells"].to_numpy()), axis=0).reshape(-1, width)
-        i, j = np.indices(s.shape)
-        return pd.DataFrame({"i": (i + start).ravel(), "j": j.ravel(), "sxy": s.ravel()})
-
-    parts = rows.select(left, right).mapInPandas(partial, "block int, cells array<double>, width int")
-    return parts.groupBy("block").applyInPandas(merge, "i int, j int, sxy double")
-
-
-def _named(edges: DataFrame, names: Sequence, regulators: Sequence | None) -> DataFrame:
-    listed = F.lit(list(names))
-    out = edges.select(F.get(listed, F.col("i") - 1).alias("regulator"), F.get(listed, F.col("j") - 1).alias("gene"), "score")
-    out = out.filter(F.col("regulator") != F.col("gene"))
-    return out.filter(F.col("regulator").isin(list(regulators))) if regulators is not None else out
+
+def _names(index: DataFrame, block: str, names: str) -> DataFrame:
+    """Feature names of each block of columns, in order."""
+    at = F.floor(F.col("i") / bl.SIDE).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct("i", "feature")))
+    return index.groupBy(at.alias(block)).agg(F.transform(listed, lambda s: s["feature"]).alias(names))
+
+
+def _named(rows: DataFrame, index: DataFrame, left: str, right: str, value: str) -> DataFrame:
+    """(left, right, value) of block rows (r, c, i, value array)."""
+    named = rows.join(_names(index, "r", "_l"), "r").join(_names(index, "c", "_r"), "c")
+    return named.select(F.get("_l", F.col("i")).alias(left), F.posexplode(value).alias("_j", value), "_r").select(left, F.get("_r", F.col("_j")).alias(right), value)
 
 
-def _correlation(m: DataFrame, left_squares: DataFrame, right_squares: DataFrame) -> DataFrame:
-    n = m.filter("i = 0 AND j = 0").agg(F.max("sxy").alias("n"))
-    sx = left_squares.select("i", F.col("s").alias("sx"), F.col("ss").alias("sxx"))
-    sy = right_squares.select(F.col("i").alias("j"), F.col("s").alias("sy"), F.col("ss").alias("syy"))
-    j = attach_scalar(m.filter("i > 0 AND j > 0").join(sx, "i").join(sy, "j"), n)
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    r = F.when((vx > 1e-12) & (vy > 1e-12), F.abs(cov / F.sqrt(vx * vy))).otherwise(0.0)
-    return j.select("i", "j", r.alias("score"))
+def _correlation(g: np.ndarray, ls: np.ndarray, rs: np.ndarray) -> np.ndarray:
+    n = max(ls[2, 0], 1.0)
+    vx, vy = ls[1] - ls[0] * ls[0] / n, rs[1] - rs[0] * rs[0] / n
+    ok = (vx > 1e-12)[:, None] & (vy > 1e-12)
+    return np.where(ok, (g - np.outer(ls[0], rs[0]) / n) / np.sqrt(np.where(ok, np.outer(vx, vy), 1.0)), 0.0)
 
 
-def _squares(rows: DataFrame, vector: str) -> DataFrame:
-    x = rows.select(F.posexplode(vector).alias("i", "x"))
-    return x.groupBy((F.col("i") + 1).alias("i")).agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+def _edges(panel: Panel, rows: DataFrame, right: tuple[str, str], regulators: Sequence | None) -> DataFrame:
+    spark = rows.sparkSession
+    found = bl.with_stats(*bl.moments(rows, ("vi", "vx"), right, panel.size, panel.size), spark)
+    scores = bl.blockwise(found, lambda g, ls, rs: np.abs(_correlation(g, ls, rs)), "score")
+    out = _named(scores, panel.index, "regulator", "gene", "score").filter(F.col("regulator") != F.col("gene"))
+    return out.filter(F.col("regulator").isin(list(regulators))) if regulators is not None else out
 
 
 def correlation_edges(long: DataFrame, step: Sequence[str], regulators: Sequence | None = None) -> DataFrame:
     """Absolute Pearson between every regulator and feature over steps."""
-    names = panel(long)
-    rows = dense_rows(long, step, names)
-    sq = _squares(rows, "v")
-    return _named(_correlation(cross_moments(rows.withColumn("w", F.col("v")), "v", "w"), sq, sq), names, regulators)
+    p = panel(long, step)
+    return _edges(p, p.rows, ("vi", "vx"), regulators)
 
 
-def lagged_rows(rows: DataFrame, order: str, block: int = 1 << 16) -> DataFrame:
-    """Consecutive (v, w) vectors along a global integer order without one-task sorting.
+def lagged_rows(rows: DataFrame, order: str) -> DataFrame:
+    """Consecutive (v, w) rows along a global order without one-task sorting.
 
     The follower of a step is found by an equi-join on its position.
     """
-    from statewise.functions.ordering import rank_first
-
-    placed = rank_first(rows, [], order, [order], "__p")
-    ahead = placed.select((F.col("__p") - 1).alias("__p"), F.col("v").alias("w"))
-    return placed.join(ahead, "__p").select(order, "v", "w")
+    placed = cut_lineage(rank_first(rows, [], order, [order], "__p"))
+    ahead = placed.select((F.col("__p") - 1).alias("__p"), F.col("vi").alias("wi"), F.col("vx").alias("wx"))
+    return placed.join(ahead, "__p").select(order, "vi", "vx", "wi", "wx")
 
 
 def lagged_correlation(long: DataFrame, order: str, regulators: Sequence | None = None) -> DataFrame:
     """|corr(x_t, y_t+1)| between regulators and features."""
-    names = panel(long)
-    rows = lagged_rows(dense_rows(long, [order], names), order)
-    return _named(_correlation(cross_moments(rows, "v", "w"), _squares(rows, "v"), _squares(rows, "w")), names, regulators)
+    p = panel(long, [order])
+    return _edges(p, lagged_rows(p.rows, order), ("wi", "wx"), regulators)
 
 
-def transition_operator(long: DataFrame, order: str, alpha: float = 10.0) -> DataFrame:
-    """Multi-output ridge of the next on the current vector: (source, target, weight).
+def transition_blocks(long: DataFrame, order: str, alpha: float = 10.0, tol: float = 1e-11) -> tuple[bl.Blocks, Panel, np.ndarray]:
+    """Multi-output ridge of the next on the current vector, in blocks (source x target).
 
-    weight(source -> target) is the coefficient of the source's current value.
+    Also the panel and, for each target, the relative residual of its normal equations.
     """
-    names = panel(long, limit=1024)
-    rows = lagged_rows(dense_rows(long, [order], names), order)
-    p = len(names)
-    stack = rows.select("v", F.concat("v", "w").alias("vw"))
-    m = cross_moments(stack, "v", "vw")
-
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        g = np.zeros((p + 1, 2 * p + 1))
-        g[f["i"], f["j"]] = f["sxy"]
-        n, sx, sy = g[0, 0], g[1:, 0], g[0, 1 + p:]
-        xx = g[1:, 1:p + 1] - np.outer(sx, sx) / n
-        xy = g[1:, p + 1:] - np.outer(sx, sy) / n
-        b = np.linalg.solve(xx + alpha * np.eye(p), xy)
-        i, j = np.indices(b.shape)
-        return pd.DataFrame({"i": i.ravel() + 1, "j": j.ravel() + 1, "score": b.ravel()})
-
-    solved = m.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "i int, j int, score double")
-    listed = F.lit(list(names))
-    return solved.select(F.get(listed, F.col("i") - 1).alias("source"), F.get(listed, F.col("j") - 1).alias("target"), F.col("score").alias("weight"))
+    p = panel(long, [order])
+    spark = long.sparkSession
+    xx, xy, xs, ys = bl.paired_moments(lagged_rows(p.rows, order), ("vi", "vx"), ("wi", "wx"), p.size)
+    solved, residual, _ = bl.ridge_solve(bl.centred(xx, xs, xs, spark), bl.centred(xy, xs, ys, spark), alpha, tol)
+    return solved, p, residual
+
+
+def transition_operator(long: DataFrame, order: str, alpha: float = 10.0, tol: float = 1e-11) -> DataFrame:
+    """(source, target, weight, residual): weight is the coefficient of the source's current value."""
+    solved, p, residual = transition_blocks(long, order, alpha, tol)
+    spark, side = long.sparkSession, bl.SIDE
+    parts = [(k, [float(x) for x in residual[k * side:(k + 1) * side]]) for k in range(bl.count(p.size))]
+    none = F.lit(b"").cast("binary")
+    cells = bl.blockwise(bl.to_table(solved, spark).select("r", "c", "width", "cells", none.alias("ls"), none.alias("rs")), lambda g, *_: g, "weight")
+    listed = _names(p.index, "c", "_r").join(spark.createDataFrame(parts, "c int, off array<double>"), "c")
+    out = cells.join(_names(p.index, "r", "_l"), "r").join(listed, "c")
+    pair = F.posexplode("weight").alias("_j", "weight")
+    out = out.select(F.get("_l", F.col("i")).alias("source"), pair, "_r", "off")
+    return out.select("source", F.get("_r", F.col("_j")).alias("target"), "weight", F.get("off", F.col("_j")).alias("residual"))
 
 
 def transition_edges(long: DataFrame, order: str, alpha: float = 10.0) -> DataFrame:
@@ -144,64 +125,107 @@ def transition_edges(long: DataFrame, order: str, alpha: float = 10.0) -> DataFr
     return op.select(F.col("source").alias("regulator"), F.col("target").alias("gene"), F.abs("weight").alias("score"))
 
 
-def spectral_radius(edges: DataFrame, small: int = 2048, rounds: int = 40) -> DataFrame:
-    """Largest |eigenvalue| of a sparse operator (source, target, weight), one row.
+# ---- operators ----------------------------------------------------------------------------
+
+def operator_blocks(edges: DataFrame) -> tuple[bl.Blocks, DataFrame]:
+    """(source, target, weight) as blocks, and the index (feature, i) of its nodes."""
+    edges = reread(edges.select("source", "target", F.col("weight").cast("double").alias("value")))
+    index, n = numbered(edges.select("source").union(edges.select("target")))
+    placed = edges.join(index.toDF("source", "i"), "source").join(index.toDF("target", "j"), "target")
+    m = bl.from_triplets(placed.select("i", "j", "value"), n, n)
+    return bl.Blocks(bl.kept(m.rdd), n, n), index
+
+
+def stability(w: bl.Blocks, spark, limit: float = 0.99, tol: float = 1e-9, condition: bool = False, block: int = 32, width: int = 256) -> DataFrame:
+    """One row: radius of W, its residual, whether it is below ``limit``, whether it converged, and on request the condition number of I - W.
 
-    A checked small panel is solved densely in one task; beyond that the growth
-    of joined power-iteration vectors is used.
+    Both come from block Krylov spaces that are the whole space for small operators and
+    are restarted until their residuals are ``tol`` for larger ones. The condition number
+    is the root of that of (I - W)'(I - W), so it is good up to 1e7 or so.
     """
-    nodes = edges.select(F.col("source").alias("node")).union(edges.select(F.col("target").alias("node"))).distinct()
-    names = [r[0] for r in nodes.limit(small + 1).collect()]
-    if len(names) <= small:
-        index = {v: i for i, v in enumerate(sorted(names))}
-
-        def radius(f: pd.DataFrame) -> pd.DataFrame:
-            w = np.zeros((len(index), len(index)))
-            for s, t, v in zip(f["source"], f["target"], f["weight"]):
-                w[index[s], index[t]] += v
-            return pd.DataFrame({"radius": [float(np.abs(np.linalg.eigvals(w)).max()) if len(index) else 0.0]})
-
-        return edges.select(F.lit(1).alias("g"), "source", "target", "weight").groupBy("g").applyInPandas(radius, "radius double")
-    x = nodes.withColumn("x", F.lit(1.0))
-    log_growth = 0.0
-    for i in range(rounds):
-        x = edges.join(x.withColumnRenamed("node", "target"), "target").groupBy("source").agg(F.sum(F.col("weight") * F.col("x")).alias("x")).withColumnRenamed("source", "node")
-        x = cut_lineage(x)
-        size = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-        if not size:
-            return edges.sparkSession.range(1).select(F.lit(0.0).alias("radius"))
-        if i >= rounds // 2:
-            log_growth += float(np.log(size))
-        x = x.withColumn("x", F.col("x") / size)
-    return edges.sparkSession.range(1).select(F.lit(float(np.exp(log_growth / (rounds - rounds // 2)))).alias("radius"))
+    if w.rows == 0:
+        radius, extra = bl.Extremes(np.zeros(1), np.zeros(1), True, 0), (1.0, True)
+    else:
+        striped = bl.stripes(w)
+        radius = bl.krylov(lambda v: bl.times(striped, v), w.rows, spark, "modulus", block, width, tol)
+        extra = (None, None)
+        if condition:
+            turned = bl.stripes(bl.transposed(w))
+            less = lambda a, b: a if b is None else -b if a is None else a - b
+            ahead = lambda v: bl.meet(v, bl.times(striped, v), less)
+            both = bl.krylov(lambda v: (lambda u: bl.meet(u, bl.times(turned, u), less))(ahead(v)), w.rows, spark, "both", block, width, tol)
+            least = both.values[-1].real
+            extra = (float(np.sqrt(both.values[0].real / least)) if least > 0 else float("inf"), both.converged)
+    top = float(np.abs(radius.values[0]))
+    row = (top, float(radius.residuals[0]), top < limit, radius.converged, *extra)
+    return spark.createDataFrame([row], "radius double, residual double, stable boolean, converged boolean, condition double, condition_converged boolean")
+
+
+def spectral_radius(edges: DataFrame, tol: float = 1e-9, condition: bool = False, block: int = 32, width: int = 256) -> DataFrame:
+    """``stability`` of an edge list (source, target, weight)."""
+    return stability(operator_blocks(edges)[0], edges.sparkSession, tol=tol, condition=condition, block=block, width=width)
 
 
 def stabilise(edges: DataFrame, limit: float = 0.95) -> DataFrame:
-    """Scale the operator down to the radius limit when it is above it."""
+    """Scale the edges' operator down to the radius limit when it is above it."""
     factor = F.when(F.col("radius") > limit, limit / F.col("radius")).otherwise(1.0)
     return attach_scalar(edges, spectral_radius(edges)).select("source", "target", (F.col("weight") * factor).alias("weight"))
 
 
-def finite_horizon(edges: DataFrame, depth: int = 3, limit: float = 0.95, identity: bool = False) -> DataFrame:
-    """Sum of powers 1..depth of the stabilised operator (plus I on request),
-    by edge self-joins: (source, target, weight, direct)."""
-    w = cut_lineage(stabilise(edges, limit).filter("weight <> 0"))
-    hop = w.select(F.col("source").alias("mid"), F.col("target"), F.col("weight").alias("w2"))
-    powers, current = [w.withColumn("depth", F.lit(1))], w
-    for d in range(2, depth + 1):
-        current = current.withColumnRenamed("target", "mid").join(hop, "mid").groupBy("source", "target").agg(F.sum(F.col("weight") * F.col("w2")).alias("weight"))
-        powers.append(current.withColumn("depth", F.lit(d)))
-    if identity:
-        nodes = edges.select("source").union(edges.select("target")).distinct()
-        powers.append(nodes.select("source", F.col("source").alias("target"), F.lit(1.0).alias("weight"), F.lit(0).alias("depth")))
-    stacked = powers[0]
-    for p in powers[1:]:
-        stacked = stacked.unionByName(p)
-    return stacked
+def stabilised(w: bl.Blocks, spark, limit: float) -> bl.Blocks:
+    """W scaled down to the radius limit when it is above it."""
+    radius = stability(w, spark).first()["radius"]
+    out = bl.scaled(w, limit / radius if radius > limit else 1.0)
+    return bl.Blocks(bl.kept(out.rdd), w.rows, w.cols)
+
+
+def finite_horizon(edges: DataFrame, depth: int = 3, limit: float = 0.95, identity: bool = False, inputs: DataFrame | None = None) -> DataFrame:
+    """Powers of the stabilised operator by depth: (source, target, weight, depth).
+
+    Without ``inputs``: W^k for k = 1..depth (and I at 0 on request). With ``inputs``
+    (node, input, value), a map B: (node, input, weight, depth) of W^k B for k = 0..depth;
+    nodes that no edge names pass their input at depth 0 only. Zeros are left out.
+    """
+    w, index = operator_blocks(edges)
+    return block_horizon(w, index, edges.sparkSession, depth, limit, identity, inputs)
+
+
+def transition_horizon(long: DataFrame, order: str, alpha: float = 10.0, depth: int = 3, limit: float = 0.95) -> DataFrame:
+    """Powers of the fitted transition operator; it stays in blocks from the fit to the last product."""
+    solved, p, _ = transition_blocks(long, order, alpha)
+    return block_horizon(bl.Blocks(bl.kept(solved.rdd), p.size, p.size), p.index, long.sparkSession, depth, limit)
+
+
+def block_horizon(w: bl.Blocks, index: DataFrame, spark, depth: int, limit: float, identity: bool = False, inputs: DataFrame | None = None) -> DataFrame:
+    """``finite_horizon`` of an operator in blocks over the nodes of ``index`` (feature, i)."""
+    w = stabilised(w, spark, limit)
+    if inputs is None:
+        names, right, columns, levels = ("source", "target"), index, w.cols, [(1, w)]
+        if identity:
+            levels.insert(0, (0, bl.from_triplets(index.select("i", F.col("i").alias("j"), F.lit(1.0).alias("value")), w.rows, w.cols)))
+    else:
+        inputs = reread(inputs)
+        names = ("node", "input")
+        right, columns = numbered(inputs.select("input"))
+        cells = inputs.join(index.toDF("node", "i"), "node").join(right.toDF("input", "j"), "input")
+        levels = [(0, bl.from_triplets(cells.select("i", "j", F.col("value").cast("double").alias("value")), w.rows, columns))]
+    for d in range(levels[-1][0] + 1, depth + 1):
+        m = bl.multiply(w, levels[-1][1])
+        levels.append((d, bl.Blocks(bl.kept(m.rdd), w.rows, columns)))
+    out = None
+    for d, m in levels:
+        part = bl.to_triplets(m, spark).withColumn("depth", F.lit(d))
+        out = part if out is None else out.unionByName(part)
+    named = out.join(index.toDF(names[0], "i"), "i").join(right.toDF(names[1], "j"), "j").select(*names, F.col("value").alias("weight"), "depth")
+    if inputs is not None:
+        outside = inputs.join(index.select(F.col("feature").alias("node")), "node", "left_anti").groupBy("node", "input").agg(F.sum("value").cast("double").alias("weight"))
+        named = named.unionByName(outside.filter("weight <> 0").withColumn("depth", F.lit(0)))
+    return named
 
 
 def horizon_edges(powers: DataFrame) -> DataFrame:
-    return powers.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    keys = [c for c in powers.columns if c not in ("weight", "depth")]
+    return powers.groupBy(*keys).agg(F.sum("weight").alias("weight"))
 
 
 def depth_growth(powers: DataFrame, depths: int) -> DataFrame:
@@ -214,17 +238,10 @@ def depth_growth(powers: DataFrame, depths: int) -> DataFrame:
 
 def module_spectrum(tensor: DataFrame, unit: str, keep: float = 0.90, radius: float = 0.85, depth: int = 6) -> tuple[DataFrame, DataFrame]:
     """Thresholded module correlation network and its growth by depth."""
-    long = tensor.select(unit, F.col("module").cast("string").alias("feature"), F.col("score").alias("x"))
-    names = panel(long)
-    rows = dense_rows(long, [unit], names)
-    sq = _squares(rows, "v")
-    m = cross_moments(rows.withColumn("w", F.col("v")), "v", "w")
-    n = m.filter("i = 0 AND j = 0").agg(F.max("sxy").alias("n"))
-    j = attach_scalar(m.filter("i > 0 AND j > 0 AND i <> j").join(sq, "i").join(sq.select(F.col("i").alias("j"), F.col("s").alias("s2"), F.col("ss").alias("ss2")), "j"), n)
-    cov = F.col("sxy") - F.col("s") * F.col("s2") / F.col("n")
-    r = cov / F.sqrt((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) * (F.col("ss2") - F.col("s2") * F.col("s2") / F.col("n")))
-    listed = F.lit(list(names))
-    corr = j.select(F.get(listed, F.col("i") - 1).alias("source"), F.get(listed, F.col("j") - 1).alias("target"), r.alias("weight"))
+    spark = tensor.sparkSession
+    p = panel(tensor.select(unit, F.col("module").cast("string").alias("feature"), F.col("score").alias("x")), [unit])
+    found = bl.with_stats(*bl.moments(p.rows, ("vi", "vx"), ("vi", "vx"), p.size, p.size), spark)
+    corr = cut_lineage(_named(bl.blockwise(found, _correlation, "weight"), p.index, "source", "target", "weight").filter("source <> target"))
     cut = exact_quantiles(corr.filter("source < target").select(F.abs("weight").alias("a")), [], "a", {"threshold": keep})
     kept = cut_lineage(attach_scalar(corr, cut).filter(F.abs("weight") >= F.col("threshold") - 1e-12).select("source", "target", "weight"))
     scaled = attach_scalar(kept, spectral_radius(kept)).select("source", "target", (F.col("weight") * F.when(F.col("radius") > 0, radius / F.col("radius")).otherwise(1.0)).alias("weight"))
@@ -244,7 +261,7 @@ def fit_modules(triplets: DataFrame, row: Sequence[str], k: int) -> tuple[DataFr
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     spark = triplets.sparkSession
-    names = panel(triplets, limit=65_536)
+    names = sorted(r[0] for r in triplets.select("feature").distinct().collect())
     width = len(names)
     index = F.array_position(F.lit(names), F.col("feature")) - 1 if width <= 512 else None
     if index is None:

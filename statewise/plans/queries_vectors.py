@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statewise.operators import dynamics as dy
@@ -10,6 +11,7 @@ from statewise.plans.bindings import DUCK, q6
 from statewise.plans.queries_groups import r6
 from statewise.plans.queries_resample import shuffled
 from statewise.plans.registry import query, with_views
+from statewise.session import cut_lineage
 
 D = DUCK
 STATES = ("A", "N", "R")
@@ -216,14 +218,66 @@ def _(b):
     return dy.transition_edges(b.view("series"), "step", 10.0)
 
 
+@query("i18_transition_optimality", lambda: with_views("series", " SELECT DISTINCT feature AS target, TRUE AS optimal, TRUE AS solved FROM series"))
+def _(b):
+    """Gradient of the penalised loss of every output, from sums over the rows, and the solver's own residual."""
+    long, alpha = b.view("series"), 10.0
+    op = cut_lineage(dy.transition_operator(long, "step", alpha))
+    steps, features = long.select("step").distinct(), long.select("feature").distinct()
+    full = cut_lineage(steps.join(features).join(long, ["step", "feature"], "left").select("step", "feature", F.coalesce("x", F.lit(0.0)).alias("x")))
+    following = Window.partitionBy("feature").orderBy("step")
+    pairs = full.withColumn("y", F.lead("x").over(following)).filter("y IS NOT NULL")
+    centre = lambda c: (F.col(c) - F.avg(c).over(Window.partitionBy("feature"))).alias(c)
+    pairs = cut_lineage(pairs.select("step", "feature", centre("x"), centre("y")))
+    fitted = pairs.join(op, pairs["feature"] == op["source"]).groupBy("step", "target").agg(F.sum(F.col("x") * F.col("weight")).alias("fit"))
+    off = fitted.join(pairs.select("step", F.col("feature").alias("target"), "y"), ["step", "target"]).select("step", "target", "y", (F.col("y") - F.col("fit")).alias("off"))
+    slope = pairs.select("step", F.col("feature").alias("source"), "x").join(off, "step").groupBy("source", "target").agg(F.sum(F.col("x") * F.col("off")).alias("g"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    both = slope.join(op, ["source", "target"]).groupBy("target").agg(F.max(F.abs(F.col("g") - alpha * F.col("weight"))).alias("worst"), F.max(F.abs("xy")).alias("scale"), F.max("residual").alias("residual"))
+    return both.select("target", (F.col("worst") <= 1e-7 * F.greatest("scale", F.lit(1.0))).alias("optimal"), (F.col("residual") <= 1e-9).alias("solved"))
+
+
 @query("i19_finite_horizon")
 def _(b):
-    return dy.horizon_edges(dy.finite_horizon(dy.transition_operator(b.view("series"), "step", 10.0), 3))
+    return dy.horizon_edges(dy.transition_horizon(b.view("series"), "step", 10.0, 3))
 
 
 @query("i19_depth_growth")
 def _(b):
-    return dy.depth_growth(dy.finite_horizon(dy.transition_operator(b.view("series"), "step", 10.0), 3), 3)
+    return dy.depth_growth(dy.transition_horizon(b.view("series"), "step", 10.0, 3), 3)
+
+
+# Rows of this operator add up to 1, so its radius is 1 and the stabilised operator is 0.95 of it.
+CHAIN = """WITH ct AS (SELECT l_partkey % 60 AS source, (CAST(l_quantity AS BIGINT) * 3 + l_suppkey) % 60 AS target, count(*) AS n FROM lineitem GROUP BY ALL),
+    w AS (SELECT source, target, 0.95 * n / sum(n) OVER (PARTITION BY source) AS weight FROM ct),
+    p2 AS (SELECT a.source, z.target, sum(a.weight * z.weight) AS weight FROM w a JOIN w z ON a.target = z.source GROUP BY ALL), p3 AS (SELECT a.source, z.target, sum(a.weight * z.weight) AS weight FROM w a JOIN p2 z ON a.target = z.source GROUP BY ALL)"""
+
+
+def _chain(b):
+    n = b.table("lineitem").groupBy((F.col("l_partkey") % 60).alias("source"), ((F.col("l_quantity").cast("bigint") * 3 + F.col("l_suppkey")) % 60).alias("target")).count()
+    return n.select("source", "target", (F.col("count") / F.sum("count").over(Window.partitionBy("source"))).alias("weight"))
+
+
+@query("i19_chain_powers", lambda: CHAIN + f" SELECT source, target, depth, {D.q6('weight')} AS weight FROM (SELECT *, 1 AS depth FROM w UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3)")
+def _(b):
+    return r6(dy.finite_horizon(_chain(b), 3, 0.95), "weight")
+
+
+BROUGHT = "b AS (SELECT p_partkey % 70 AS node, p_size % 4 AS input, CAST(count(*) AS DOUBLE) AS value FROM part GROUP BY ALL)"
+
+
+@query("i19_input_map", lambda: CHAIN + f""", {BROUGHT}, k1 AS (SELECT w.source AS node, input, sum(weight * value) AS value FROM w JOIN b ON node = target GROUP BY ALL), k2 AS (SELECT w.source AS node, input, sum(weight * value) AS value FROM w JOIN k1 ON node = target GROUP BY ALL),
+    k3 AS (SELECT w.source AS node, input, sum(weight * value) AS value FROM w JOIN k2 ON node = target GROUP BY ALL), a AS (SELECT * FROM b UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)
+    SELECT node, input, {D.q6('sum(value)')} AS weight FROM a GROUP BY node, input""")
+def _(b):
+    brought = b.table("part").groupBy((F.col("p_partkey") % 70).alias("node"), (F.col("p_size") % 4).alias("input")).agg(F.count("*").cast("double").alias("value"))
+    return r6(dy.horizon_edges(dy.finite_horizon(_chain(b), 3, 0.95, inputs=brought)), "weight")
+
+
+@query("i19_stability", lambda: "SELECT 1.0::DOUBLE AS radius, FALSE AS stable, TRUE AS converged, TRUE AS condition_converged")
+def _(b):
+    """Radius of the whole operator; the condition number of I - W is unbounded here and that of I - W/2 is tested apart."""
+    out = dy.spectral_radius(_chain(b), condition=True)
+    return r6(out.select("radius", "stable", "converged", "condition_converged"), "radius")
 
 
 @query("i20_propagate", lambda: with_views("edges", f""", ed AS (SELECT source, response % 100 AS target, 1.0::DOUBLE AS weight FROM edges WHERE direction = 1 GROUP BY ALL), x AS (SELECT s_suppkey AS node, 'c1' AS "column", s_acctbal AS value FROM supplier),

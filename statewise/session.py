@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -51,12 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Checkpoints live in shared storage, so they outlive lost executors. Only a
     local-mode session without the setting gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    prepare_checkpoints(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
+def prepare_checkpoints(context: SparkContext) -> None:
+    """Let RDD and DataFrame checkpoints of this context go to the shared folder."""
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(SparkSession(context)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a written table, beside the checkpoints when shared."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
