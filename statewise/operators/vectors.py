@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.functions.ordering import attach_scalar, spread_over
+from statewise.functions.ordering import attach, attach_scalar, reread, spread_over
 from statewise.operators.ranks import top_k_per_group
 
 
@@ -278,21 +278,83 @@ def packed_rows(triplets: DataFrame, unit: str) -> DataFrame:
         unit, F.transform("__p", lambda x: x["feature"].cast("string")).alias("f"), F.transform("__p", lambda x: x["value"]).alias("v"))
 
 
-def decode_states(query: DataFrame, centroids: DataFrame, unit: str, betas: Sequence[float], model: str = "cosine", scale: float = 1.0, block: int = 1024) -> DataFrame:
-    """Softmax decoding of each unit among all centroids, per inverse temperature.
+def decode_states(query: DataFrame, centroids: DataFrame, unit: str, betas: Sequence[float], model: str = "cosine", scale: float = 1.0, block: int = 1024,
+                  units: DataFrame | None = None, by: Sequence[str] = (), scoring: str | None = None) -> DataFrame:
+    """Softmax decoding of each unit among all classes, per inverse temperature.
 
-    Score blocks stay inside tasks; a block returns one row per unit with its
-    log-sum-exp, best score, ties and true score, which then merge. Units
-    without a vector score 0 against everything (cosine).
+    ``query`` and ``centroids`` are sparse rows (by..., unit, feature, value). ``units``
+    (unit) lists the units to decode, which are then the classes too; one without a
+    vector is the zero vector. Without it the units of either side are taken. ``by``
+    are keys of independent decodings.
+
+    Sparse cosine scores come from an inverted index on features; pairs that share no
+    feature score 0 and enter the sums as a count, so they are never made. Where the
+    counted hits of that index exceed the pairs, and for distances, whose every pair
+    differs, pairs are scored block by block inside tasks instead. Both ways give the
+    same rows; ``scoring`` ("index" or "blocks") names one.
     """
-    q, c = packed_rows(query, unit), packed_rows(centroids, unit)
+    keys = [*by, unit]
+    tags = query.select(*by).distinct() if by else None
+    if units is not None:
+        every = units.select(unit).distinct()
+        every = spread_over(every, tags) if by else every
+    asked = every if units is not None else query.select(*keys).distinct()
+    known = every if units is not None else centroids.select(*keys).distinct()
+    classes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("classes"))
+    if scoring is None and model == "cosine":
+        query, centroids = reread(query), reread(centroids)
+        asked, known = (reread(every),) * 2 if units is not None else (asked, known)
+        met = lambda d, n: d.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias(n))
+        hits = met(query, "a").join(met(centroids, "b"), [*by, "feature"]).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0.0
+        pairs = attach(asked.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), classes, by).agg(F.sum(F.col("n").cast("double") * F.col("classes"))).first()[0] or 0.0
+        scoring = "index" if hits <= pairs else "blocks"
+    if model == "cosine" and scoring == "index":
+        merged = _index_scores(query, centroids, asked, known, classes, unit, betas, by)
+    else:
+        merged = _block_scores(query, centroids, asked, known, classes, unit, betas, model, scale, block, by)
+    log_p = F.col("beta") * F.col("true_score") - F.col("log_z")
+    return merged.select(*keys, "beta", "classes", "true_score", log_p.alias("log_probability"), (F.log(F.col("classes").cast("double")) + log_p).alias("information"),
+                         F.when(F.col("true_score") >= F.col("best") - 1e-14, 1.0 / F.col("ties")).otherwise(0.0).alias("fractional_top1"))
+
+
+def _index_scores(query: DataFrame, centroids: DataFrame, asked: DataFrame, known: DataFrame, classes: DataFrame, unit: str, betas: Sequence[float], by: Sequence[str]) -> DataFrame:
+    keys = [*by, unit]
+    norm = lambda d: d.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    side = lambda d, e, u, v, n: d.join(e, keys, "left_semi").join(norm(d), keys).filter("value <> 0 AND norm > 0").select(*by, F.col(unit).alias(u), "feature", F.col("value").alias(v), F.col("norm").alias(n))
+    hits = side(query, asked, "_u", "_x", "_nx").join(side(centroids, known, "_c", "_y", "_ny"), [*by, "feature"])
+    pairs = hits.groupBy(*by, "_u", "_c").agg(F.sum(F.col("_x") * F.col("_y")).alias("dot"), F.first("_nx").alias("_nx"), F.first("_ny").alias("_ny"))
+    whole = F.col("_nx") * F.col("_ny")
+    score = F.when(whole > 1e-12, F.greatest(F.least(F.col("dot") / whole, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
+    s = pairs.select(*by, F.col("_u").alias(unit), "_c", score.alias("s")).withColumn("_top", F.max("s").over(Window.partitionBy(*keys)))
+    parts = F.array(*[F.sum(F.exp(float(m) * (F.col("s") - F.col("_top")))) for m in betas])
+    seen = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("met"), F.max("_top").alias("top"), parts.alias("parts"), F.max(F.when(F.col("_c") == F.col(unit), F.col("s"))).alias("hit"),
+                                F.sum((F.col("s") >= F.col("_top") - 1e-14).cast("bigint")).alias("at_top"), F.sum((F.abs("s") <= 1e-14).cast("bigint")).alias("at_zero"))
+    out = attach(asked.join(seen, keys, "left"), classes, by)
+    out = out.join(known.withColumn("_known", F.lit(True)), keys, "left")
+    zeros = F.col("classes") - F.coalesce("met", F.lit(0))
+    out = out.withColumn("zeros", zeros).withColumn("best", F.when(F.col("met").isNull(), 0.0).when(F.col("zeros") > 0, F.greatest("top", F.lit(0.0))).otherwise(F.col("top")))
+    near = lambda c: F.col(c) >= F.col("best") - 1e-14
+    ties = F.when(F.col("met").isNotNull() & near("top"), F.col("at_top")).otherwise(0)
+    ties = ties + F.when(F.col("best") <= 1e-14, F.col("zeros") + F.when(~near("top"), F.col("at_zero")).otherwise(0)).otherwise(0)
+    out = out.select(*keys, "classes", "zeros", "top", "best", "parts", ties.alias("ties"), F.when(F.col("_known"), F.coalesce("hit", F.lit(0.0))).alias("true_score"))
+    long = out.select("*", F.posexplode(F.array(*[F.lit(float(m)) for m in betas])).alias("i", "beta"))
+    met = F.coalesce(F.get("parts", F.col("i")) * F.exp(F.col("beta") * (F.col("top") - F.col("best"))), F.lit(0.0))
+    return long.withColumn("log_z", F.col("beta") * F.col("best") + F.log(met + F.col("zeros") * F.exp(-F.col("beta") * F.col("best"))))
+
+
+def _block_scores(query: DataFrame, centroids: DataFrame, asked: DataFrame, known: DataFrame, classes: DataFrame, unit: str, betas: Sequence[float], model: str, scale: float, block: int, by: Sequence[str]) -> DataFrame:
+    keys = [*by, unit]
+    none = lambda d, e: e.join(d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("p")), keys, "left").select(
+        *keys, F.coalesce(F.transform("p", lambda x: x["feature"].cast("string")), F.array().cast("array<string>")).alias("f"), F.coalesce(F.transform("p", lambda x: x["value"].cast("double")), F.array().cast("array<double>")).alias("v"))
+    q, c = none(query, asked), none(centroids, known)
     n_blocks = lambda d: d.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("n"))
     sizes = attach_scalar(n_blocks(q).withColumnRenamed("n", "nq"), n_blocks(c).withColumnRenamed("n", "nc"))
     spread = lambda n: F.pmod(F.xxhash64(F.col(unit)), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = attach_scalar(q, sizes).select(F.col(unit).alias("unit"), "f", "v", spread("nq").alias("qb"), span("nc").alias("cb"))
-    right = attach_scalar(c, sizes).select(F.col(unit).alias("cunit"), F.col("f").alias("cf"), F.col("v").alias("cv"), span("nq").alias("cqb"), spread("nc").alias("ccb"))
-    b = np.asarray(betas, dtype=float)
+    left = attach_scalar(q, sizes).select(*by, F.col(unit).alias("unit"), "f", "v", spread("nq").alias("qb"), span("nc").alias("cb"))
+    theirs = [F.col(k).alias(f"_r{i}") for i, k in enumerate(by)]
+    right = attach_scalar(c, sizes).select(*theirs, F.col(unit).alias("cunit"), F.col("f").alias("cf"), F.col("v").alias("cv"), span("nq").alias("cqb"), spread("nc").alias("ccb"))
+    b, tags = np.asarray(betas, dtype=float), list(by)
 
     def dense(fs, vs, index):
         out = np.zeros((len(fs), len(index)))
@@ -301,7 +363,7 @@ def decode_states(query: DataFrame, centroids: DataFrame, unit: str, betas: Sequ
         return out
 
     def score(a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
-        cols = ["unit", "lse", "best", "ties", "true_score", "true_best"]
+        cols = [*tags, "unit", "lse", "best", "ties", "true_score"]
         if len(a) == 0 or len(z) == 0:
             return pd.DataFrame({k: [] for k in cols})
         index = {f: i for i, f in enumerate(sorted({x for r in a["f"] for x in r} | {x for r in z["cf"] for x in r}))}
@@ -317,23 +379,44 @@ def decode_states(query: DataFrame, centroids: DataFrame, unit: str, betas: Sequ
         same = a["unit"].to_numpy()[:, None] == z["cunit"].to_numpy()[None, :]
         true = np.where(same.any(1), np.where(same, s, 0).sum(1), np.nan)
         ties = (s >= top[:, None] - 1e-14).sum(1)
-        return pd.DataFrame({"unit": a["unit"].to_numpy(), "lse": lse, "best": top, "ties": ties, "true_score": true, "true_best": true >= top - 1e-14})
+        return pd.DataFrame({**{k: a[k].to_numpy() for k in tags}, "unit": a["unit"].to_numpy(), "lse": lse, "best": top, "ties": ties, "true_score": true})
 
-    kind = query.schema[unit].dataType.simpleString()
-    part = left.groupBy("qb", "cb").cogroup(right.groupBy("cqb", "ccb")).applyInPandas(
-        score, f"unit {kind}, lse array<double>, best double, ties bigint, true_score double, true_best boolean")
+    kind = lambda c: f"{c if c != unit else 'unit'} {query.schema[c].dataType.simpleString()}"
+    part = left.groupBy(*by, "qb", "cb").cogroup(right.groupBy(*[f"_r{i}" for i in range(len(by))], "cqb", "ccb")).applyInPandas(
+        score, ", ".join([*map(kind, keys), "lse array<double>", "best double", "ties bigint", "true_score double"]))
     part = part.withColumn("true_score", F.nanvl("true_score", F.lit(None)))
-    merged = part.groupBy("unit").agg(F.collect_list("lse").alias("l"), F.max("best").alias("best"), F.max("true_score").alias("true_score"),
-                                      F.collect_list(F.struct("best", "ties")).alias("t"))
+    merged = part.groupBy(*by, "unit").agg(F.collect_list("lse").alias("l"), F.max("best").alias("best"), F.max("true_score").alias("true_score"),
+                                           F.collect_list(F.struct("best", "ties")).alias("t"))
     ties = F.aggregate(F.filter("t", lambda x: x["best"] >= F.col("best") - 1e-14), F.lit(0).cast("bigint"), lambda acc, x: acc + x["ties"])
-    classes = centroids.select(unit).distinct().agg(F.count(F.lit(1)).alias("classes"))
-    long = attach_scalar(merged.withColumn("ties", ties), classes).select("*", F.posexplode(F.array(*[F.lit(float(x)) for x in betas])).alias("i", "beta"))
+    long = attach(merged.withColumn("ties", ties), classes, by).select("*", F.posexplode(F.array(*[F.lit(float(x)) for x in betas])).alias("i", "beta"))
     values = F.transform("l", lambda x: F.get(x, F.col("i")))
     high = F.array_max(values)
     log_z = high + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - high)))
-    log_p = F.col("beta") * F.col("true_score") - log_z
-    return long.select(F.col("unit").alias(unit), "beta", "classes", "true_score", log_p.alias("log_probability"), (F.log(F.col("classes").cast("double")) + log_p).alias("information"),
-                       F.when(F.col("true_score") >= F.col("best") - 1e-14, 1.0 / F.col("ties")).otherwise(0.0).alias("fractional_top1"))
+    return long.withColumn("log_z", log_z).withColumnRenamed("unit", unit)
+
+
+def nested_decode(triplets: DataFrame, unit: str, state: str, states: Sequence[str], betas: Sequence[float], units: DataFrame, model: str = "cosine", scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Decoding of each held-out state with a temperature chosen on the other states alone.
+
+    For each held-out state every other state is decoded from each remaining one; the
+    temperature of the lowest mean inner loss (ties to the lower) decodes the held-out
+    state from the mean of the others. Returns (inner losses: heldout_state,
+    inner_training_state, inner_validation_state, beta, log_loss, targets; predictions:
+    heldout_state and the columns of ``decode_states``).
+    """
+    inner = [(h, t, v) for h in states for t in states for v in states if len({h, t, v}) == 3]
+    names = ["heldout_state", "inner_training_state", "inner_validation_state"]
+    listed = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, task)]) for task in inner])
+    spread = lambda role: triplets.select("*", F.explode(F.filter(listed, lambda t: t[role] == F.col(state))).alias("_t")).select("_t.*", unit, "feature", "value")
+    tried = decode_states(spread(names[2]), spread(names[1]), unit, betas, model, scale, units=units, by=names)
+    losses = reread(tried.groupBy(*names, "beta").agg(F.avg(-F.col("log_probability")).alias("log_loss"), F.count(F.lit(1)).alias("targets")))
+    mean = losses.groupBy("heldout_state", "beta").agg(F.avg("log_loss").alias("loss"))
+    chosen = mean.groupBy("heldout_state").agg(F.min(F.struct("loss", "beta")).alias("m")).select("heldout_state", F.col("m.beta").alias("beta"))
+    held = F.explode(F.filter(F.array(*[F.lit(s) for s in states]), lambda s: s != F.col(state))).alias("heldout_state")
+    centroids = triplets.select(held, unit, "feature", "value").groupBy("heldout_state", unit, "feature").agg((F.sum("value") / (len(states) - 1)).alias("value"))
+    asked = triplets.select(F.col(state).alias("heldout_state"), unit, "feature", "value")
+    out = decode_states(asked, centroids, unit, betas, model, scale, units=units, by=["heldout_state"])
+    return losses, out.join(chosen, ["heldout_state", "beta"])
 
 
 def choose_beta(scored: DataFrame) -> DataFrame:

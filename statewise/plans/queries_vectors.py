@@ -325,7 +325,7 @@ def _(b):
 
 
 def _decoded(b):
-    e = b.view("effects")
+    e = cut_lineage(b.view("effects"))
     centroids = e.filter("state <> 'R'").groupBy("target", "feature").agg((F.sum("value") / 2).alias("value"))
     return vx.decode_states(e.filter("state = 'R'").select("target", "feature", "value"), centroids, "target", [1.0, 5.0, 20.0])
 
@@ -335,6 +335,34 @@ def _(b):
     return r6(vx.choose_beta(_decoded(b)), "log_loss")
 
 
+# Targets without a response in a state are zero vectors there; all suppliers are units.
+NEST = """, e5 AS (SELECT * FROM effects WHERE (target + ascii(state)) % 5 <> 0), us AS (SELECT s_suppkey AS u FROM supplier), st AS (SELECT unnest(['A', 'N', 'R']) AS s),
+    iv AS (SELECT h.s AS h, t.s AS t, v.s AS v FROM st h, st t, st v WHERE h.s <> t.s AND h.s <> v.s AND t.s <> v.s), nr AS (SELECT state, target, sqrt(sum(value * value)) AS n FROM e5 GROUP BY ALL),
+    dt AS (SELECT q.state AS v, c.state AS t, q.target AS u, c.target AS c, sum(q.value * c.value) AS dot FROM e5 q JOIN e5 c ON q.feature = c.feature AND q.state <> c.state GROUP BY ALL),
+    sc AS (SELECT h, iv.t, iv.v, us.u, c.u AS c, coalesce(dot / nullif(nq.n * nc.n, 0), 0) AS s FROM iv, us, us c LEFT JOIN dt ON dt.v = iv.v AND dt.t = iv.t AND dt.u = us.u AND dt.c = c.u LEFT JOIN nr nq ON nq.state = iv.v AND nq.target = us.u LEFT JOIN nr nc ON nc.state = iv.t AND nc.target = c.u),
+    lz AS (SELECT h, t, v, u, beta, ln(sum(exp(beta * s))) - beta * max(s) FILTER (WHERE u = c) AS loss FROM sc, (VALUES (1.0::DOUBLE), (5.0::DOUBLE), (20.0::DOUBLE)) b(beta) GROUP BY h, t, v, u, beta),
+    il AS (SELECT h AS heldout_state, t AS inner_training_state, v AS inner_validation_state, beta, avg(loss) AS log_loss, count(*) AS targets FROM lz GROUP BY ALL)"""
+
+
+def _nested(b):
+    e = cut_lineage(b.view("effects")).filter((F.col("target") + F.ascii("state")) % 5 != 0)
+    return vx.nested_decode(e, "target", "state", STATES, [1.0, 5.0, 20.0], b.table("supplier").select(F.col("s_suppkey").alias("target")))
+
+
+@query("i23_inner_losses", lambda: with_views("effects", NEST + f" SELECT heldout_state, inner_training_state, inner_validation_state, beta, targets, {D.q6('log_loss')} AS log_loss FROM il"))
+def _(b):
+    return r6(_nested(b)[0], "log_loss")
+
+
+@query("i23_nested_decode", lambda: with_views("effects", NEST + f""", ch AS (SELECT heldout_state AS h, beta FROM (SELECT heldout_state, beta, row_number() OVER (PARTITION BY heldout_state ORDER BY avg(log_loss), beta) AS r FROM il GROUP BY heldout_state, beta) WHERE r = 1),
+    ct AS (SELECT s AS h, target, feature, sum(value) / 2 AS value FROM st JOIN e5 ON s <> state GROUP BY ALL), cn AS (SELECT h, target, sqrt(sum(value * value)) AS n FROM ct GROUP BY ALL), od AS (SELECT ct.h, q.target AS u, ct.target AS c, sum(q.value * ct.value) AS dot FROM e5 q JOIN ct ON q.state = ct.h AND q.feature = ct.feature GROUP BY ALL),
+    os AS (SELECT ch.h, beta, us.u, c.u AS c, coalesce(dot / nullif(nq.n * nc.n, 0), 0) AS s FROM ch, us, us c LEFT JOIN od ON od.h = ch.h AND od.u = us.u AND od.c = c.u LEFT JOIN nr nq ON nq.state = ch.h AND nq.target = us.u LEFT JOIN cn nc ON nc.h = ch.h AND nc.target = c.u),
+    z AS (SELECT h, beta, u, count(*) AS classes, max(s) AS top, max(s) FILTER (WHERE u = c) AS ts, ln(sum(exp(beta * s))) AS lz FROM os GROUP BY h, beta, u), tt AS (SELECT z.h, z.u, count(*) AS ties FROM z JOIN os ON z.h = os.h AND z.u = os.u AND s >= top - 1e-14 GROUP BY ALL)
+    SELECT h AS heldout_state, u AS target, beta, classes, {D.q6('ts')} AS true_score, {D.q6('beta * ts - lz')} AS log_probability, {D.q6('ln(classes) + beta * ts - lz')} AS information, CASE WHEN ts >= top - 1e-14 THEN 1.0::DOUBLE / ties ELSE 0.0 END AS fractional_top1 FROM z JOIN tt USING (h, u)"""))
+def _(b):
+    return r6(_nested(b)[1], "true_score", "log_probability", "information")
+
+
 LOAD = "ld AS (SELECT concat('F', f) AS feature, m::INT AS module, ((f * 7 + m * 13) % 11 - 5) / 10.0::DOUBLE AS loading FROM (SELECT DISTINCT p_partkey % 40 AS f FROM part), range(4) x(m))"
 
 

@@ -107,7 +107,7 @@ def test_operator_powers(spark):
     assert got == {("a", "a"): 1.0, ("b", "b"): 1.0, ("a", "b"): 0.5}
     big = spark.createDataFrame([("a", "a", 1.2), ("b", "b", 0.2)], "source string, target string, weight double")
     assert dy.spectral_radius(dy.stabilise(big)).first()[0] == pytest.approx(0.95)
-    assert dy.spectral_radius(big, small=1, rounds=60).first()[0] == pytest.approx(1.2, rel=1e-3)
+    assert dy.spectral_radius(big, block=1, width=2).first()[0] == pytest.approx(1.2, rel=1e-9)
 
 
 def test_auroc_single_class_is_null(spark):
