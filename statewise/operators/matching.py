@@ -6,45 +6,101 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewise.functions.hashing import draw, replicates
-from statewise.functions.ordering import attach, attach_scalar, exact_quantiles
+from statewise.functions.ordering import attach, attach_scalar, exact_quantiles, reread
+from statewise.session import cut_lineage
 
 BLOCK = 4096
 
 
+PIVOT_CELLS = 1 << 22  # numbers in the table of pivots that every task gets (32 MB)
+FIRST_CELLS = 2
+
+
+def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
+    """``count`` distinct vectors of (key, v) rows, by hash of the key; they only steer speed."""
+    got = rows.select(F.xxhash64("key").alias("h"), "v").orderBy("h", "v").limit(4 * count).collect()
+    points = np.unique(np.array([r.v for r in got], dtype=float), axis=0) if got else np.zeros((0, 0))
+    return points[np.random.default_rng(5).permutation(len(points))[:count]]
+
+
 def blocked_knn(
     queries: DataFrame, candidates: DataFrame, by: Sequence[str], query: str, candidate: str, features: Sequence[str] | str,
-    k: int, block: int = BLOCK, skip_self: bool = False,
+    k: int, block: int = BLOCK, skip_self: bool = False, within: float | None = None, counter: Accumulator | None = None,
 ) -> DataFrame:
     """The k nearest candidates of each query by Euclidean distance, exactly.
 
-    Both sides are cut into blocks of bounded size; each pair of blocks is one
-    vectorised task that returns k rows per query, and the partial results merge
-    under a group limit. Ties break by candidate. ``features`` is a list of
-    numeric columns or the name of an array column.
+    Candidates lie in the cells of their nearest pivots; a cell knows the least and
+    greatest distance to its pivot. A query first meets its nearest cells, and then, with
+    the distance of its k-th find as bound, only cells that the triangle inequality does not
+    rule out. Rows of a cell and the queries that come to it meet in blocks of bounded
+    size. Ties break by candidate. ``features`` is a list of numeric columns or the
+    name of an array column; ``within`` gives up rows farther away; ``counter`` adds
+    up the pairs of rows compared.
     """
     vector = F.col(features) if isinstance(features, str) else F.array(*[F.col(c).cast("double") for c in features])
     vector = vector.cast("array<double>")
-    blocks = lambda df: df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
-    counts = blocks(queries).withColumnRenamed("n_blocks", "nq")
-    counts = attach(counts, blocks(candidates).withColumnRenamed("n_blocks", "nc"), by)
+    asked = reread(queries.select(*by, F.col(query).alias("query"), vector.alias("v")).filter(F.col("v").isNotNull()))
+    held = reread(candidates.select(*by, F.col(candidate).alias("candidate"), vector.alias("v")).filter(F.col("v").isNotNull()))
+    n, width = held.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n:
+        return asked.select(*by, "query", F.lit(None).cast(held.schema["candidate"].dataType).alias("candidate"), F.lit(0.0).alias("distance"), F.lit(0).alias("slot")).limit(0)
+    points = pivots_of(held.select(F.col("candidate").alias("key"), "v"), max(1, min(int(n**0.5), PIVOT_CELLS // max(width, 1))))
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+    ckind = held.schema["candidate"].dataType.simpleString()
+    columns = [*by]
+
+    def away(v) -> np.ndarray:
+        x = np.stack(v.to_numpy())
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ points.T + (points * points).sum(1), 0))
+
+    def placed(frames):
+        for f in frames:
+            if len(f):
+                d = away(f["v"])
+                cell = d.argmin(axis=1)
+                yield f.assign(cell=cell.astype("int32"), off=d[np.arange(len(f)), cell])
+
+    schema = lambda extra: ", ".join([*(f"`{b}` {kinds[b]}" for b in by), *extra])
+    held = cut_lineage(held.mapInPandas(placed, schema([f"candidate {ckind}", "v array<double>", "cell int", "off double"])))
+    near, far = np.full(len(points), np.inf), np.full(len(points), -np.inf)
+    for r in held.groupBy("cell").agg(F.min("off").alias("a"), F.max("off").alias("z")).collect():  # one row for each pivot
+        near[r.cell], far[r.cell] = r.a, r.z
+
+    def visits(first: bool):
+        def run(frames):
+            for f in frames:
+                if not len(f):
+                    continue
+                d = away(f["v"])
+                slack = 1e-7 * (1 + d)  # of the distances as computed
+                nearest = np.argsort(d, axis=1, kind="stable")[:, :FIRST_CELLS]
+                go = np.zeros(d.shape, bool)
+                go[np.arange(len(f))[:, None], nearest] = True
+                if not first:
+                    least = np.maximum(d - far, near - d) - slack
+                    go = ~go & (least <= f["bound"].to_numpy()[:, None])
+                i, c = np.nonzero(go)
+                yield f.iloc[i][[*columns, "query", "v"]].assign(cell=c.astype("int32"))
+        return run
+
+    visit = schema([f"query {kinds['query']}", "v array<double>", "cell int"])
+    cells = [*by, "cell"]
+    blocks = lambda df: F.ceil(F.count(F.lit(1)) / block).cast("int")
+    room = held.groupBy(*cells).agg(blocks(held).alias("nc"))
     spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = attach(queries.select(*by, F.col(query).alias("query"), vector.alias("v")), counts, by).select(
-        *by, "query", "v", spread("query", "nq").alias("qb"), span("nc").alias("cb"))
-    # The right side gets new column names: a self-cogroup cannot tell equal ones apart.
-    right = attach(candidates.select(*by, F.col(candidate).alias("candidate"), vector.alias("v")), counts, by).select(
-        *[F.col(b).alias(f"__{b}") for b in by], "candidate", "v", spread("candidate", "nc").alias("__cb"), span("nq").alias("__qb"))
-    keys = [*by, "qb", "cb"]
-    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
-    ckind = right.schema["candidate"].dataType.simpleString()
-
-    def near(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    fixed = [*by]
+
+    def closest(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({**{b: [] for b in by}, "query": [], "candidate": [], "distance": []})
+            return pd.DataFrame({**{b: [] for b in fixed}, "query": [], "candidate": [], "distance": []})
+        if counter is not None:
+            counter.add(len(q) * len(c))
         c = c.sort_values("candidate", kind="stable")
         x, y = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
         names = c["candidate"].to_numpy()
@@ -60,14 +116,30 @@ def blocked_knn(
             best = best[np.isfinite(d[best])]
             parts.append(pd.DataFrame({"query": name, "candidate": names[best], "distance": d[best]}))
         out = pd.concat(parts, ignore_index=True)
-        for b in by:
+        for b in fixed:
             out.insert(0, b, q[b].iloc[0])
-        return out[[*by, "query", "candidate", "distance"]]
+        return out[[*fixed, "query", "candidate", "distance"]]
+
+    def met(coming: DataFrame) -> DataFrame:
+        coming = cut_lineage(coming)
+        sizes = coming.groupBy(*cells).agg(blocks(coming).alias("nq")).join(room, cells)
+        left = coming.join(sizes, cells).select(*cells, "query", "v", spread("query", "nq").alias("qb"), span("nc").alias("cb"))
+        # The right side gets new column names: a self-cogroup cannot tell equal ones apart.
+        right = held.join(sizes, cells).select(*[F.col(c).alias(f"__{c}") for c in cells], "candidate", "v", spread("candidate", "nc").alias("__cb"), span("nq").alias("__qb"))
+        keys = [*cells, "qb", "cb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*[f"__{c}" for c in keys])).applyInPandas(
+            closest, schema([f"query {kinds['query']}", f"candidate {ckind}", "distance double"]))
 
-    schema = ", ".join([*(f"`{b}` {kinds[b]}" for b in by), f"query {kinds['query']}", f"candidate {ckind}", "distance double"])
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*[f"__{c}" for c in keys])).applyInPandas(near, schema)
     order = Window.partitionBy(*by, "query").orderBy("distance", "candidate")
-    return partial.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= k)
+    best = lambda df: df.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= k)
+    found = cut_lineage(best(met(asked.mapInPandas(visits(True), visit))))
+    if len(points) <= FIRST_CELLS:
+        return found if within is None else found.filter(F.col("distance") <= within)
+    limit = F.lit(float("inf") if within is None else float(within))
+    bound = found.groupBy(*by, "query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_d"))
+    left = asked.join(bound, [*by, "query"], "left").select(*by, "query", "v", F.least(F.coalesce("_d", limit), limit).alias("bound"))
+    out = best(found.drop("slot").unionByName(met(left.mapInPandas(visits(False), visit))))
+    return out if within is None else out.filter(F.col("distance") <= within)
 
 
 def standardise(df: DataFrame, by: Sequence[str], covariates: Sequence[str]) -> DataFrame:
@@ -90,7 +162,7 @@ def matched_controls(
     stratum has fewer than k controls.
     """
     scaled = standardise(units, strata, covariates)
-    found = blocked_knn(scaled.filter(is_case), scaled.filter(~F.col(is_case)), strata, unit, unit, covariates, k)
+    found = blocked_knn(scaled.filter(is_case), scaled.filter(~F.col(is_case)), strata, unit, unit, covariates, k, within=caliper)
     stats = found.groupBy(*strata, "query").agg(F.count(F.lit(1)).alias("c"), F.max("distance").alias("d"))
     kept = stats.filter((F.col("c") == k) & (F.col("d") <= caliper)).select(*strata, "query")
     return found.join(kept, [*strata, "query"]).select(
