@@ -236,17 +236,17 @@ def selector_comparison(df: DataFrame, by: Sequence[str], key: Sequence[str], un
     return observed.join(stats, [*by, "comparator"])
 
 
-def retention(df: DataFrame, key: str, original: str, rescored: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
+def retention(df: DataFrame, key: str, original: str, rescored: str, low: float = 0.1, high: float = 0.9, by: Sequence[str] = ()) -> DataFrame:
     """Share of each tail class kept after re-scoring, by new ranks and by the fixed thresholds."""
-    from statewise.functions.ordering import attach_scalar
+    from statewise.functions.ordering import attach
 
-    a = exact_quantiles(df, [], original, {"olo": low, "ohi": high})
-    b = exact_quantiles(df, [], rescored, {"nlo": low, "nhi": high})
-    j = attach_scalar(attach_scalar(df, a), b)
+    a = exact_quantiles(df, by, original, {"olo": low, "ohi": high})
+    b = exact_quantiles(df, by, rescored, {"nlo": low, "nhi": high})
+    j = attach(attach(df, a, by), b, by)
     c = lambda v, lo, hi: F.when(F.col(v) <= F.col(lo), "buffered").when(F.col(v) >= F.col(hi), "amplified").otherwise("intermediate")
-    j = j.select(c(original, "olo", "ohi").alias("original_class"), c(rescored, "nlo", "nhi").alias("rank_class"), c(rescored, "olo", "ohi").alias("fixed_class"))
+    j = j.select(*by, c(original, "olo", "ohi").alias("original_class"), c(rescored, "nlo", "nhi").alias("rank_class"), c(rescored, "olo", "ohi").alias("fixed_class"))
     same = lambda k: F.avg((F.col(k) == F.col("original_class")).cast("double"))
-    return j.groupBy("original_class").agg(F.count(F.lit(1)).alias("n"), same("rank_class").alias("rank_retention"), same("fixed_class").alias("fixed_retention"))
+    return j.groupBy(*by, "original_class").agg(F.count(F.lit(1)).alias("n"), same("rank_class").alias("rank_retention"), same("fixed_class").alias("fixed_retention"))
 
 
 def conditional_label_coverage(probs: DataFrame, unit: Sequence[str], prob: str, is_true: str, masses: Sequence[float]) -> DataFrame:

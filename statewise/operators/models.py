@@ -33,7 +33,7 @@ def cross_fit(df: DataFrame, fold: str, folds: Sequence[int], make: Callable[[Da
     parts = None
     for f in folds:
         model = make(df.filter(F.col(fold) != f)).fit(df.filter(F.col(fold) != f))
-        part = model.transform(df.filter(F.col(fold) == f)).select(*key, score(None).alias(out))
+        part = cut_lineage(model.transform(df.filter(F.col(fold) == f)).select(*key, score(None).alias(out)))  # no model object is left in the plan
         parts = part if parts is None else parts.unionByName(part)
     strays = F.assert_true(F.col(fold).isin(*folds), F.lit("row outside the listed folds")).isNull()
     return df.filter(strays).join(parts, list(key), "left")
@@ -55,6 +55,16 @@ def preprocess(numeric: Sequence[str], categorical: Sequence[str] = (), strategy
     return stages
 
 
+def preprocessed(df: DataFrame, fold: str, folds: Sequence[int], stages: Callable[[], Sequence], key: Sequence[str]) -> DataFrame:
+    """``features`` of every row from stages fitted on the other folds."""
+    df, parts = cut_lineage(df), None
+    for f in folds:
+        model = Pipeline(stages=list(stages())).fit(df.filter(F.col(fold) != f))
+        part = cut_lineage(model.transform(df.filter(F.col(fold) == f)).select(*key, fold, vector_to_array("features").alias("features")))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def ridge_stage(train: DataFrame, y: str, alpha: float) -> LinearRegression:
     """Ridge with penalty alpha * |b|^2 against the squared-error *sum*.
 
@@ -117,7 +127,7 @@ def logistic_cross_fit(df: DataFrame, fold: str, folds: Sequence[int], numeric:
     parts = None
     for f in folds:
         model = balanced_logistic(df.filter(F.col(fold) != f), preprocess(numeric, categorical), y, c)
-        part = model.transform(df.filter(F.col(fold) == f)).select(*key, y, vector_to_array("probability")[1].alias("probability"))
+        part = cut_lineage(model.transform(df.filter(F.col(fold) == f)).select(*key, y, vector_to_array("probability")[1].alias("probability")))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

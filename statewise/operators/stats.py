@@ -233,12 +233,12 @@ def measurement_error_sensitivity(df: DataFrame, unit: str, value: str, multipli
     return exact_quantiles(grid, ["multiplier"], "weight", {"median_weight": 0.5}).join(rho, "multiplier")
 
 
-def covariate_noise_sensitivity(df: DataFrame, key: str, y: str, x: str, scales: Sequence[float], count: int, seed: int) -> DataFrame:
+def covariate_noise_sensitivity(df: DataFrame, key: str, y: str, x: str, scales: Sequence[float], count: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Slope of y on x after adding hash-normal noise of given relative sd to x."""
     from statewise.functions.hashing import normal
 
-    sd = df.agg(F.stddev_samp(x).alias("__sd"))
-    grid = attach_scalar(df.select(key, y, x), sd).select("*", F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale")).select("*", F.explode(replicates(count)).alias("replicate"))
+    sd = df.groupBy(*by).agg(F.stddev_samp(x).alias("__sd"))
+    grid = attach(df.select(*by, key, y, x), sd, by).select("*", F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale")).select("*", F.explode(replicates(count)).alias("replicate"))
     noisy = F.col(x) + F.col("scale") * F.col("__sd") * normal(seed, F.col("replicate"), F.col(key))
-    per = grid.select("scale", "replicate", y, noisy.alias("__x")).groupBy("scale", "replicate").agg(F.regr_slope(y, "__x").alias("slope"))
-    return per.groupBy("scale").agg(F.avg("slope").alias("mean_slope"), F.min("slope").alias("min_slope"), F.max("slope").alias("max_slope"))
+    per = grid.select(*by, "scale", "replicate", y, noisy.alias("__x")).groupBy(*by, "scale", "replicate").agg(F.regr_slope(y, "__x").alias("slope"))
+    return per.groupBy(*by, "scale").agg(F.avg("slope").alias("mean_slope"), F.min("slope").alias("min_slope"), F.max("slope").alias("max_slope"))

@@ -31,10 +31,7 @@ def _(b):
 
 @query("j2_preprocess")
 def _(b):
-    from pyspark.ml.functions import vector_to_array
-    t = _table(b)
-    model = Pipeline(stages=md.preprocess(NUM, ["state"])).fit(t.filter("fold <> 0"))
-    return model.transform(t.filter("fold = 0")).select("target", "state", vector_to_array("features").alias("features"))
+    return md.preprocessed(_table(b), "fold", range(3), lambda: md.preprocess(NUM, ["state"]), ["target", "state"])
 
 
 PAIR = "t AS (SELECT p_partkey, p_brand, p_size::DOUBLE AS x, ln(p_retailprice) * 100 AS y FROM part)"

@@ -271,11 +271,11 @@ def _(b):
 
 
 @query("g17_random_abstention_null", lambda: with_views("passed", f"""
-    , x AS (SELECT r AS replicate, abs(effect) AS e, count(*) OVER (PARTITION BY r) AS n, row_number() OVER (PARTITION BY r ORDER BY md5(concat_ws('|', '2', r, target)), target) - 1 AS pos FROM passed, range({R}) x(r) WHERE state = 'A')
-    SELECT coverage::DOUBLE AS coverage, replicate, {D.q6('avg(e)', 8)} AS value, count(*) AS selected FROM x, (VALUES (0.2::DOUBLE), (0.8::DOUBLE)) v(coverage) WHERE pos < greatest(ceil(n * coverage), 1) GROUP BY ALL"""))
+    , x AS (SELECT state, r AS replicate, abs(effect) AS e, count(*) OVER (PARTITION BY state, r) AS n, row_number() OVER (PARTITION BY state, r ORDER BY md5(concat_ws('|', '2', r, target)), target) - 1 AS pos FROM passed, range({R}) x(r))
+    SELECT state, coverage::DOUBLE AS coverage, replicate, {D.q6('avg(e)', 8)} AS value, count(*) AS selected FROM x, (VALUES (0.2::DOUBLE), (0.8::DOUBLE)) v(coverage) WHERE pos < greatest(ceil(n * coverage), 1) GROUP BY ALL"""))
 def _(b):
-    p = b.view("passed").filter("state = 'A'").select("target", F.abs("effect").alias("e"))
-    return rs.random_abstention_null(p, "target", "e", [0.2, 0.8], R, 2).withColumn("value", q6("value", 8))
+    p = b.view("passed").select("state", "target", F.abs("effect").alias("e"))
+    return rs.random_abstention_null(p, "target", "e", [0.2, 0.8], R, 2, ["state"]).withColumn("value", q6("value", 8))
 
 
 @query("g18_condition_switch_null", lambda: with_views("passed", f"""

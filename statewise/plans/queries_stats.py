@@ -355,14 +355,15 @@ def _(b):
 
 
 @query("h23_reliability_bounds", lambda: with_views("passed", f"""
-    , {boot('passed', 'target', 12, where="state = 'A'")}, d AS (SELECT replicate, quantile_cont(effect * 10, 0.5) AS v FROM dr JOIN u USING (idx) JOIN passed ON target = k AND state = 'A' GROUP BY replicate),
-    o AS (SELECT quantile_cont(effect * 10, 0.5) AS o FROM passed WHERE state = 'A'), l AS (SELECT v, CASE WHEN v >= 0 THEN v ELSE greatest(-1, v / 0.1) END AS lo, CASE WHEN v >= 0 THEN least(1, v / 0.1) ELSE v END AS hi FROM d)
-    SELECT {D.q6('max(o)')} AS observed, {D.q6('CASE WHEN max(o) >= 0 THEN max(o) ELSE greatest(-1, max(o) / 0.1) END')} AS corrected_lower, {D.q6('CASE WHEN max(o) >= 0 THEN least(1, max(o) / 0.1) ELSE max(o) END')} AS corrected_upper,
-      {D.q6('quantile_cont(v, 0.025)')} AS ci_low, {D.q6('quantile_cont(v, 0.975)')} AS ci_high, {D.q6('quantile_cont(lo, 0.025)')} AS lower_ci_low, {D.q6('quantile_cont(hi, 0.975)')} AS upper_ci_high FROM l, o"""))
+    , ux AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY md5(concat_ws('|', target)), target) - 1 AS idx, count(*) OVER (PARTITION BY state) AS m FROM passed), dr AS (SELECT state, r AS replicate, {D.draw('m', "'12'", 'state', 'r', 'idx')} AS idx FROM ux, range({R}) z(r)),
+    d AS (SELECT state, replicate, quantile_cont(effect * 10, 0.5) AS v FROM dr JOIN ux USING (state, idx) GROUP BY state, replicate),
+    o AS (SELECT state, quantile_cont(effect * 10, 0.5) AS o FROM passed GROUP BY state), l AS (SELECT state, v, CASE WHEN v >= 0 THEN v ELSE greatest(-1, v / 0.1) END AS lo, CASE WHEN v >= 0 THEN least(1, v / 0.1) ELSE v END AS hi FROM d)
+    SELECT state, {D.q6('max(o)')} AS observed, {D.q6('CASE WHEN max(o) >= 0 THEN max(o) ELSE greatest(-1, max(o) / 0.1) END')} AS corrected_lower, {D.q6('CASE WHEN max(o) >= 0 THEN least(1, max(o) / 0.1) ELSE max(o) END')} AS corrected_upper,
+      {D.q6('quantile_cont(v, 0.025)')} AS ci_low, {D.q6('quantile_cont(v, 0.975)')} AS ci_high, {D.q6('quantile_cont(lo, 0.025)')} AS lower_ci_low, {D.q6('quantile_cont(hi, 0.975)')} AS upper_ci_high FROM l JOIN o USING (state) GROUP BY state"""))
 def _(b):
-    p = b.view("passed").filter("state = 'A'").select("target", (F.col("effect") * 10).alias("effect"))
-    out = st.reliability_bounds(p, "target", "effect", 0.1, R, 12)
-    return r6(out, *out.columns)
+    p = b.view("passed").select("state", "target", (F.col("effect") * 10).alias("effect"))
+    out = st.reliability_bounds(p, "target", "effect", 0.1, R, 12, ["state"])
+    return r6(out, *[c for c in out.columns if c != "state"])
 
 
 @query("h24_paired_state_test", lambda: with_views("summary", f"""
@@ -401,11 +402,11 @@ def _(b):
 
 
 @query("h26_covariate_noise", lambda: with_views("passed", f"""
-    , s AS (SELECT stddev_samp(cells) AS sd FROM passed WHERE state = 'A'), n AS (SELECT sc AS scale, r AS replicate, effect AS y, cells + sc * sd * sqrt(-2 * ln({D.uniform("'6'", 'r', 'target', "'a'")})) * cos(2 * pi() * {D.uniform("'6'", 'r', 'target', "'b'")}) AS x
-      FROM passed, s, (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) v(sc), range(10) z(r) WHERE state = 'A'), k AS (SELECT scale, replicate, regr_slope(y, x) AS sl FROM n GROUP BY ALL)
-    SELECT scale, {D.q6('avg(sl)', 9)} AS mean_slope, {D.q6('min(sl)', 9)} AS min_slope, {D.q6('max(sl)', 9)} AS max_slope FROM k GROUP BY scale"""))
+    , s AS (SELECT state, stddev_samp(cells) AS sd FROM passed GROUP BY state), n AS (SELECT state, sc AS scale, r AS replicate, effect AS y, cells + sc * sd * sqrt(-2 * ln({D.uniform("'6'", 'r', 'target', "'a'")})) * cos(2 * pi() * {D.uniform("'6'", 'r', 'target', "'b'")}) AS x
+      FROM passed JOIN s USING (state), (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) v(sc), range(10) z(r)), k AS (SELECT state, scale, replicate, regr_slope(y, x) AS sl FROM n GROUP BY ALL)
+    SELECT state, scale, {D.q6('avg(sl)', 9)} AS mean_slope, {D.q6('min(sl)', 9)} AS min_slope, {D.q6('max(sl)', 9)} AS max_slope FROM k GROUP BY state, scale"""))
 def _(b):
-    out = st.covariate_noise_sensitivity(b.view("passed").filter("state = 'A'"), "target", "effect", "cells", [0.1, 0.5], 10, 6)
+    out = st.covariate_noise_sensitivity(b.view("passed"), "target", "effect", "cells", [0.1, 0.5], 10, 6, ["state"])
     return out.withColumns({c: q6(c, 9) for c in ("mean_slope", "min_slope", "max_slope")})
 
 
@@ -430,12 +431,12 @@ def _(b):
 
 
 @query("h29_retention", lambda: with_views("passed", """
-    , s AS (SELECT target, effect * 1.0 AS u, effect * cells / (cells + 6.0::DOUBLE) AS v FROM passed WHERE state = 'N'), q AS (SELECT quantile_cont(u, 0.1) AS ul, quantile_cont(u, 0.9) AS uh, quantile_cont(v, 0.1) AS vl, quantile_cont(v, 0.9) AS vh FROM s),
-    c AS (SELECT CASE WHEN u <= ul THEN 'buffered' WHEN u >= uh THEN 'amplified' ELSE 'intermediate' END AS original_class, CASE WHEN v <= vl THEN 'buffered' WHEN v >= vh THEN 'amplified' ELSE 'intermediate' END AS r, CASE WHEN v <= ul THEN 'buffered' WHEN v >= uh THEN 'amplified' ELSE 'intermediate' END AS f FROM s, q)
-    """ + f"SELECT original_class, count(*) AS n, {D.q6('avg((r = original_class)::INT)')} AS rank_retention, {D.q6('avg((f = original_class)::INT)')} AS fixed_retention FROM c GROUP BY original_class"))
+    , s AS (SELECT state, target, effect * 1.0 AS u, effect * cells / (cells + 6.0::DOUBLE) AS v FROM passed), q AS (SELECT state, quantile_cont(u, 0.1) AS ul, quantile_cont(u, 0.9) AS uh, quantile_cont(v, 0.1) AS vl, quantile_cont(v, 0.9) AS vh FROM s GROUP BY state),
+    c AS (SELECT state, CASE WHEN u <= ul THEN 'buffered' WHEN u >= uh THEN 'amplified' ELSE 'intermediate' END AS original_class, CASE WHEN v <= vl THEN 'buffered' WHEN v >= vh THEN 'amplified' ELSE 'intermediate' END AS r, CASE WHEN v <= ul THEN 'buffered' WHEN v >= uh THEN 'amplified' ELSE 'intermediate' END AS f FROM s JOIN q USING (state))
+    """ + f"SELECT state, original_class, count(*) AS n, {D.q6('avg((r = original_class)::INT)')} AS rank_retention, {D.q6('avg((f = original_class)::INT)')} AS fixed_retention FROM c GROUP BY state, original_class"))
 def _(b):
-    s = b.view("passed").filter("state = 'N'").select("target", F.col("effect").alias("u"), (F.col("effect") * F.col("cells") / (F.col("cells") + 6.0)).alias("v"))
-    return r6(mx.retention(s, "target", "u", "v"), "rank_retention", "fixed_retention")
+    s = b.view("passed").select("state", "target", F.col("effect").alias("u"), (F.col("effect") * F.col("cells") / (F.col("cells") + 6.0)).alias("v"))
+    return r6(mx.retention(s, "target", "u", "v", by=["state"]), "rank_retention", "fixed_retention")
 
 
 @query("h30_conditional_label_coverage", lambda: f"""
