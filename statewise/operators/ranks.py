@@ -95,9 +95,8 @@ def tail_class(df: DataFrame, value: str, low: float = 0.10, high: float = 0.90,
     return attach(df, cuts, by).withColumn(out, label).drop("__lo", "__hi")
 
 
-def heldout_tail(df: DataFrame, unit: str, state: str, states: Sequence[str], value: str, tail: float = 0.10) -> DataFrame:
-    """For each held-out state keep complete units whose mean over the *other*
-    states is at or below the tail quantile, with the held-out value."""
+def heldout_pairs(df: DataFrame, unit: str, state: str, states: Sequence[str], value: str) -> DataFrame:
+    """(unit, heldout_state, training, heldout): each state of a complete unit with the mean of its others."""
     from statewise.operators.groups import pivot_complete
 
     wide = pivot_complete(df, [unit], state, states, value)
@@ -109,7 +108,13 @@ def heldout_tail(df: DataFrame, unit: str, state: str, states: Sequence[str], va
         for c in others[1:]:
             total = total + c
         picks.append(F.struct(F.lit(s).alias("heldout_state"), (total / len(others)).alias("training"), columns[s].alias("heldout")))
-    long = wide.select(unit, F.explode(F.array(*picks)).alias("x")).select(unit, "x.*")
+    return wide.select(unit, F.explode(F.array(*picks)).alias("x")).select(unit, "x.*")
+
+
+def heldout_tail(df: DataFrame, unit: str, state: str, states: Sequence[str], value: str, tail: float = 0.10) -> DataFrame:
+    """For each held-out state keep complete units whose mean over the *other*
+    states is at or below the tail quantile, with the held-out value."""
+    long = heldout_pairs(df, unit, state, states, value)
     cuts = exact_quantiles(long, ["heldout_state"], "training", {"cut": tail})
     return long.join(cuts, "heldout_state").filter(F.col("training") <= F.col("cut"))
 

@@ -154,15 +154,79 @@ def check_bundles(mapping: DataFrame, units: DataFrame, unit: str, stratum: str)
 
 
 def sign_flip_null(df: DataFrame, unit: str, value: str, count: int, seed: int, statistic: str = "mean", by: Sequence[str] = (), x: str | None = None) -> DataFrame:
-    """Null draws of the mean, median or through-origin slope under random unit signs."""
-    flipped = df.filter(F.col(value).isNotNull()).select("*", F.explode(replicates(count)).alias("replicate"))
-    signed = flipped.withColumn("__v", F.col(value) * sign_draw(seed, F.col("replicate"), F.col(unit)))
-    keys = [*by, "replicate"]
+    """Null draws of the mean, median or through-origin slope under random unit signs.
+
+    For the mean and the slope rows collapse to sums of their unit first.
+    """
+    rows, keys = df.filter(F.col(value).isNotNull()), [*by, "replicate"]
+    sign = sign_draw(seed, F.col("replicate"), F.col(unit))
     if statistic == "median":
+        signed = rows.select("*", F.explode(replicates(count)).alias("replicate")).withColumn("__v", F.col(value) * sign)
         return exact_quantiles(signed, keys, "__v", {"value": 0.5})
-    if statistic == "slope":
-        return signed.groupBy(*keys).agg((F.sum(F.col(x) * F.col("__v")) / F.sum(F.col(x) * F.col(x))).alias("value"))
-    return signed.groupBy(*keys).agg(F.avg("__v").alias("value"))
+    over, under = (F.col(x) * F.col(value), F.col(x) * F.col(x)) if statistic == "slope" else (F.col(value), F.lit(1))
+    per = rows.groupBy(*by, unit).agg(F.sum(over).alias("__o"), F.sum(under).alias("__u"))
+    signed = per.select("*", F.explode(replicates(count)).alias("replicate"))
+    return signed.groupBy(*keys).agg((F.sum(F.col("__o") * sign) / F.sum("__u")).alias("value"))
+
+
+def tail_resampling(pairs: DataFrame, unit: str, strata: DataFrame, tail: float, count: int, seed: int, pooled: str = "Pooled") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mean held-out value of the units in the training tail, with both kinds of draws.
+
+    ``pairs`` is ``heldout_pairs``; ``strata`` is (unit, heldout_state, stratum). A
+    bootstrap draw takes units again and selects its tail anew, from weighted
+    quantiles of all draws at once. A null draw keeps the observed selection and permutes the
+    held-out values inside the strata of each state. Returns (summary, bootstrap, null);
+    ``pooled`` is all selected rows together.
+    """
+    pairs = reread(pairs)
+    state = "heldout_state"
+
+    def means(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+        whole = sums.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(F.lit(pooled).alias(state), *keys, "s", "n")
+        return sums.select(state, *keys, "s", "n").unionByName(whole).select(state, *keys, (F.col("s") / F.col("n")).alias("value"), F.col("n").alias("selected_rows"))
+
+    cuts = exact_quantiles(pairs, [state], "training", {"cut": tail})
+    selected = cut_lineage(pairs.join(cuts, state).filter(F.col("training") <= F.col("cut")).select(unit, state, "heldout"))
+    point = means(selected.groupBy(state).agg(F.sum("heldout").alias("s"), F.count(F.lit(1)).alias("n")), [])
+    drawn = reread(bootstrap_rows(pairs, [], unit, count, seed))
+    again = weighted_quantiles(drawn, [state, "replicate"], "training", "weight", {"cut": tail})
+    tails = drawn.join(again, [state, "replicate"]).filter(F.col("training") <= F.col("cut"))
+    boot = means(tails.groupBy(state, "replicate").agg(F.sum(F.col("heldout") * F.col("weight")).alias("s"), F.sum("weight").alias("n")), ["replicate"])
+    moved = permuted_values(pairs.select(unit, state, "heldout").join(strata, [unit, state]), [state, "stratum"], [unit], ["heldout"], count, seed + 1)
+    kept = moved.join(selected.select(unit, state), [unit, state])
+    null = means(kept.groupBy(state, "replicate").agg(F.sum("heldout").alias("s"), F.count(F.lit(1)).alias("n")), ["replicate"])
+    boot, null = cut_lineage(boot.select(state, "replicate", "value")), cut_lineage(null.select(state, "replicate", "value"))
+    ci = interval(boot, [state])
+    side = null.join(point.select(state, F.col("value").alias("estimate")), state).groupBy(state).agg(
+        ((1 + F.sum((F.col("value") <= F.col("estimate") + 1e-12).cast("int"))) / (F.count("value") + 1)).alias("p_lower_tail"),
+        ((1 + F.sum((F.col("value") >= F.col("estimate") - 1e-12).cast("int"))) / (F.count("value") + 1)).alias("p_upper_tail"))
+    summary = point.withColumnRenamed("value", "estimate").join(ci, state).join(side, state)
+    return summary, boot, null
+
+
+def residual_slope_nulls(df: DataFrame, y: str, x: str, nuisance: Sequence[str], cluster: str, order: str, stratum: str, count: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Two nulls of a clustered slope on residuals: (null, replicate, value) and (null, estimate, p_value).
+
+    ``sign_swap`` flips the sign of a cluster's outcome residuals: a sum of cluster
+    cross-moments. ``target_permutation`` gives a cluster the predictor residuals of
+    another one of its stratum, row by row in ``order``; clusters of a stratum have the
+    same order values, so the denominator never changes.
+    """
+    from statewise.operators.regression import residuals
+
+    r = residuals(df.select(cluster, order, stratum, y, x, *nuisance), [], nuisance, [x, y])
+    r = reread(r.select(cluster, order, stratum, F.col(f"{x}_residual").alias("__x"), F.col(f"{y}_residual").alias("__y")))
+    total = r.agg(F.sum(F.col("__x") * F.col("__x")).alias("__xx"), (F.sum(F.col("__x") * F.col("__y")) / F.sum(F.col("__x") * F.col("__x"))).alias("estimate"))
+    per = r.groupBy(cluster).agg(F.sum(F.col("__x") * F.col("__y")).alias("__xy")).select("*", F.explode(replicates(count)).alias("replicate"))
+    swaps = per.groupBy("replicate").agg(F.sum(F.col("__xy") * sign_draw(seed, F.col("replicate"), F.col(cluster))).alias("__xy"))
+    mapping = bundle_permutation(r.select(stratum, cluster).distinct(), cluster, stratum, count, seed + 1, 1).select("replicate", cluster, "donor")
+    theirs = r.select(F.col(cluster).alias("donor"), order, "__x")
+    moved = mapping.join(r.select(cluster, order, "__y"), cluster).join(theirs, ["donor", order])
+    swapped = moved.groupBy("replicate").agg(F.sum(F.col("__x") * F.col("__y")).alias("__xy"))
+    null = swaps.select(F.lit("sign_swap").alias("null"), "*").unionByName(swapped.select(F.lit("target_permutation").alias("null"), "*"))
+    null = cut_lineage(attach_scalar(null, total).select("null", "replicate", (F.col("__xy") / F.col("__xx")).alias("value"), "estimate"))
+    p = null.groupBy("null", "estimate").agg(((1 + F.sum((F.abs("value") >= F.abs("estimate") - 1e-12).cast("int"))) / (F.count("value") + 1)).alias("p_value"))
+    return null.drop("estimate"), p
 
 
 def swap_null(df: DataFrame, cluster: str, y: str, a: str, b: str, count: int, seed: int, metric: str = "brier") -> DataFrame:

@@ -288,3 +288,59 @@ def _(b):
     {D.q6('quantile_cont(value, 0.025)')} AS ci_low, {D.q6('quantile_cont(value, 0.975)')} AS ci_high, 'complete' AS status FROM nl GROUP BY state"""))
 def _(b):
     return r6(rs.draw_summary(_null(b)[0], ["state"], R), "null_mean", "null_median", "ci_low", "ci_high")
+
+
+TAIL = f""", w AS (SELECT target, max(effect) FILTER (WHERE state = 'A') AS a, max(effect) FILTER (WHERE state = 'N') AS n, max(effect) FILTER (WHERE state = 'R') AS r FROM passed GROUP BY target HAVING count(*) = 3),
+    lg AS (SELECT target, heldout_state, training, heldout, target % 4 AS stratum FROM (SELECT target, 'A' AS heldout_state, (n + r) / 2 AS training, a AS heldout FROM w UNION ALL SELECT target, 'N', (a + r) / 2, n FROM w UNION ALL SELECT target, 'R', (a + n) / 2, r FROM w)),
+    ob AS (SELECT heldout_state, target, heldout FROM lg JOIN (SELECT heldout_state, quantile_cont(training, 0.1) AS cut FROM lg GROUP BY heldout_state) USING (heldout_state) WHERE training <= cut),
+    pt AS (SELECT heldout_state, avg(heldout) AS v, count(*) AS k FROM ob GROUP BY heldout_state UNION ALL SELECT 'Pooled', avg(heldout), count(*) FROM ob),
+    {boot('w', 'target', 31)}, bw AS (SELECT replicate, heldout_state, training, heldout FROM dr JOIN u USING (idx) JOIN lg ON target = k), bc AS (SELECT replicate, heldout_state, quantile_cont(training, 0.1) AS cut FROM bw GROUP BY ALL),
+    bs AS (SELECT replicate, heldout_state, heldout FROM bw JOIN bc USING (replicate, heldout_state) WHERE training <= cut), bv AS (SELECT heldout_state, replicate, avg(heldout) AS v FROM bs GROUP BY ALL UNION ALL SELECT 'Pooled', replicate, avg(heldout) FROM bs GROUP BY replicate),
+    {shuffled('lg', 'heldout_state, stratum', 'target', 'heldout', 32)}, ns AS (SELECT replicate, sh.heldout_state, sh.heldout FROM sh JOIN ob USING (heldout_state, target)),
+    nv AS (SELECT heldout_state, replicate, avg(heldout) AS v FROM ns GROUP BY ALL UNION ALL SELECT 'Pooled', replicate, avg(heldout) FROM ns GROUP BY replicate),
+    ci AS (SELECT heldout_state, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM bv GROUP BY heldout_state),
+    pv AS (SELECT heldout_state, (1 + count(*) FILTER (WHERE nv.v <= pt.v + 1e-12)) / (count(*) + 1.0) AS pl, (1 + count(*) FILTER (WHERE nv.v >= pt.v - 1e-12)) / (count(*) + 1.0) AS pu FROM nv JOIN pt USING (heldout_state) GROUP BY heldout_state)"""
+
+
+def _tail(b):
+    from statewise.operators.ranks import heldout_pairs
+
+    pairs = heldout_pairs(b.view("passed"), "target", "state", ["A", "N", "R"], "effect")
+    return rs.tail_resampling(pairs, "target", pairs.select("target", "heldout_state", (F.col("target") % 4).alias("stratum")), 0.1, R, 31)
+
+
+@query("f10_tail_resampling", lambda: with_views("passed", TAIL + f" SELECT heldout_state, k AS selected_rows, {D.q6('v', 8)} AS estimate, {D.q6('lo', 8)} AS ci_low, {D.q6('hi', 8)} AS ci_high, {D.q6('pl')} AS p_lower_tail, {D.q6('pu')} AS p_upper_tail FROM pt JOIN ci USING (heldout_state) JOIN pv USING (heldout_state)"))
+def _(b):
+    out = _tail(b)[0]
+    return out.withColumns({**{c: q6(c, 8) for c in ("estimate", "ci_low", "ci_high")}, **{c: q6(c) for c in ("p_lower_tail", "p_upper_tail")}})
+
+
+@query("f10_tail_draws", lambda: with_views("passed", TAIL + f" SELECT 'bootstrap' AS kind, heldout_state, replicate, {D.q6('v', 8)} AS value FROM bv UNION ALL SELECT 'null', heldout_state, replicate, {D.q6('v', 8)} FROM nv"))
+def _(b):
+    _, boots, null = _tail(b)
+    return boots.withColumn("kind", F.lit("bootstrap")).unionByName(null.withColumn("kind", F.lit("null"))).withColumn("value", q6("value", 8))
+
+
+CLUSTERED = f""", c3 AS (SELECT target FROM passed GROUP BY target HAVING count(*) = 3), ps AS (SELECT target, state, target % 4 AS stratum, effect * 100 AS y, cells::DOUBLE AS x, downstream::DOUBLE AS z FROM passed JOIN c3 USING (target)),
+    co AS (SELECT regr_slope(x, z) AS bx, regr_intercept(x, z) AS ax, regr_slope(y, z) AS cy, regr_intercept(y, z) AS ay FROM ps), rr AS (SELECT target, state, stratum, x - ax - bx * z AS rx, y - ay - cy * z AS ry FROM ps, co),
+    tt AS (SELECT sum(rx * rx) AS xx, sum(rx * ry) / sum(rx * rx) AS e FROM rr), us AS (SELECT DISTINCT target, target AS donor, stratum FROM rr), {shuffled('us', 'stratum', 'target', 'donor', 12)},
+    nl AS (SELECT 'sign_swap' AS kind, r AS replicate, sum(rx * ry * (1 - 2 * {D.draw(2, "'11'", 'r', 'target')})) AS s FROM rr, range({R}) z(r) GROUP BY r
+      UNION ALL SELECT 'target_permutation', replicate, sum(o.rx * d.ry) FROM sh JOIN rr d USING (target) JOIN rr o ON o.target = sh.donor AND o.state = d.state GROUP BY replicate)"""
+
+
+def _clustered(b):
+    from pyspark.sql import Window
+
+    full = b.view("passed").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("target"))).filter("k = 3")
+    rows = full.select("target", "state", (F.col("target") % 4).alias("stratum"), (F.col("effect") * 100).alias("y"), F.col("cells").cast("double").alias("x"), F.col("downstream").cast("double").alias("z"))
+    return rs.residual_slope_nulls(rows, "y", "x", ["z"], "target", "state", "stratum", R, 11)
+
+
+@query("h8_residual_nulls", lambda: with_views("passed", CLUSTERED + f" SELECT kind AS \"null\", replicate, {D.q6('s / xx', 8)} AS value FROM nl, tt"))
+def _(b):
+    return _clustered(b)[0].withColumn("value", q6("value", 8))
+
+
+@query("h8_residual_p", lambda: with_views("passed", CLUSTERED + f" SELECT kind AS \"null\", {D.q6('max(e)')} AS estimate, {D.q6('(1 + count(*) FILTER (WHERE abs(s / xx) >= abs(e) - 1e-12)) / (count(*) + 1.0)')} AS p_value FROM nl, tt GROUP BY kind"))
+def _(b):
+    return r6(_clustered(b)[1], "estimate", "p_value")
