@@ -104,6 +104,126 @@ def choose_elastic_net(train: DataFrame, stages: Sequence, y: str, fold: str, fo
     return best[1], best[2], best[0]
 
 
+# ---- elastic net from fold moments --------------------------------------------------------
+
+def descend(g: np.ndarray, c: np.ndarray, alpha: float, l1: float, tol: float = 1e-12, rounds: int = 20_000) -> np.ndarray:
+    """Coefficients that minimise b'Gb/2 - c'b + alpha (l1 |b| + (1 - l1) b'b / 2), by coordinate descent."""
+    b = np.zeros(len(c))
+    fit = np.zeros(len(c))  # G b
+    scale = max(float(np.abs(c).max(initial=0.0)), 1e-300)
+    for _ in range(rounds):
+        moved = 0.0
+        for j in range(len(c)):
+            if g[j, j] <= 0:
+                continue
+            left = c[j] - fit[j] + g[j, j] * b[j]
+            new = np.sign(left) * max(abs(left) - alpha * l1, 0.0) / (g[j, j] + alpha * (1 - l1))
+            if new != b[j]:
+                moved = max(moved, abs(new - b[j]) * g[j, j])
+                fit += g[:, j] * (new - b[j])
+                b[j] = new
+        if moved <= tol * scale:
+            break
+    return b
+
+
+def optimality(g: np.ndarray, c: np.ndarray, b: np.ndarray, alpha: float, l1: float) -> float:
+    """Largest distance of the gradient from the subdifferential of the penalty (0 at the minimum)."""
+    slope = c - g @ b - alpha * (1 - l1) * b
+    return float(np.where(b != 0, np.abs(slope - alpha * l1 * np.sign(b)), np.maximum(np.abs(slope) - alpha * l1, 0)).max(initial=0.0))
+
+
+def standardised_moments(m: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Gram and X'y over n of standardised columns, their means and deviations, and the mean of y.
+
+    ``m`` holds the moments of (1, x with 0 for absent, presence, y); an absent value counts
+    as the mean of the present ones, so it adds nothing to the centred sums.
+    """
+    n = m[0, 0]
+    present = m[0, 1 + p:1 + 2 * p]
+    mean = np.divide(m[0, 1:1 + p], present, out=np.zeros(p), where=present > 0)
+    my = m[0, -1] / n
+    xx, xp, pp = m[1:1 + p, 1:1 + p], m[1:1 + p, 1 + p:1 + 2 * p], m[1 + p:1 + 2 * p, 1 + p:1 + 2 * p]
+    gram = xx - xp * mean - (xp * mean).T + pp * np.outer(mean, mean)
+    cross = m[1:1 + p, -1] - mean * m[1 + p:1 + 2 * p, -1] - my * (m[0, 1:1 + p] - mean * present)
+    sd = np.sqrt(np.maximum(np.diag(gram) / n, 0))
+    unit = np.where(sd > 1e-12, sd, 1.0)
+    return gram / n / np.outer(unit, unit), cross / n / unit, mean, unit, my
+
+
+def nested_elastic_net(df: DataFrame, fold: str, x: Sequence[str], y: str, alphas: Sequence[float], ratios: Sequence[float], key: Sequence[str], folds: Sequence[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Elastic net for every held-out fold, penalties chosen on the other folds' inner folds.
+
+    One aggregation gives moments by fold; the training moments of every (outer, inner)
+    pair are differences of them, and every penalty is solved from those in tasks. A second
+    pass over the rows adds up the absolute errors of all inner models at once; the choice
+    is the lowest mean error (ties to the lower alpha, then ratio). Objective: mean squared
+    error / 2 + alpha (l1 |b| + (1 - l1) |b|^2 / 2) on standardised columns. Returns
+    (predictions: key, fold, y, prediction; choices: fold, alpha, l1_ratio, inner_mae,
+    optimality; inner errors: fold, inner_fold, alpha, l1_ratio, mae). The models of all
+    pairs, folds^2 x grid x columns numbers, travel to the tasks of the second pass.
+    """
+    p, grid = len(x), [(float(a), float(r)) for a in alphas for r in ratios]
+    df = reread(df)
+    present = df.filter(F.col(y).isNotNull()).withColumns({**{f"__x{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(x)}, **{f"__p{i}": F.col(c).isNotNull().cast("double") for i, c in enumerate(x)}})
+    names = [*(f"__x{i}" for i in range(p)), *(f"__p{i}" for i in range(p))]
+    per = {r[0]: _square(r.m, 2 * p + 2) for r in moments(present, [fold], names, y).collect()}  # a row for each fold
+    folds = [f for f in folds if f in per]
+    total = sum(per.values())
+    pairs = [(f, g) for f in folds for g in folds if f != g]
+    spark = df.sparkSession
+
+    def solved(train: np.ndarray, penalties):
+        gram, cross, mean, unit, my = standardised_moments(train, p)
+        for a, r in penalties:
+            b = descend(gram, cross, a, r)
+            beta = b / unit
+            yield a, r, [float(my - beta @ mean), *map(float, beta)], [float(v) for v in mean], optimality(gram, cross, b, a, r)
+
+    def inner(part):
+        for f, g in part:
+            for a, r, coef, mean, off in solved(total - per[f] - per[g], grid):
+                yield f, g, a, r, coef, mean
+
+    tried = spark.sparkContext.parallelize(pairs, max(len(pairs), 1)).mapPartitions(inner).collect()
+    by_fold: dict = {}
+    for f, g, a, r, coef, mean in tried:
+        by_fold.setdefault(g, []).append((f, a, r, coef, mean))
+    tables = {g: ([(f, a, r) for f, a, r, _, _ in rows], np.array([c for *_, c, _ in rows]), np.array([m for *_, m in rows])) for g, rows in by_fold.items()}
+
+    def errors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for g, rows in frame.groupby("fold"):
+                if g not in tables:
+                    continue
+                labels, coef, mean = tables[g]
+                v = rows[list(x)].to_numpy(dtype=float)
+                at = np.where(np.isnan(v)[:, None, :], mean[None], v[:, None, :])
+                off = np.abs(coef[:, 0] + (at * coef[None, :, 1:]).sum(axis=2) - rows["__y"].to_numpy(dtype=float)[:, None]).sum(axis=0)
+                yield pd.DataFrame([(f, g, a, r, float(e), len(rows)) for (f, a, r), e in zip(labels, off)], columns=["fold", "inner_fold", "alpha", "l1_ratio", "e", "n"])
+
+    wanted = present.select(F.col(fold).cast("int").alias("fold"), *[F.col(c).cast("double").alias(c) for c in x], F.col(y).cast("double").alias("__y"))
+    sums = wanted.mapInPandas(errors, "fold int, inner_fold int, alpha double, l1_ratio double, e double, n long").groupBy("fold", "inner_fold", "alpha", "l1_ratio").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
+    sums = cut_lineage(sums)
+    mae = sums.groupBy("fold", "alpha", "l1_ratio").agg((F.sum("e") / F.sum("n")).alias("mae"))
+    best = {r.fold: r.m for r in mae.groupBy("fold").agg(F.min(F.struct("mae", "alpha", "l1_ratio")).alias("m")).collect()}
+    rows, models = [], {}
+    for f in folds:
+        if f in best:
+            a, r = best[f].alpha, best[f].l1_ratio
+            _, _, coef, mean, off = next(solved(total - per[f], [(a, r)]))
+            models[f] = (coef, mean)
+            rows.append((int(f), a, r, best[f].mae, off))
+    choices = spark.createDataFrame(rows, "fold int, alpha double, l1_ratio double, inner_mae double, optimality double")
+    listed = spark.createDataFrame([(int(f), c, m) for f, (c, m) in models.items()], "__f int, __c array<double>, __m array<double>")
+    joined = df.join(F.broadcast(listed), df[fold].cast("int") == F.col("__f"), "left")
+    value = F.col("__c")[0]
+    for i, c in enumerate(x):
+        value = value + F.col("__c")[i + 1] * F.coalesce(F.col(c).cast("double"), F.col("__m")[i])
+    inner_errors = sums.select("fold", "inner_fold", "alpha", "l1_ratio", (F.col("e") / F.col("n")).alias("mae"))
+    return joined.select(*key, fold, y, value.alias("prediction")), choices, inner_errors
+
+
 def huber_stage(y: str, epsilon: float = 1.35) -> LinearRegression:
     return LinearRegression(labelCol=y, loss="huber", epsilon=epsilon, maxIter=200)
 

@@ -185,3 +185,48 @@ def test_deterministic_over_partitionings(spark):
     a = sorted(rows(rs.permuted_values(d, ["s"], ["k"], ["v"], 4, 9)))
     b = sorted(rows(rs.permuted_values(d.repartition(11), ["s"], ["k"], ["v"], 4, 9)))
     assert a == b
+
+
+def test_nested_elastic_net_equals_fits_on_rows(spark):
+    """Every inner and outer model from fold moments against descent on the rows themselves."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4)) * [1, 3, 0.2, 5] + 2
+    x[rng.random((90, 4)) < 0.1] = np.nan
+    x[:, 3] = np.where(np.isnan(x[:, 3]), np.nan, 1.0)  # a constant column
+    y = np.nan_to_num(x[:, 0]) - 0.5 * np.nan_to_num(x[:, 1]) + rng.normal(size=90) * 0.3
+    fold = np.arange(90) % 4
+    cell = lambda v: None if np.isnan(v) else float(v)
+    df = spark.createDataFrame([(i, int(fold[i]), *map(cell, x[i]), float(y[i])) for i in range(90)], "k int, fold int, a double, b double, c double, d double, y double").repartition(3)
+    alphas, ratios = [0.01, 0.3], [0.2, 1.0]
+    preds, choices, inner = md.nested_elastic_net(df, "fold", ["a", "b", "c", "d"], "y", alphas, ratios, ["k"], range(4))
+
+    def fit(train, alpha, ratio):
+        mean = np.nanmean(x[train], axis=0)
+        z = np.where(np.isnan(x), mean, x) - mean
+        sd = z[train].std(axis=0)
+        z = z / np.where(sd > 1e-12, sd, 1)
+        t = z[train]
+        b = md.descend(t.T @ t / len(t), t.T @ (y[train] - y[train].mean()) / len(t), alpha, ratio)
+        return y[train].mean() + z @ b
+
+    seen = {(r.fold, r.inner_fold, r.alpha, r.l1_ratio): r.mae for r in inner.collect()}
+    assert len(seen) == 4 * 3 * 4
+    chosen = {r.fold: r for r in choices.collect()}
+    got = {r.k: r.prediction for r in preds.collect()}
+    for f in range(4):
+        mae = {}
+        for a in alphas:
+            for r in ratios:
+                off = []
+                for g in range(4):
+                    if g != f:
+                        e = np.abs(fit((fold != f) & (fold != g), a, r) - y)[fold == g]
+                        assert seen[f, g, a, r] == pytest.approx(e.mean(), rel=1e-9)
+                        off.extend(e)
+                mae[a, r] = np.mean(off)
+        a, r = min(mae, key=mae.get)
+        assert (chosen[f].alpha, chosen[f].l1_ratio) == (a, r) and chosen[f].optimality < 1e-10
+        want = fit(fold != f, a, r)
+        assert all(got[i] == pytest.approx(want[i], rel=1e-8) for i in range(90) if fold[i] == f)
