@@ -52,14 +52,15 @@ class Page:
         return len(self.tag) - 1
 
 
-def parse(source: str) -> Page:
+def parse(source: str, labelled: bool = False) -> Page:
     """The tree of block elements and runs of text; any input gives a tree.
 
-    Inline elements belong to their block. Missing end tags are implied as the
+    ``labelled`` pages mark content with ``data-y``, which means nothing elsewhere. Inline elements belong to their block. Missing end tags are implied as the
     standard says; an end tag without a start is passed over.
     """
     page, stack, pieces, linked, in_link = Page(), [0], [], 0, False
     at, end = 0, len(source)
+    opened: dict[str, int] = {}  # tags on the stack
 
     def flush():
         nonlocal linked
@@ -72,10 +73,14 @@ def parse(source: str) -> Page:
         linked = 0
 
     def close(tags, within=()):
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             tag = page.tag[stack[i]]
             if tag in tags:
                 flush()
+                for node in stack[i:]:
+                    opened[page.tag[node]] -= 1
                 del stack[i:]
                 return
             if tag in within:
@@ -132,9 +137,10 @@ def parse(source: str) -> Page:
             found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m.group(3) or m.group(6) or "")}
             label = found.pop("data-y", None)
             words = tuple(dict.fromkeys(w for v in found.values() for w in NAME_WORD.findall(v.lower())))
-            node = page.add(stack[-1], name, words, page.label[stack[-1]] if label is None else int(label))
+            node = page.add(stack[-1], name, words, int(label) if labelled and label is not None else page.label[stack[-1]])
             if not (m.group(3) or m.group(6) or "").rstrip().endswith("/") or name not in ("svg",):
                 stack.append(node)
+                opened[name] = opened.get(name, 0) + 1
     flush()
     return page
 
@@ -220,7 +226,7 @@ class Model:
 
 def fit(pages: list[str], rounds: int = 60, rate: float = 0.2, ridge: float = 0.02) -> Model:
     """Conditional likelihood of the labels by Adam; expectations from the two message passes."""
-    parsed = [parse(p) for p in pages]
+    parsed = [parse(p, labelled=True) for p in pages]
     names = sorted({t for p in parsed for i in range(len(p.tag)) for t in traits(p, i)})
     place = {t: i for i, t in enumerate(names)}
     found = [[[place[t] for t in traits(p, i)] for i in range(len(p.tag))] for p in parsed]

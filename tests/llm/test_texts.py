@@ -286,7 +286,7 @@ def test_page_model_on_its_labels_and_on_other_layouts(spark):
     model = html_tree.Model(*html_tree.trained())
     wrong = total = 0
     for page in labelled_pages(110)[66:]:  # not seen in training
-        tree = html_tree.parse(page)
+        tree = html_tree.parse(page, labelled=True)
         p = model.marginals(tree)
         for i, tag in enumerate(tree.tag):
             if tag == "#":
@@ -301,6 +301,20 @@ def test_page_model_on_its_labels_and_on_other_layouts(spark):
     assert model.text(html_tree.parse(page)) == "A & B\nFirst line of it all.\nSecond, with bold and a link in it.\npoint one is here\npoint two is here"
 
 
+def test_any_attribute_and_long_broken_pages(spark):
+    """The training mark means nothing in a page; unclosed tags cost no more than closed ones."""
+    import time
+
+    plain = html_tree.parse("<div><p>one two</p></div>")
+    marked = html_tree.parse('<div data-y="12.5"><p data-y="x">one two</p></div>')
+    assert (plain.tag, plain.text, plain.names) == (marked.tag, marked.text, marked.names)
+    start = time.perf_counter()
+    page = html_tree.parse("<div>" * 100_000 + "<p>words" * 2000 + "</b></i></td>" * 100_000)
+    assert len(page.tag) >= 104_000 and time.perf_counter() - start < 8
+    html_pages = spark.createDataFrame([(1, "u", '<body data-y="12.5"><article><p>Some words of a text that goes on for a while, and then on.</p></article></body>')], "page_id long, url string, html string")
+    assert "Some words" in html_tree.main_text(html_pages).first().text
+
+
 def test_marginals_are_exact():
     tree = html_tree.parse("<div><p>one two.</p><ul><li>x</li></ul></div>")
     rng = np.random.default_rng(0)
