@@ -142,11 +142,11 @@ def _edges(d: Dialect) -> str:
 
 
 def _priors(d: Dialect) -> str:
-    """Prior signed edges with resources; several rows per pair."""
+    """Prior signed edges with resources over the keys that the responses have; several rows per pair."""
     return f"""
-    SELECT l_suppkey AS source, l_partkey AS response, CASE WHEN {CENTS} > 5 THEN 1 WHEN {CENTS} < 5 THEN -1 ELSE 0 END AS direction,
+    SELECT l_partkey AS source, cast((l_partkey * 7 + l_suppkey) % parts + 1 as bigint) AS response, CASE WHEN {CENTS} > 5 THEN 1 WHEN {CENTS} < 5 THEN -1 ELSE 0 END AS direction,
       CASE l_linenumber % 4 WHEN 0 THEN 'curated-a' WHEN 1 THEN 'curated-b' WHEN 2 THEN 'motif-x' ELSE 'regulon-y' END AS resource
-    FROM {d.t('lineitem')}"""
+    FROM {d.t('lineitem')} CROSS JOIN (SELECT max(p_partkey) AS parts FROM {d.t('part')}) pm"""
 
 
 def _points(d: Dialect) -> str:

@@ -36,7 +36,7 @@ def _(b):
     return _curated(b)
 
 
-TWO_HOP = CURATED + """, ef AS (SELECT source, state, response % 400 AS response, max(effect) AS effect FROM edges WHERE direction <> 0 GROUP BY ALL), sc AS (SELECT source, response, prior_direction FROM cd WHERE prior_direction <> 0),
+TWO_HOP = CURATED + """, ef AS (SELECT source, state, response, max(effect) AS effect FROM edges WHERE direction <> 0 GROUP BY ALL), sc AS (SELECT source, response, prior_direction FROM cd WHERE prior_direction <> 0),
     pt AS (SELECT m.source, m.state, m.response AS mid, m.effect AS me, s.response AS distal, s.prior_direction AS d, e.effect AS de FROM ef m JOIN sc s ON s.source = m.response AND m.response <> m.source AND s.response <> m.source
       JOIN ef e ON e.source = m.source AND e.state = m.state AND e.response = s.response),
     th AS (SELECT source, state, distal AS response, count(*) AS paths, count(*) FILTER (WHERE sign(de) = sign(me) * d) AS agreeing_paths, count(*) FILTER (WHERE sign(de) <> sign(me) * d) AS conflicting_paths,
@@ -44,7 +44,7 @@ TWO_HOP = CURATED + """, ef AS (SELECT source, state, response % 400 AS response
 
 
 def _effects(b):
-    return b.view("edges").filter("direction <> 0").groupBy("source", "state", (F.col("response") % 400).alias("response")).agg(F.max("effect").alias("effect"))
+    return b.view("edges").filter("direction <> 0").groupBy("source", "state", "response").agg(F.max("effect").alias("effect"))
 
 
 @query("d10_two_hop_paths", lambda: with_views("priors edges", TWO_HOP + " SELECT * FROM th"))
@@ -53,9 +53,9 @@ def _(b):
 
 
 EVIDENCE = TWO_HOP + """, mo AS (SELECT DISTINCT source, response FROM priors WHERE resource = 'motif-x'),
-    kx AS (SELECT l_partkey % 400 AS response, l_returnflag AS state, l_quantity / 5 AS score, l_linestatus = 'O' AS open, l_tax > 0.03 AS marked, l_linenumber % 3 AS prey FROM lineitem),
+    kx AS (SELECT l_partkey AS response, l_returnflag AS state, l_quantity / 5 AS score, l_linestatus = 'O' AS open, l_tax > 0.03 AS marked, l_linenumber % 3 AS prey FROM lineitem),
     ct AS (SELECT response, state, count(*) FILTER (WHERE open AND marked) AS active_links, count(*) FILTER (WHERE open AND marked AND prey > 1) AS occ FROM kx WHERE score > 9.6 GROUP BY ALL),
-    un AS (SELECT source, state, min(effect) - 0.01 AS cis, count(*) % 2 = 0 AS gc, source % 3 = 0 AS oc FROM ef GROUP BY source, state), pr AS (SELECT p_partkey % 400 AS response, count(*) FILTER (WHERE p_size < 5) AS promoter_peaks FROM part GROUP BY 1),
+    un AS (SELECT source, state, min(effect) - 0.01 AS cis, count(*) % 2 = 0 AS gc, source % 3 = 0 AS oc FROM ef GROUP BY source, state), pr AS (SELECT p_partkey AS response, count(*) FILTER (WHERE p_size < 5) AS promoter_peaks FROM part GROUP BY 1),
     j AS (SELECT ef.source, ef.state, ef.response, ef.effect, cd.source IS NOT NULL AS curated, mo.source IS NOT NULL AS motif, coalesce(ct.active_links, 0) > 0 AS physical_active, coalesce(oc, false) AND coalesce(promoter_peaks, 0) > 0 AS promoter_bound,
       coalesce(oc, false) AND coalesce(ct.occ, 0) > 0 AS enhancer_linked, coalesce(gc, false) AS guide_concordant, coalesce(prior_direction, 0) AS prior_direction, coalesce(direction_conflict, false) AS conflict, sign(cis) * coalesce(prior_direction, 0) AS expected, coalesce(th.paths, 0) > 0 AS hp
       FROM ef LEFT JOIN cd ON cd.source = ef.source AND cd.response = ef.response LEFT JOIN mo ON mo.source = ef.source AND mo.response = ef.response LEFT JOIN ct ON ct.response = ef.response AND ct.state = ef.state
@@ -69,13 +69,13 @@ EVIDENCE = TWO_HOP + """, mo AS (SELECT DISTINCT source, response FROM priors WH
 
 def _evidence(b):
     ef, li = cut_lineage(_effects(b)), b.table("lineitem")  # read for the edges, the units and both hops
-    contacts = li.select((F.col("l_partkey") % 400).alias("response"), F.col("l_returnflag").alias("state"), (F.col("l_quantity") / 5).alias("score"), (F.col("l_linestatus") == "O").alias("open"),
+    contacts = li.select(F.col("l_partkey").alias("response"), F.col("l_returnflag").alias("state"), (F.col("l_quantity") / 5).alias("score"), (F.col("l_linestatus") == "O").alias("open"),
                          (F.col("l_tax") > 0.03).alias("marked"), (F.col("l_linenumber") % 3).alias("prey"))
     n = lambda c: F.sum(c.cast("bigint"))
     act = F.col("open") & F.col("marked")
     ct = contacts.filter("score > 9.6").groupBy("response", "state").agg(n(act).alias("active_links"), n(act & (F.col("prey") > 1)).alias("occupied_enhancer_links"))
     units = ef.groupBy("source", "state").agg((F.min("effect") - 0.01).alias("cis"), (F.count(F.lit(1)) % 2 == 0).alias("guide_concordant")).withColumn("occupancy_compatible", F.col("source") % 3 == 0)
-    promoters = b.table("part").groupBy((F.col("p_partkey") % 400).alias("response")).agg(n(F.col("p_size") < 5).alias("promoter_peaks"))
+    promoters = b.table("part").groupBy(F.col("p_partkey").alias("response")).agg(n(F.col("p_size") < 5).alias("promoter_peaks"))
     prior, motifs = cut_lineage(_curated(b)), b.view("priors").filter("resource = 'motif-x'").select("source", "response")
     return ev.edge_evidence(ef, prior, motifs, ct, units, promoters, ev.two_hop_paths(ef, prior)), contacts
 
