@@ -230,3 +230,24 @@ def test_nested_elastic_net_equals_fits_on_rows(spark):
         assert (chosen[f].alpha, chosen[f].l1_ratio) == (a, r) and chosen[f].optimality < 1e-10
         want = fit(fold != f, a, r)
         assert all(got[i] == pytest.approx(want[i], rel=1e-8) for i in range(90) if fold[i] == f)
+
+
+def test_files_of_any_size_are_digested(spark, tmp_path, monkeypatch):
+    """Streamed, blockwise and whole digests of the same bytes; verification has no size-only state."""
+    import hashlib
+
+    monkeypatch.setattr(scans, "STREAM_BYTES", 7)
+    data = {"a.bin": b"x" * 100, "b.bin": bytes(range(256)) * 5, "c.bin": b"c", "d e.bin": b"spaces"}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    want = {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in data.items()}
+    for limit in (0, 50, 1 << 28):
+        assert {r["file"]: (r["bytes"], r["sha256"]) for r in scans.file_digests(spark, str(tmp_path), "*.bin", limit).collect()} == want
+    got = {r["file"]: r for r in scans.block_digests(spark, str(tmp_path), "*.bin", 64).collect()}
+    for n, c in data.items():
+        parts = [hashlib.sha256(c[i:i + 64]).hexdigest() for i in range(0, max(len(c), 1), 64)]
+        assert (got[n]["bytes"], got[n]["blocks"], got[n]["block_sha256"]) == (len(c), len(parts), hashlib.sha256("".join(parts).encode()).hexdigest())
+    manifest = spark.createDataFrame([("a.bin", 100, want["a.bin"][1], None), ("b.bin", 1280, "0" * 64, want["b.bin"][1]), ("c.bin", 1, "0" * 64, None), ("z.bin", 1, "0" * 64, None), ("d e.bin", 5, want["d e.bin"][1], None)],
+                                     "file string, bytes long, sha256 string, corrected_sha256 string")
+    status = {r["file"]: r["status"] for r in scans.verify_files(scans.file_digests(spark, str(tmp_path), "*.bin", 50), manifest).collect()}
+    assert status == {"a.bin": "verified", "b.bin": "verified", "c.bin": "hash_mismatch", "z.bin": "missing", "d e.bin": "size_mismatch"}
