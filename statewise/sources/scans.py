@@ -224,8 +224,8 @@ def block_digests(spark: SparkSession, root: str, pattern: str = "*", block_byte
     """
     files = _listed(spark, root, pattern).select("path", "length")
     last = F.greatest(F.ceil(F.col("length") / block_bytes) - 1, F.lit(0))
-    ranges = files.select("path", (F.explode(F.sequence(F.lit(0).cast("long"), last)) * block_bytes).alias("start"), "length")
-    ranges = ranges.select("path", "start", F.least(F.col("start") + block_bytes, F.col("length")).alias("stop"))
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("start"), "length")
+    ranges = ranges.withColumn("start", F.col("start") * block_bytes).select("path", "start", F.least(F.col("start") + block_bytes, F.col("length")).alias("stop"))
     found = _range_digests(ranges).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "digest"))).alias("d"), F.max("stop").alias("bytes"))
     name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
     return found.select(name, "bytes", F.size("d").alias("blocks"), F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), ""), 256).alias("block_sha256"))
