@@ -70,7 +70,7 @@ def spread_over(df: DataFrame, listed: DataFrame, limit: int = 100_000) -> DataF
     The list travels as one array whose length is checked (the query fails
     beyond ``limit``; split the list then), so rows expand where they are.
     """
-    packed = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("__ord_l"))
+    packed = listed.limit(limit + 1).agg(F.collect_list(F.struct(*listed.columns)).alias("__ord_l"))
     packed = packed.filter(F.assert_true(F.size("__ord_l") <= limit, F.lit("list too long to spread")).isNull())
     return attach_scalar(df, packed).select(*df.columns, F.explode("__ord_l").alias("__ord_x")).select(*df.columns, "__ord_x.*")
 
