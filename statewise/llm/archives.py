@@ -228,7 +228,7 @@ def header(head: Column, name: str) -> Column:
 
 def warc_date(date: Column) -> Column:
     """14 digits, or the leading part of them, as an ISO date; anything else is the epoch."""
-    whole = F.concat(date, F.expr("substring('00000101000000', length(date) + 1, 14)"))
+    whole = F.concat(date, F.substring(F.lit("00000101000000"), F.length(date) + 1, F.lit(14)))
     iso = F.regexp_replace(whole, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
     return F.when(date.rlike(r"^\d{4}(\d\d){0,5}$"), iso).otherwise("1970-01-01T00:00:00Z")
 
