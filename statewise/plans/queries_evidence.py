@@ -322,6 +322,17 @@ def _(b):
     return st.stream_order_check(raw, "event_id", "user_id", ["user_id", "event_type"], scratch_path(b.spark, "order"))
 
 
+@query("l5_stream_group_check", lambda: """
+    WITH e AS (SELECT user_id % 22 AS chrom, event_id, event_type AS k, event_id // 40 - CASE WHEN event_id % 50 = 0 THEN 30 ELSE 0 END AS c FROM events), l AS (SELECT *, lag(c) OVER (PARTITION BY chrom ORDER BY event_id) AS pc FROM e),
+      s AS (SELECT *, sum(CASE WHEN pc IS NULL OR c <> pc THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS st FROM l)
+    SELECT chrom, count(*) FILTER (WHERE c < pc) AS order_violations, count(*) - count(DISTINCT (st, k)) AS duplicate_keys, count(*) AS rows FROM s GROUP BY chrom""")
+def _(b):
+    raw = st.file_stream(b.spark, b.sf_dir, b.table("events").schema, "events.parquet")
+    late = F.when(F.col("event_id") % 50 == 0, 30).otherwise(0)
+    rows = raw.select((F.col("user_id") % 22).alias("chrom"), "event_id", (F.floor(F.col("event_id") / 40) - late).alias("coordinate"), "event_type")
+    return st.stream_group_check(rows, "chrom", "event_id", "coordinate", ["event_type"], scratch_path(b.spark, "groups"))
+
+
 @query("l6_stream_semi_filter", lambda: "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def _(b):
     raw = st.file_stream(b.spark, b.sf_dir, b.table("lineitem").schema, "lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

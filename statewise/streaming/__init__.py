@@ -1 +1,7 @@
+"""Streams; task functions travel with what they use, so executors need no copy of the package."""
 
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
