@@ -31,6 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more, and let go of finished jobs' shuffle files."""
+    spark = tables[0].sparkSession
+    for table in tables:
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
 _MOVING = ("Join", "Aggregate", "Sort", "Repartition", "Window", "Limit", "Sample", "LogicalRDD", "MapIn", "Generate")
 
 

@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.llm.common import Words, byte_texts, chunks, components, lower_ascii, mixed, numbered, written
+from statewise.llm.common import Words, byte_texts, chunks, components, discard, lower_ascii, mixed, numbered, release, written
 
 SEED = 42
 SMALL_RUN = 16  # entries of a key compared by shifted arrays, all pairs
 SAMPLE_ROWS = 8192  # texts that show which shingles are common; this steers speed only
 COMMON = 1 << 17  # common shingles that a task holds
+PASSES = 4  # parts of the pairs whose sets travel one after another
 LARGE_RUN = 4096  # beyond it a key is split once more by further deletion variants
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
@@ -276,6 +277,7 @@ def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity:
     by = Window.partitionBy("key")
     met = entries.withColumn("least", F.min(F.struct("node", "size")).over(by)).withColumn("most", F.max("node").over(by))
     shared = written(met.where("least.node < most").drop("most"), "shared")
+    release(shared.sparkSession)  # the entries' shuffle
 
     def scan(batches):
         for batch in batches:
@@ -285,20 +287,32 @@ def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity:
 
     wanted = written(shared.select(F.col("node").alias("_row")).distinct(), "nodes")
     sets = written(keys.select("_row", "_text").join(wanted, "_row", "left_semi").mapInArrow(scan, "node long, found array<long>"), "sets")
+    discard(wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9).select("a", "b").distinct()
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("found").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("q")), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("p", "q")).alias("n"), (F.size("p") + F.size("q")).alias("m"))
-        return written(both.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("a", "b"), "links")
+        """All pairs are held against whole sets; in passes, so that a part of the sets is on disk at a time."""
+        near = written(pairs.where(F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9).select("a", "b").distinct(), "near")
+        links = None
+        for k in range(PASSES):
+            mine = F.pmod(F.xxhash64("a"), F.lit(PASSES)) == k
+            both = near.where(mine).join(sets.select(F.col("node").alias("a"), F.col("found").alias("p")).where(mine), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("q")), "b")
+            both = both.select("a", "b", F.size(F.array_intersect("p", "q")).alias("n"), (F.size("p") + F.size("q")).alias("m"))
+            part = written(both.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("a", "b"), "links")
+            links = part if links is None else links.union(part)
+            release(near.sparkSession)  # the sets' shuffles
+        discard(near)
+        return links
 
     first = verified(shared.where("least.node < node").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.size").alias("x"), F.col("size").alias("y")))
     placed = shared.drop("least").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).where("low < high")
     apart = written(apart.select("key", "node", "size", "component"), "apart")
+    discard(shared)
     one = apart.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("component").alias("c"))
     two = apart.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("component").alias("d"))
-    return first.union(verified(one.join(two, "key").where("a < b and c <> d")))
+    second = verified(one.join(two, "key").where("a < b and c <> d"))
+    discard(apart, sets)
+    return first.union(second)
 
 
 def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
