@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,7 +33,7 @@ def cross_fit(df: DataFrame, fold: str, folds: Sequence[int], make: Callable[[Da
     parts = None
     for f in folds:
         model = make(df.filter(F.col(fold) != f)).fit(df.filter(F.col(fold) != f))
-        part = cut_lineage(model.transform(df.filter(F.col(fold) == f)).select(*key, score(None).alias(out)))  # no model object is left in the plan
+        part = model.transform(df.filter(F.col(fold) == f)).select(*key, score(None).alias(out))
         parts = part if parts is None else parts.unionByName(part)
     strays = F.assert_true(F.col(fold).isin(*folds), F.lit("row outside the listed folds")).isNull()
     return df.filter(strays).join(parts, list(key), "left")
@@ -60,7 +60,7 @@ def preprocessed(df: DataFrame, fold: str, folds: Sequence[int], stages: Callabl
     df, parts = cut_lineage(df), None
     for f in folds:
         model = Pipeline(stages=list(stages())).fit(df.filter(F.col(fold) != f))
-        part = cut_lineage(model.transform(df.filter(F.col(fold) == f)).select(*key, fold, vector_to_array("features").alias("features")))
+        part = model.transform(df.filter(F.col(fold) == f)).select(*key, fold, vector_to_array("features").alias("features"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -247,7 +247,13 @@ def logistic_cross_fit(df: DataFrame, fold: str, folds: Sequence[int], numeric:
     parts = None
     for f in folds:
         model = balanced_logistic(df.filter(F.col(fold) != f), preprocess(numeric, categorical), y, c)
-        part = cut_lineage(model.transform(df.filter(F.col(fold) == f)).select(*key, y, vector_to_array("probability")[1].alias("probability")))
+        prepared, fitted = PipelineModel(model.stages[:-1]), model.stages[-1]
+        # A fitted classifier holds its training summary and with it the session, which a task can't
+        # take along once streams have run; the probability is a column of its coefficients instead.
+        weights = F.array(*[F.lit(float(c)) for c in fitted.coefficients.toArray()])
+        terms = F.zip_with(vector_to_array("features"), weights, lambda a, b: a * b)
+        margin = F.aggregate(terms, F.lit(float(fitted.intercept)), lambda total, t: total + t)
+        part = prepared.transform(df.filter(F.col(fold) == f)).select(*key, y, (1 / (1 + F.exp(-margin))).alias("probability"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
