@@ -19,6 +19,12 @@ BLOCK = 4096
 
 PIVOT_CELLS = 1 << 22  # numbers in the table of pivots that every task gets (32 MB)
 FIRST_CELLS = 2
+WIDE = 2 * BLOCK  # rows of a block where every block meets every other
+SENDING = 64  # pairs compared in the time that sends a row
+SENT_NUMBERS = 1 << 30  # numbers in all visits (8 GB); beyond it blocks meet if they send less
+SLICE = 256  # queries of a block compared at a time
+PLACED = 1024  # rows held against all pivots at a time
+SENT = 16384  # visits of a frame, and pairs whose distance is taken at a time
 
 
 def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
@@ -38,7 +44,9 @@ def blocked_knn(
     greatest distance to its pivot. A query first meets its nearest cells, and then, with
     the distance of its k-th find as bound, only cells that the triangle inequality does not
     rule out. Rows of a cell and the queries that come to it meet in blocks of bounded
-    size. Ties break by candidate. ``features`` is a list of numeric columns or the
+    size. Where the counted visits cost more than all blocks meeting all blocks would
+    (in high dimensions hardly a cell is ruled out), the blocks meet instead, and each query
+    keeps the bound of its first visits. Ties break by candidate. ``features`` is a list of numeric columns or the
     name of an array column; ``within`` gives up rows farther away; ``counter`` adds
     up the pairs of rows compared.
     """
@@ -59,8 +67,9 @@ def blocked_knn(
         return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ points.T + (points * points).sum(1), 0))
 
     def placed(frames):
-        for f in frames:
-            if len(f):
+        for whole in frames:
+            for start in range(0, len(whole), PLACED):
+                f = whole.iloc[start:start + PLACED]
                 d = away(f["v"])
                 cell = d.argmin(axis=1)
                 yield f.assign(cell=cell.astype("int32"), off=d[np.arange(len(f)), cell])
@@ -71,27 +80,36 @@ def blocked_knn(
     for r in held.groupBy("cell").agg(F.min("off").alias("a"), F.max("off").alias("z")).collect():  # one row for each pivot
         near[r.cell], far[r.cell] = r.a, r.z
 
+    def goes(whole: pd.DataFrame, first: bool):
+        """Pieces of ``whole`` and which of its rows go to which cell."""
+        for start in range(0, len(whole), PLACED):
+            f = whole.iloc[start:start + PLACED]
+            d = away(f["v"])
+            slack = 1e-7 * (1 + d)  # of the distances as computed
+            nearest = np.argsort(d, axis=1, kind="stable")[:, :FIRST_CELLS]
+            go = np.zeros(d.shape, bool)
+            go[np.arange(len(f))[:, None], nearest] = True
+            if not first:
+                least = np.maximum(d - far, near - d) - slack
+                go = ~go & (least <= f["bound"].to_numpy()[:, None])
+            yield f, go
+
     def visits(first: bool):
         def run(frames):
-            for f in frames:
-                if not len(f):
-                    continue
-                d = away(f["v"])
-                slack = 1e-7 * (1 + d)  # of the distances as computed
-                nearest = np.argsort(d, axis=1, kind="stable")[:, :FIRST_CELLS]
-                go = np.zeros(d.shape, bool)
-                go[np.arange(len(f))[:, None], nearest] = True
-                if not first:
-                    least = np.maximum(d - far, near - d) - slack
-                    go = ~go & (least <= f["bound"].to_numpy()[:, None])
-                i, c = np.nonzero(go)
-                yield f.iloc[i][[*columns, "query", "v"]].assign(cell=c.astype("int32"))
+            for whole in frames:
+                for f, go in goes(whole, first):
+                    i, c = np.nonzero(go)
+                    for at in range(0, len(i), SENT):
+                        yield f.iloc[i[at:at + SENT]][[*columns, "query", "v", "bound"]].assign(cell=c[at:at + SENT].astype("int32"))
         return run
 
-    visit = schema([f"query {kinds['query']}", "v array<double>", "cell int"])
+    def counted(frames):
+        for whole in frames:
+            for _, go in goes(whole, False):
+                yield pd.DataFrame({"visits": [int(go.sum())]})
+
+    visit = schema([f"query {kinds['query']}", "v array<double>", "bound double", "cell int"])
     cells = [*by, "cell"]
-    blocks = lambda df: F.ceil(F.count(F.lit(1)) / block).cast("int")
-    room = held.groupBy(*cells).agg(blocks(held).alias("nc"))
     spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     fixed = [*by]
@@ -103,27 +121,40 @@ def blocked_knn(
             counter.add(len(q) * len(c))
         c = c.sort_values("candidate", kind="stable")
         x, y = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
-        names = c["candidate"].to_numpy()
+        sound = np.isfinite(y).all(axis=1)  # no other row has a finite distance
+        own, names, bound, y = q["query"].to_numpy(), c["candidate"].to_numpy()[sound], q["bound"].to_numpy(), y[sound]
+        if not len(names):
+            return closest(q[:0], c)
         take = min(k + int(skip_self), len(names))
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        slack = 1e-11 * (1 + x.shape[1]) * (xx + yy.max())  # of the squares from a product
         parts = []
-        for i, name in enumerate(q["query"].to_numpy()):
-            d = np.sqrt(((y - x[i]) ** 2).sum(axis=1))
+        for at in range(0, len(own), SLICE):
+            some = slice(at, at + SLICE)
+            square = xx[some, None] + yy - 2 * (x[some] @ y.T)
+            edge = np.partition(square, take - 1, axis=1)[:, take - 1]
+            i, j = np.nonzero(square <= (edge + 2 * slack[some])[:, None])
+            i += at
+            d = np.concatenate([np.zeros(0), *[np.sqrt(((y[j[p:p + SENT]] - x[i[p:p + SENT]]) ** 2).sum(axis=1)) for p in range(0, len(i), SENT)]])
+            use = np.isfinite(d) & (d <= bound[i] * (1 + 1e-12))
             if skip_self:
-                d = np.where(names == name, np.inf, d)
-            edge = np.partition(d, take - 1)[take - 1]
-            pool = np.flatnonzero(d <= edge)
-            best = pool[np.argsort(d[pool], kind="stable")][:k]
-            best = best[np.isfinite(d[best])]
-            parts.append(pd.DataFrame({"query": name, "candidate": names[best], "distance": d[best]}))
+                use &= names[j] != own[i]
+            i, j, d = i[use], j[use], d[use]
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+            place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            i, j, d = i[place < k], j[place < k], d[place < k]
+            parts.append(pd.DataFrame({"query": own[i], "candidate": names[j], "distance": d}))
         out = pd.concat(parts, ignore_index=True)
         for b in fixed:
             out.insert(0, b, q[b].iloc[0])
         return out[[*fixed, "query", "candidate", "distance"]]
 
-    def met(coming: DataFrame) -> DataFrame:
-        coming = cut_lineage(coming)
-        sizes = coming.groupBy(*cells).agg(blocks(coming).alias("nq")).join(room, cells)
-        left = coming.join(sizes, cells).select(*cells, "query", "v", spread("query", "nq").alias("qb"), span("nc").alias("cb"))
+    def met(coming: DataFrame, held: DataFrame, block: int) -> DataFrame:
+        blocks = F.ceil(F.count(F.lit(1)) / block).cast("int")
+        sizes = coming.groupBy(*cells).agg(blocks.alias("nq")).join(held.groupBy(*cells).agg(blocks.alias("nc")), cells)
+        left = coming.join(sizes, cells).select(*cells, "query", "v", "bound", spread("query", "nq").alias("qb"), span("nc").alias("cb"))
         # The right side gets new column names: a self-cogroup cannot tell equal ones apart.
         right = held.join(sizes, cells).select(*[F.col(c).alias(f"__{c}") for c in cells], "candidate", "v", spread("candidate", "nc").alias("__cb"), span("nq").alias("__qb"))
         keys = [*cells, "qb", "cb"]
@@ -132,14 +163,22 @@ def blocked_knn(
 
     order = Window.partitionBy(*by, "query").orderBy("distance", "candidate")
     best = lambda df: df.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= k)
-    found = cut_lineage(best(met(asked.mapInPandas(visits(True), visit))))
-    if len(points) <= FIRST_CELLS:
-        return found if within is None else found.filter(F.col("distance") <= within)
     limit = F.lit(float("inf") if within is None else float(within))
+    close = lambda df: df if within is None else df.filter(F.col("distance") <= within)
+    found = cut_lineage(best(met(cut_lineage(asked.withColumn("bound", limit).mapInPandas(visits(True), visit)), held, block)))
+    if len(points) <= FIRST_CELLS:
+        return close(found)
     bound = found.groupBy(*by, "query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_d"))
-    left = asked.join(bound, [*by, "query"], "left").select(*by, "query", "v", F.least(F.coalesce("_d", limit), limit).alias("bound"))
-    out = best(found.drop("slot").unionByName(met(left.mapInPandas(visits(False), visit))))
-    return out if within is None else out.filter(F.col("distance") <= within)
+    left = cut_lineage(asked.join(bound, [*by, "query"], "left").select(*by, "query", "v", F.least(F.coalesce("_d", limit), limit).alias("bound")))
+    every = F.lit(0).alias("cell")
+    groups = lambda df, n: df.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias(n))
+    both = attach(groups(left, "a"), groups(held, "b"), by)
+    wide = max(block, WIDE)
+    sent, pairs = both.agg(F.sum(F.col("a") * F.ceil(F.col("b") / wide) + F.col("b") * F.ceil(F.col("a") / wide)), F.sum(F.col("a") * F.col("b"))).first()
+    count = left.mapInPandas(counted, "visits long").agg(F.sum("visits")).first()[0] or 0
+    if sent and count > sent and (count * width > SENT_NUMBERS or count * (SENDING + n / len(points)) > sent * SENDING + pairs):
+        return close(best(met(left.select("*", every), held.drop("cell").select("*", every), wide)))
+    return close(best(found.drop("slot").unionByName(met(cut_lineage(left.mapInPandas(visits(False), visit)), held, block))))
 
 
 def standardise(df: DataFrame, by: Sequence[str], covariates: Sequence[str]) -> DataFrame:

@@ -43,3 +43,21 @@ def test_compared_pairs_grow_below_the_square(spark):
         counts.append(counter.value)
     assert counts[0] < 0.6 * 400**2 and counts[2] < 0.15 * 6400**2
     assert all(b < 11 * a for a, b in zip(counts, counts[1:]))  # 16 times the pairs each step
+
+
+def test_rows_are_not_sent_to_cell_after_cell_in_high_dimensions(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, "a", rng.normal(0, 1, 24)) for i in range(900)] + [(1000 + i, "a", np.ones(24)) for i in range(40)]
+    df = table(spark, rows, "id").repartition(3)
+    sent = []
+
+    def watched(kept):
+        kept = cut(kept)
+        sent.append(kept.count())
+        return kept
+
+    cut = mt.cut_lineage
+    monkeypatch.setattr(mt, "cut_lineage", watched)
+    got = {(r.query, r.slot, r.candidate) for r in mt.blocked_knn(df, df, [], "id", "id", "v", 4, skip_self=True).collect()}
+    assert got == all_pairs(rows, rows, 4, True)
+    assert max(sent) <= 4 * len(rows)  # the found rows; visits of all cells would be 30 times the rows
