@@ -68,3 +68,17 @@ def test_temperature_is_chosen_on_the_other_states(spark, cube):
         mine = [r for r in rows if r.heldout_state == held]
         assert len(mine) == 12 and {r.beta for r in mine} == {best}
         assert all((r.true_score, r.log_probability, r.fractional_top1) == pytest.approx(want[r.unit], abs=1e-9) for r in mine)
+
+
+def test_hits_are_not_shuffled_when_most_pairs_share_a_feature(spark, monkeypatch):
+    """Forty features over 300 units: the index would make a row for each pair and feature."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2, 300, 40)) * (rng.random((2, 300, 40)) < 0.1)
+    rows = [[(i, f"f{j}", float(x[s, i, j])) for i in range(300) for j in range(40) if x[s, i, j]] for s in (0, 1)]
+    q, c = (spark.createDataFrame(r, "unit int, feature string, value double") for r in rows)
+    monkeypatch.setattr(vx, "_index_scores", None)
+    monkeypatch.setattr(vx, "SCORED", 64)
+    got = vx.decode_states(q, c, "unit", BETAS, block=128, units=spark.range(300).selectExpr("cast(id as int) as unit")).collect()
+    for beta in BETAS:
+        want = decoded(scores(x[0], x[1]), beta)
+        assert all((r.true_score, r.log_probability, r.fractional_top1) == pytest.approx(want[r.unit], abs=1e-9) for r in got if r.beta == beta)
