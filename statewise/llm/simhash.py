@@ -11,8 +11,8 @@ every link: 2 bits over 2 segments leave one with 1 at most. For looser links
 than ``2 * segments - 1`` bits the index finds a link with a probability that is
 measured in the tests.
 
-``first_of_groups`` links by the Jaccard similarity of shingles itself: sets meet by
-the shingles of their prefixes, which no similar pair can miss.
+``first_of_groups`` verifies such links by the Jaccard similarity of shingles itself; what
+the fingerprints cannot find meets by the shingles of set prefixes, which no similar pair can miss.
 """
 
 from __future__ import annotations
@@ -266,13 +266,24 @@ def common_shingles(keys: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return common[order], often[order]
 
 
+def fingerprint_pairs(nodes: DataFrame, segment: int = 32, distance: int = 2) -> DataFrame:
+    """(a, b): pairs of nodes that hold all nodes of linked fingerprints together; ``nodes`` is (node, f0)."""
+    least = written(nodes.groupBy("f0").agg(F.min("node").alias("least")), "fingerprints")
+    equal = nodes.join(least, "f0").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    named = least.select(hexadecimal(1).alias("print"), "least")
+    met = links(least.select("f0"), 1, segment, distance)
+    met = met.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+    return equal.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes that hold all pairs of this Jaccard similarity or more together.
 
     ``entries`` (key, node, size): the prefix of each set; ``keys`` (_row, _text):
-    the texts of the nodes. Each entry of a key is first held against the key's
-    least node only, so that a large group of copies joins at once; then all pairs
-    of a key that are not yet together are. Every pair is linked by its whole sets.
+    the texts of the nodes. Nodes whose SimHash fingerprints link are held against each
+    other first. For the pairs that this cannot find, each entry of a key is first held against the key's
+    least node, if they are not together yet, so that a large group of copies joins at
+    once; then all pairs of a key that are still apart are. Every pair is linked by its whole sets.
     """
     by = Window.partitionBy("key")
     met = entries.withColumn("least", F.min(F.struct("node", "size")).over(by)).withColumn("most", F.max("node").over(by))
@@ -303,7 +314,15 @@ def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity:
         discard(near)
         return links
 
-    first = verified(shared.where("least.node < node").select(F.col("least.node").alias("a"), F.col("node").alias("b"), F.col("least.size").alias("x"), F.col("size").alias("y")))
+    of_size = written(shared.select("node", "size").distinct(), "sizes")
+    likely = fingerprint_pairs(fingerprints(keys.select("_row", "_text").join(of_size.select(F.col("node").alias("_row")), "_row", "left_semi"), shingle, 1, "_row", "_text").withColumnRenamed("_id", "node"))
+    likely = likely.join(of_size.toDF("a", "x"), "a").join(of_size.toDF("b", "y"), "b")
+    printed = verified(likely)
+    together = written(components(printed), "together")
+    hub = F.col("least.node")
+    held = shared.where("least.node < node").join(together, "node", "left").join(together.toDF("_hub", "_of_hub"), hub == F.col("_hub"), "left")
+    held = held.where(F.coalesce("component", "node") != F.coalesce("_of_hub", hub))
+    first = printed.union(verified(held.select(hub.alias("a"), F.col("node").alias("b"), F.col("least.size").alias("x"), F.col("size").alias("y"))))
     placed = shared.drop("least").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).where("low < high")
     apart = written(apart.select("key", "node", "size", "component"), "apart")

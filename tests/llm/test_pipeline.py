@@ -40,3 +40,22 @@ def test_planted_secrets_and_copies(spark, odd):
     stages = dict(corpus_pipeline.STAGES)
     assert stages["secrets"](spark, df, SF).where("doc_id = 1").first().text == "some words before [secret]' and after"
     assert sorted(r.doc_id for r in stages["simhash"](spark, df, SF).collect()) == [1, 2]
+
+
+def test_near_duplicates_go_through_their_fingerprints(spark, odd, monkeypatch):
+    """Documents of linked fingerprints are held against each other before any shingles meet."""
+    from statewise.llm import simhash
+
+    seen = []
+    pairs = simhash.fingerprint_pairs
+
+    def watched(nodes, *rest):
+        found = written(pairs(nodes, *rest), "pairs")
+        seen.append((nodes.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", watched)
+    long = " ".join(f"w{i}" for i in range(5000))
+    df = spark.createDataFrame([document(1, long + " one end"), document(2, long + " another end"), document(3, "some other words that stand alone")], odd.schema)
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, df, SF).collect()) == [1, 3]
+    assert seen == [(2, 1)]
