@@ -403,6 +403,22 @@ def test_unigram_base_and_counts(spark, odd, none, small):
     assert attention.language_scores(none, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_every_place_of_a_training_text_is_learnt_from_once(spark):
+    n = 700
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n))), (3, ""), (4, None)], "_id long, _text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    subwords = attention.Subwords(path, attention.PATTERN)
+    rows = np.array([r.ids for r in attention.training_windows(df, 1 << 30, -1, path).collect()])
+    target = attention.training_targets(rows, np.arange(subwords.size))
+    want = [x for i in range(n) for x in subwords(f"w{i}".encode())] + 3 * [subwords.end]
+    assert Counter(target[target >= 0].tolist()) == Counter(want)
+    ids = np.arange(100, 170)
+    inputs, targets, scored = attention.windows(ids)
+    mine = attention.training_rows(ids)
+    assert (np.maximum(mine[:, :-1], -1) == inputs).all()
+    assert (attention.training_targets(mine, np.arange(200)) == np.where(scored, targets, -1)).all()
+
+
 def test_windows_score_each_subword_once_and_probabilities_sum_to_one():
     for n in (1, 2, 16, 19, 20, 21, 36, 37, 500):
         ids = np.arange(n)
