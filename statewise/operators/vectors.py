@@ -212,7 +212,8 @@ def factor_activity(triplets: DataFrame, network: DataFrame, row: Sequence[str],
     standardised consensus.
 
     The regression over all features, zeros included, follows from sums over
-    shared features and per-row and per-factor totals.
+    shared features and per-row and per-factor totals. A factor or a row that is
+    the same on all features has no slope: its t is 0, not the rounding of sums.
     """
     w = network.filter("weight <> 0").groupBy("factor", "feature").agg(F.first("weight").cast("double").alias("weight"))
     factors = w.groupBy("factor").agg(F.count(F.lit(1)).alias("targets"), F.sum("weight").alias("ws"), F.sum(F.col("weight") * F.col("weight")).alias("ww")).filter(F.col("targets") >= minimum)
@@ -223,7 +224,8 @@ def factor_activity(triplets: DataFrame, network: DataFrame, row: Sequence[str],
     n = n_features if isinstance(n_features, Column) else F.lit(float(n_features))
     cov = F.col("raw") - F.col("xs") * F.col("ws") / n
     rss, wss = F.col("xx") - F.col("xs") * F.col("xs") / n, F.col("ww") - F.col("ws") * F.col("ws") / n
-    r = cov / F.sqrt(F.greatest(rss * wss, F.lit(1e-24)))
+    flat = (wss <= 1e-12 * F.col("ww")) | (rss <= 1e-12 * F.col("xx"))
+    r = F.when(flat, F.lit(0.0)).otherwise(cov / F.sqrt(F.greatest(rss * wss, F.lit(1e-24))))
     r = F.least(F.greatest(r, F.lit(-1 + 1e-12)), F.lit(1 - 1e-12))
     scored = full.select(*row, "factor", "targets", (F.col("raw") / F.greatest(F.col("ww"), F.lit(1.0))).alias("weighted_mean"),
                          (r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-24)))).alias("ulm"))
