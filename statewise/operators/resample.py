@@ -60,6 +60,25 @@ def bootstrap_rows(df: DataFrame, by: Sequence[str], cluster: str, count: int, s
     return named.join(df, [*by, cluster])
 
 
+def bootstrap_copies(df: DataFrame, by: Sequence[str], cluster: str, count: int, seed: int) -> DataFrame:
+    """Rows with ``drawn``: the replicates that took their cluster, each as often as it did.
+
+    One row carries all its copies, so they spread where they are counted.
+    """
+    df = reread(df)
+    units = reread(unit_index(df.select(*by, cluster).distinct(), [cluster], by))
+    drawn = bootstrap_draws(units, by, count, seed).repartition(*by, "idx").groupBy(*by, "idx").agg(
+        F.collect_list(F.col("replicate").cast("int")).alias("drawn"))
+    named = cut_lineage(drawn.join(units.select(*by, cluster, "idx"), [*by, "idx"]).drop("idx"))
+    return named.join(df, [*by, cluster])
+
+
+def spread_copies(copies: DataFrame) -> DataFrame:
+    """A row for each copy, with its replicate."""
+    kept = [c for c in copies.columns if c != "drawn"]
+    return copies.select(*kept, F.explode("drawn").alias("replicate")).withColumn("replicate", F.col("replicate").cast("bigint"))
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, statistic: str = "median", count: int = 2000, seed: int = 20260912,
                       by: Sequence[str] = (), prob: float = 0.5) -> DataFrame:
     """Bootstrap draws of the mean, median or a quantile: (by, replicate, value)."""
@@ -68,8 +87,9 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, statistic: str =
         sums = bootstrap_sums(rows, by, cluster, {"s": F.col(value), "c": F.lit(1)}, count, seed)
         return sums.select(*by, "replicate", (F.col("s") / F.col("c")).alias("value"))
     slim = rows.groupBy(*by, cluster, value).agg(F.count(F.lit(1)).alias("__c"))
-    drawn = bootstrap_rows(slim, by, cluster, count, seed).withColumn("__w", F.col("weight") * F.col("__c"))
-    return weighted_quantiles(drawn, [*by, "replicate"], value, "__w", {"value": 0.5 if statistic == "median" else prob})
+    drawn = spread_copies(bootstrap_copies(slim, by, cluster, count, seed))
+    return weighted_quantiles(drawn, [*by, "replicate"], value, "__c", {"value": 0.5 if statistic == "median" else prob},
+                              shape=rows.select(*by, value), again=True)
 
 
 def interval(draws: DataFrame, by: Sequence[str] = (), value: str = "value", level: float = 0.95) -> DataFrame:
@@ -161,8 +181,10 @@ def sign_flip_null(df: DataFrame, unit: str, value: str, count: int, seed: int,
     rows, keys = df.filter(F.col(value).isNotNull()), [*by, "replicate"]
     sign = sign_draw(seed, F.col("replicate"), F.col(unit))
     if statistic == "median":
+        rows = reread(rows.select(*by, unit, value))
         signed = rows.select("*", F.explode(replicates(count)).alias("replicate")).withColumn("__v", F.col(value) * sign)
-        return exact_quantiles(signed, keys, "__v", {"value": 0.5})
+        either = rows.select(*by, F.explode(F.array(F.col(value), -F.col(value))).alias("__v"))
+        return exact_quantiles(signed, keys, "__v", {"value": 0.5}, shape=either, again=True)
     over, under = (F.col(x) * F.col(value), F.col(x) * F.col(x)) if statistic == "slope" else (F.col(value), F.lit(1))
     per = rows.groupBy(*by, unit).agg(F.sum(over).alias("__o"), F.sum(under).alias("__u"))
     signed = per.select("*", F.explode(replicates(count)).alias("replicate"))
@@ -185,12 +207,13 @@ def tail_resampling(pairs: DataFrame, unit: str, strata: DataFrame, tail: float,
         whole = sums.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(F.lit(pooled).alias(state), *keys, "s", "n")
         return sums.select(state, *keys, "s", "n").unionByName(whole).select(state, *keys, (F.col("s") / F.col("n")).alias("value"), F.col("n").alias("selected_rows"))
 
-    cuts = exact_quantiles(pairs, [state], "training", {"cut": tail})
+    cuts = F.broadcast(exact_quantiles(pairs, [state], "training", {"cut": tail}))  # a row for each state
     selected = cut_lineage(pairs.join(cuts, state).filter(F.col("training") <= F.col("cut")).select(unit, state, "heldout"))
     point = means(selected.groupBy(state).agg(F.sum("heldout").alias("s"), F.count(F.lit(1)).alias("n")), [])
-    drawn = reread(bootstrap_rows(pairs, [], unit, count, seed))
-    again = weighted_quantiles(drawn, [state, "replicate"], "training", "weight", {"cut": tail})
-    tails = drawn.join(again, [state, "replicate"]).filter(F.col("training") <= F.col("cut"))
+    copies = cut_lineage(bootstrap_copies(pairs.withColumn("weight", F.lit(1)), [], unit, count, seed))
+    drawn = spread_copies(copies)
+    again = weighted_quantiles(drawn, [state, "replicate"], "training", "weight", {"cut": tail}, shape=pairs, again=True)
+    tails = drawn.join(F.broadcast(again), [state, "replicate"]).filter(F.col("training") <= F.col("cut"))
     boot = means(tails.groupBy(state, "replicate").agg(F.sum(F.col("heldout") * F.col("weight")).alias("s"), F.sum("weight").alias("n")), ["replicate"])
     moved = permuted_values(pairs.select(unit, state, "heldout").join(strata, [unit, state]), [state, "stratum"], [unit], ["heldout"], count, seed + 1)
     kept = moved.join(selected.select(unit, state), [unit, state])
