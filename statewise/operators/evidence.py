@@ -14,6 +14,7 @@ from statewise.operators.ranks import top_k_per_group
 # fixed labels, in priority order
 EDGE_CLASSES = ("enhancer-linked", "promoter-bound", "motif-supported", "one-step", "higher-order", "unsupported")
 TIERS = ("Tier 1", "Tier 2", "Tier 3", "Tier 4")
+MARK_WORDS = 8  # 64-bit words of a step's marks; a full set lets all through, to the exact join
 
 
 def curate_edges(raw: DataFrame, resources: Mapping[str, str]) -> DataFrame:
@@ -29,20 +30,45 @@ def curate_edges(raw: DataFrame, resources: Mapping[str, str]) -> DataFrame:
                     *resources, names.alias("resources"))
 
 
+def _unit_slot() -> Column:
+    return F.pmod(F.xxhash64("source", "state"), F.lit(64 * MARK_WORDS)).cast("int")
+
+
+def _unit_marks(effects: DataFrame, key: str) -> DataFrame:
+    """A bit set of the hashed (source, state) of each key, of the same size for any number of them."""
+    bit = F.expr("shiftleft(1L, __slot & 63)")
+    marked = effects.select(key, _unit_slot().alias("__slot")).select(key, F.shiftright("__slot", 6).alias("__word"), bit.alias("__bit"))
+    bits = [F.coalesce(F.bit_or(F.when(F.col("__word") == i, F.col("__bit"))), F.lit(0)) for i in range(MARK_WORDS)]
+    return marked.groupBy(key).agg(F.array(*bits).alias("marks"))
+
+
+def _marked(marks: str) -> Column:
+    """Whether the (source, state) of the row may be in the set; false only if it is not."""
+    slot = _unit_slot()
+    return F.getbit(F.get(marks, F.shiftright(slot, 6)), slot.bitwiseAND(63)) == 1
+
+
+def _first_hops(effects: DataFrame, prior: DataFrame) -> DataFrame:
+    """Source -> intermediate -> distal; most rows whose (source, state) does not
+    respond at the distal are left out, by the marks that each step carries."""
+    mid = effects.select("source", "state", F.col("response").alias("intermediate"), F.col("effect").alias("mid_effect"))
+    steps = prior.filter("prior_direction <> 0").select(F.col("source").alias("intermediate"), F.col("response").alias("distal"), "prior_direction")
+    steps = steps.join(_unit_marks(effects.withColumnRenamed("response", "distal"), "distal"), "distal")
+    # a condition on mid alone would move below the aggregation that made it, which is shared then no more; no step has direction 0
+    apart = (F.col("distal") != F.col("source")) & ((F.col("intermediate") != F.col("source")) | (F.col("prior_direction") == 0))
+    return mid.join(steps, "intermediate").filter(apart & _marked("marks")).drop("marks")
+
+
 def two_hop_paths(effects: DataFrame, prior: DataFrame) -> DataFrame:
     """Source -> affected intermediate -> affected distal inside (source, state).
 
     Per distal: path counts, agreeing and conflicting paths, and the strongest
     intermediate by (|effect|, name). The first hop joins effects to prior
-    edges on the intermediate; the second confirms the distal by equi-join.
+    edges on the intermediate and drops most that miss the distal by a hashed
+    bit set; the second confirms the distal by equi-join.
     """
-    mid = effects.select("source", "state", F.col("response").alias("intermediate"), F.col("effect").alias("mid_effect")).filter("intermediate <> source")
-    steps = prior.filter("prior_direction <> 0").select(F.col("source").alias("intermediate"), F.col("response").alias("distal"), "prior_direction")
     end = effects.select("source", "state", F.col("response").alias("distal"), F.col("effect").alias("distal_effect"))
-    # steps to where no effect is lead nowhere; without them the first hop stays near the result
-    steps = steps.join(end.select("distal").distinct(), "distal", "left_semi").join(mid.select("intermediate").distinct(), "intermediate", "left_semi")
-    reach = mid.join(steps, "intermediate").filter("distal <> source")
-    paths = reach.join(end, ["source", "state", "distal"])
+    paths = _first_hops(effects, prior).join(end, ["source", "state", "distal"])
     agree = F.signum("distal_effect") == F.signum("mid_effect") * F.col("prior_direction")
     best = F.max(F.struct(F.abs("mid_effect").alias("size"), F.col("intermediate").alias("name"), agree.alias("agrees")))
     n = lambda c: F.sum(c.cast("bigint"))
