@@ -158,14 +158,15 @@ def threshold_sensitivity(edges: DataFrame, contacts: DataFrame, thresholds: Seq
     """Edges with an active contact over a threshold x activity-rule grid.
 
     Only the best active score per (response, state, rule) matters, so the grid
-    is applied to that maximum instead of re-scanning contacts per setting.
+    is applied to that maximum instead of re-scanning contacts per setting. Of
+    the edges only the number per (response, state) does.
     """
     active = {"both": F.col("open") & F.col("marked"), "either": F.col("open") | F.col("marked")}
     best = contacts.groupBy("response", "state").agg(*[F.max(F.when(active[r], F.col("score"))).alias(r) for r in rules])
-    j = edges.join(best, ["response", "state"], "left")
-    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(t)).alias("threshold"), F.sum(F.coalesce(F.col(r) > t, F.lit(False)).cast("bigint")).alias("physical_active_edges"))
+    j = edges.groupBy("response", "state").agg(F.count(F.lit(1)).alias("__n")).join(best, ["response", "state"], "left")
+    cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(t)).alias("threshold"), F.sum(F.when(F.col(r) > t, F.col("__n")).otherwise(0)).alias("physical_active_edges"))
                       for r in rules for t in thresholds])
-    out = j.agg(F.count(F.lit(1)).alias("edges"), cells.alias("c")).select("edges", F.explode("c").alias("c")).select("edges", "c.*")
+    out = j.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("edges"), cells.alias("c")).select("edges", F.explode("c").alias("c")).select("edges", "c.*")
     return out.withColumn("active_fraction", F.col("physical_active_edges") / F.col("edges"))
 
 
