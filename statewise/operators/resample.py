@@ -315,7 +315,8 @@ def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds:
     Each round pairs edges by hash order inside a replicate and proposes
     (a,d),(c,b). A pair is kept only when both proposals are no self edge, occur
     once in the round and are not present already; so every in- and out-degree
-    and simplicity survive. Lineage is cut after each round.
+    and simplicity survive. Lineage is cut in each round. Only the few proposals
+    that fail come back to the pairs.
 
     A replicate goes on until it has ``swaps_per_edge`` accepted swaps an edge, or
     for ``rounds`` rounds. Each row carries its replicate's ``successful_swaps``
@@ -328,28 +329,42 @@ def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds:
     for i in range(rounds):
         hashed = attach_scalar(current, sizes).withColumn("h", digest(seed, i, F.col("replicate"), F.col("a"), F.col("b")))
         placed = hash_rank(hashed, ["replicate"], "h", ["a", "b"], "pos", size="n")
-        pairs = placed.groupBy("replicate", F.floor(F.col("pos") / 2).alias("pair")).agg(
-            F.min_by(F.struct("a", "b"), "pos").alias("e"), F.max_by(F.struct("a", "b"), "pos").alias("f"), F.count(F.lit(1)).alias("k"))
-        swapped = pairs.select("replicate", "pair", "e", "f", "k", F.explode(F.array(
-            F.struct(F.col("e.a").alias("a"), F.col("f.b").alias("b")), F.struct(F.col("f.a").alias("a"), F.col("e.b").alias("b")))).alias("x"))
-        swapped = swapped.select("replicate", "pair", "k", "x.a", "x.b")
-        once = swapped.groupBy("replicate", "a", "b").agg(F.count(F.lit(1)).alias("times"), F.max("pair").alias("pair"), F.max("k").alias("k"))
-        fresh = once.filter((F.col("times") == 1) & (F.col("k") == 2) & (F.col("a") != F.col("b"))).join(
-            current, ["replicate", "a", "b"], "left_anti")
-        going = F.broadcast(accepted.filter(F.col("successful_swaps") < wanted).select("replicate"))  # a row for each replicate at most
-        good = fresh.groupBy("replicate", "pair").agg(F.count(F.lit(1)).alias("c")).filter("c = 2").select("replicate", "pair").join(going, "replicate", "left_semi")
-        good = cut_lineage(good)
-        gained = good.groupBy("replicate").agg(F.count(F.lit(1)).alias("gained"))
+        # both rows of a pair lie side by side, so all but a few are merged before they are shuffled
+        side = lambda c, odd: F.max(F.when(F.col("pos") % 2 == odd, F.col(c)))
+        pairs = cut_lineage(placed.groupBy("replicate", F.floor(F.col("pos") / 2).alias("pair")).agg(
+            side("a", 0).alias("a"), side("b", 0).alias("b"), side("a", 1).alias("c"), side("b", 1).alias("d"), F.count(F.lit(1)).alias("k")).drop("pair"))
+        taken = cut_lineage(_taken(pairs))
+        going = F.broadcast(accepted.filter(F.col("successful_swaps") < wanted).select("replicate", F.lit(True).alias("going")))  # a row for each replicate at most
+        few = taken.limit(FEW_TAKEN + 1).count() <= FEW_TAKEN
+        judged = pairs.join(going, "replicate", "left")
+        for x, y, flag in (("a", "d", "first"), ("c", "b", "second")):
+            found = taken.select("replicate", F.col("x").alias(x), F.col("y").alias(y), F.lit(True).alias(flag))
+            judged = judged.join(F.broadcast(found) if few else found, ["replicate", x, y], "left")
+        ok = F.col("going") & (F.col("k") == 2) & (F.col("a") != F.col("d")) & (F.col("c") != F.col("b")) & F.col("first").isNull() & F.col("second").isNull()
+        judged = judged.withColumn("ok", F.coalesce(ok, F.lit(False)))
+        gained = judged.filter("ok").groupBy("replicate").agg(F.count(F.lit(1)).alias("gained"))
         accepted = cut_lineage(accepted.join(gained, "replicate", "left").select("replicate", (F.col("successful_swaps") + F.coalesce("gained", F.lit(0))).alias("successful_swaps")))
-        judged = pairs.join(good.withColumn("ok", F.lit(True)), ["replicate", "pair"], "left")
-        keep = F.when(F.col("k") == 1, F.array("e")).otherwise(F.array("e", "f"))
-        swap = F.array(F.struct(F.col("e.a").alias("a"), F.col("f.b").alias("b")), F.struct(F.col("f.a").alias("a"), F.col("e.b").alias("b")))
-        current = cut_lineage(judged.select("replicate", F.explode(F.when(F.col("ok"), swap).otherwise(keep)).alias("x")).select("replicate", "x.a", "x.b"))
+        current = judged.select("replicate", F.explode(F.when(F.col("ok"), _edges("ad", "cb")).when(F.col("k") == 2, _edges("ab", "cd")).otherwise(_edges("ab"))).alias("x")).select("replicate", F.col("x.x").alias("a"), F.col("x.y").alias("b"))
         if accepted.filter(F.col("successful_swaps") < wanted).isEmpty():
             break
     status = F.when(F.col("successful_swaps") >= wanted, "ok").otherwise("incomplete_swap")
     done = F.broadcast(accepted.withColumn("status", status))
-    return current.join(done, "replicate").select("replicate", F.col("a").alias(source), F.col("b").alias(target), "successful_swaps", "status")
+    return cut_lineage(current).join(done, "replicate").select("replicate", F.col("a").alias(source), F.col("b").alias(target), "successful_swaps", "status")
+
+
+FEW_TAKEN = 200_000  # rejected proposals that are sent to the pairs; more are joined
+
+
+def _edges(*ends: str) -> Column:
+    return F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ends])
+
+
+def _taken(pairs: DataFrame) -> DataFrame:
+    """Proposed edges (replicate, x, y) that are there already or are proposed twice: few in a sparse graph."""
+    now = pairs.select("replicate", F.lit(0).alias("proposed"), F.explode(F.when(F.col("k") == 2, _edges("ab", "cd")).otherwise(_edges("ab"))).alias("e"))
+    then = pairs.filter("k = 2").select("replicate", F.lit(1).alias("proposed"), F.explode(_edges("ad", "cb")).alias("e"))
+    met = now.unionByName(then).select("replicate", "e.x", "e.y", "proposed").groupBy("replicate", "x", "y").agg(F.count(F.lit(1)).alias("times"), F.max("proposed").alias("proposed"))
+    return met.filter("times > 1 AND proposed = 1").select("replicate", "x", "y")
 
 
 def rewiring_report(rewired: DataFrame, edges: DataFrame, source: str, target: str, reference: DataFrame) -> DataFrame:
@@ -357,9 +372,14 @@ def rewiring_report(rewired: DataFrame, edges: DataFrame, source: str, target: s
     (must be 0), and overlap with a reference set."""
     marked = rewired.join(edges.select(source, target).withColumn("__same", F.lit(1)), [source, target], "left")
     marked = marked.join(reference.select(source, target).distinct().withColumn("__ref", F.lit(1)), [source, target], "left")
-    base = marked.groupBy("replicate").agg(
-        F.count(F.lit(1)).alias("edges"), F.max("successful_swaps").alias("successful_swaps"), F.max("status").alias("status"),
-        (F.count(F.lit(1)) - F.count_distinct(source, target)).alias("repeated_edges"), F.sum((F.col(source) == F.col(target)).cast("bigint")).alias("self_edges"), F.sum(F.col("__same").isNull().cast("bigint")).alias("changed"), F.coalesce(F.sum("__ref"), F.lit(0)).alias("reference_overlap"))
+    # counted by edge first, where the joins left them
+    per = marked.groupBy(source, target, "replicate").agg(F.count(F.lit(1)).alias("__n"), F.max("successful_swaps").alias("successful_swaps"), F.max("status").alias("status"),
+                                                          F.max("__same").alias("__same"), F.max("__ref").alias("__ref"))
+    n = F.col("__n")
+    base = per.groupBy("replicate").agg(
+        F.sum(n).alias("edges"), F.max("successful_swaps").alias("successful_swaps"), F.max("status").alias("status"),
+        F.sum(n - 1).alias("repeated_edges"), F.sum(F.when(F.col(source) == F.col(target), n).otherwise(0)).alias("self_edges"),
+        F.sum(F.when(F.col("__same").isNull(), n).otherwise(0)).alias("changed"), F.sum(F.when(F.col("__ref").isNotNull(), n).otherwise(0)).alias("reference_overlap"))
     wrong = None
     for side in (source, target):
         then = edges.groupBy(side).agg(F.count(F.lit(1)).alias("d0"))
