@@ -230,9 +230,11 @@ def hash_rank(
     """
     prefix = F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
     bucket = F.when(F.col(size) > limit, prefix).otherwise(0) if size else prefix
-    work = _shift(df.withColumn("__ord_b", bucket), by, ["__ord_b"], {"c": F.lit(1)}, "__ord_n")
+    # numbered before they meet the shifts: the join then finds its rows in order and sorts them no second time
     local = Window.partitionBy(*by, "__ord_b").orderBy(hashed, *key)
-    return work.select(*df.columns, (F.row_number().over(local) - 1 + F.col("__ord_o_c")).cast("bigint").alias(out),
+    work = df.withColumn("__ord_b", bucket).withColumn("__ord_r", F.row_number().over(local))
+    work = _shift(work, by, ["__ord_b"], {"c": F.lit(1)}, "__ord_n")
+    return work.select(*df.columns, (F.col("__ord_r") - 1 + F.col("__ord_o_c")).cast("bigint").alias(out),
                        *([F.col("__ord_n").alias(n_out)] if n_out else []))
 
 
