@@ -13,6 +13,7 @@ measured in the tests.
 
 ``first_of_groups`` verifies such links by the Jaccard similarity of shingles itself; what
 the fingerprints cannot find meets by the shingles of set prefixes, which no similar pair can miss.
+Pairs meet first by a bit for each shingle, which rules out most of them; whole sets only for the rest.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SEED = 42
 SMALL_RUN = 16  # entries of a key compared by shifted arrays, all pairs
 SAMPLE_ROWS = 8192  # texts that show which shingles are common; this steers speed only
 COMMON = 1 << 17  # common shingles that a task holds
-PASSES = 4  # parts of the pairs whose sets travel one after another
+PASSES = 4  # parts of the pairs whose sets travel one after another, and of the entries
 LARGE_RUN = 4096  # beyond it a key is split once more by further deletion variants
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
@@ -251,6 +252,38 @@ def prefix(found: np.ndarray, similarity: float, common: np.ndarray, often: np.n
     return found[np.argsort(rank, kind="stable")[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]]
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """A bit for each shingle or more, a power of two of them: whether an odd number of shingles falls on it."""
+    size = max(64, 1 << max(len(found) - 1, 0).bit_length())
+    ones = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def apart_at_least(p: np.ndarray, q: np.ndarray) -> int:
+    """A bound on the shingles that one of two sets has and the other lacks: each bit
+    in which their ``parities`` differ takes one at least. The longer is folded to the shorter."""
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (p, q))
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def possible_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, x, y: nodes and sizes) that ``parities`` leave; no pair of this similarity is lost."""
+    share = (1 - similarity) / (1 + similarity)  # of both sizes, the most that such sets can differ in
+
+    def scan(batches):
+        for batch in batches:
+            a, b, x, y, p, q = (batch.column(c) for c in ("a", "b", "x", "y", "p", "q"))
+            most = share * (np.asarray(x).astype(np.int64) + np.asarray(y)) + 1e-6
+            left = np.fromiter((apart_at_least(np.asarray(u.values).view(np.uint64), np.asarray(v.values).view(np.uint64)) for u, v in zip(p, q, strict=True)), dtype=np.int64, count=len(most))
+            left = pa.array(left <= most)
+            yield pa.RecordBatch.from_arrays([a.filter(left), b.filter(left)], names=["a", "b"])
+
+    near = pairs.where(F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9).distinct()
+    both = near.join(classes.select(F.col("node").alias("a"), F.col("bits").alias("p")), "a").join(classes.select(F.col("node").alias("b"), F.col("bits").alias("q")), "b")
+    return both.select("a", "b", "x", "y", "p", "q").mapInArrow(scan, "a long, b long")
+
+
 def common_shingles(keys: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of ``SAMPLE_ROWS`` distinct texts share, in order, and in how many."""
 
@@ -276,19 +309,25 @@ def fingerprint_pairs(nodes: DataFrame, segment: int = 32, distance: int = 2) ->
     return equal.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_links(heads: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes that hold all pairs of this Jaccard similarity or more together.
 
-    ``entries`` (key, node, size): the prefix of each set; ``keys`` (_row, _text):
+    ``heads`` (node, size, heads): the prefix of each set, deleted when it is read; ``classes``
+    (node, f0, bits): fingerprints and ``parities``; ``keys`` (_row, _text):
     the texts of the nodes. Nodes whose SimHash fingerprints link are held against each
     other first. For the pairs that this cannot find, each entry of a key is first held against the key's
     least node, if they are not together yet, so that a large group of copies joins at
     once; then all pairs of a key that are still apart are. Every pair is linked by its whole sets.
     """
     by = Window.partitionBy("key")
-    met = entries.withColumn("least", F.min(F.struct("node", "size")).over(by)).withColumn("most", F.max("node").over(by))
-    shared = written(met.where("least.node < most").drop("most"), "shared")
-    release(shared.sparkSession)  # the entries' shuffle
+    entries, shared = heads.select(F.explode("heads").alias("key"), "node", "size"), None
+    for k in range(PASSES):  # a part of the entries is on disk at a time
+        met = entries.where(F.pmod(F.xxhash64("key"), F.lit(PASSES)) == k)
+        met = met.withColumn("least", F.min(F.struct("node", "size")).over(by)).withColumn("most", F.max("node").over(by))
+        part = written(met.where("least.node < most").drop("most"), "shared")
+        shared = part if shared is None else shared.union(part)
+        release(part.sparkSession)
+    discard(heads)
 
     def scan(batches):
         for batch in batches:
@@ -296,13 +335,13 @@ def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity:
                 [batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(byte_texts(batch.column(1)), shingle)], type=pa.list_(pa.int64()))], names=["node", "found"]
             )
 
-    wanted = written(shared.select(F.col("node").alias("_row")).distinct(), "nodes")
-    sets = written(keys.select("_row", "_text").join(wanted, "_row", "left_semi").mapInArrow(scan, "node long, found array<long>"), "sets")
-    discard(wanted)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """All pairs are held against whole sets; in passes, so that a part of the sets is on disk at a time."""
-        near = written(pairs.where(F.least("x", "y") >= F.greatest("x", "y") * similarity - 1e-9).select("a", "b").distinct(), "near")
+        """All pairs that are possible are held against whole sets; in passes, so that a part of the sets is on disk at a time."""
+        near = written(possible_pairs(pairs, classes, similarity), "near")
+        release(near.sparkSession)
+        wanted = written(near.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "nodes")
+        sets = written(keys.select("_row", "_text").join(wanted, "_row", "left_semi").mapInArrow(scan, "node long, found array<long>"), "sets")
+        discard(wanted)  # and the texts' shuffle
         links = None
         for k in range(PASSES):
             mine = F.pmod(F.xxhash64("a"), F.lit(PASSES)) == k
@@ -311,11 +350,11 @@ def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity:
             part = written(both.where(F.col("n") / (F.col("m") - F.col("n")) >= similarity).select("a", "b"), "links")
             links = part if links is None else links.union(part)
             release(near.sparkSession)  # the sets' shuffles
-        discard(near)
+        discard(near, sets)
         return links
 
     of_size = written(shared.select("node", "size").distinct(), "sizes")
-    likely = fingerprint_pairs(fingerprints(keys.select("_row", "_text").join(of_size.select(F.col("node").alias("_row")), "_row", "left_semi"), shingle, 1, "_row", "_text").withColumnRenamed("_id", "node"))
+    likely = fingerprint_pairs(classes.select("node", "f0").join(of_size, "node", "left_semi"))
     likely = likely.join(of_size.toDF("a", "x"), "a").join(of_size.toDF("b", "y"), "b")
     printed = verified(likely)
     together = written(components(printed), "together")
@@ -330,7 +369,7 @@ def similar_links(entries: DataFrame, keys: DataFrame, shingle: int, similarity:
     one = apart.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("component").alias("c"))
     two = apart.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("component").alias("d"))
     second = verified(one.join(two, "key").where("a < b and c <> d"))
-    discard(apart, sets)
+    discard(apart)
     return first.union(second)
 
 
@@ -353,19 +392,28 @@ def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id
     def scan(batches):
         common, often = sent.value
         for batch in batches:
-            digest, size, heads = [], [], []
-            for s in shingle_sets(byte_texts(batch.column(2)), shingle):
+            texts = byte_texts(batch.column(2))
+            digest, size, heads, bits = [], [], [], []
+            for s in shingle_sets(texts, shingle):
                 digest.append(xxhash.xxh3_128_digest(s.tobytes())), size.append(len(s))
-                heads.append(prefix(s, similarity, common, often).view(np.int64))
+                heads.append(prefix(s, similarity, common, often).view(np.int64)), bits.append(parities(s).view(np.int64))
+            f0 = np.array([fingerprint(t, shingle, 1)[0] for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digest, type=pa.binary()), pa.array(size, type=pa.int32()), pa.array(heads, type=pa.list_(pa.int64()))],
-                names=["_row", "_order", "digest", "size", "heads"],
+                [
+                    batch.column(0), batch.column(1), pa.array(digest, type=pa.binary()), pa.array(size, type=pa.int32()), _signed(f0),
+                    pa.array(heads, type=pa.list_(pa.int64())), pa.array(bits, type=pa.list_(pa.int64())),
+                ],
+                names=["_row", "_order", "digest", "size", "f0", "heads", "bits"],
             )
 
-    found = keys.mapInArrow(scan, f"_row long, _order {dict(keys.dtypes)['_order']}, digest binary, size int, heads array<long>")
+    found = keys.mapInArrow(scan, f"_row long, _order {dict(keys.dtypes)['_order']}, digest binary, size int, f0 long, heads array<long>, bits array<long>")
     least = F.min(F.struct(F.col("_order").isNull().alias("a"), F.col("_order").alias("b"), F.col("_row").alias("c"))).alias("least")
-    classes = written(found.groupBy("digest").agg(least, F.min("_row").alias("node"), F.first("size").alias("size"), F.first("heads").alias("heads")).drop("digest"), "classes")
-    joined = components(similar_links(classes.select(F.explode("heads").alias("key"), "node", "size"), keys, shingle, similarity))
+    own = F.min(F.struct("_row", "f0")).alias("own")
+    whole = written(found.groupBy("digest").agg(least, own, *[F.first(c).alias(c) for c in ("size", "heads", "bits")]).drop("digest"), "heads")
+    release(df.sparkSession)
+    whole = whole.withColumn("node", F.col("own._row"))
+    classes = written(whole.select("node", "least", F.col("own.f0").alias("f0"), "bits"), "classes")
+    joined = components(similar_links(whole.select("node", "size", "heads"), classes, keys, shingle, similarity))
     first = classes.select("node", "least").join(joined, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("first"))
     kept = written(first.select(F.col("first.c").alias("_row")), "kept")
     return rows.join(kept, "_row", "left_semi").drop("_row").toDF(*df.columns)

@@ -16,7 +16,7 @@ from helpers import SF, document, texts
 from pyspark.sql import functions as F
 
 from statewise.llm import attention, html_tree, pfair, phrases, randomness, seeds, simhash, toxicity
-from statewise.llm.common import Words, components
+from statewise.llm.common import Words, components, mixed, written
 from statewise.llm.html_labels import labelled_pages
 from statewise.llm.queries import QUERIES
 from statewise.llm.token_counts import token_counts
@@ -256,6 +256,37 @@ def test_groups_link_at_the_exact_similarity(spark):
     assert {r.doc_id for r in simhash.first_of_groups(df).collect()} == want
 
 
+def test_parities_bound_the_difference_of_two_sets():
+    """Never above the true difference; for sets far apart above what similar ones can differ in, so whole sets stay home."""
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 0), (0, 3), (1, 1), (60, 70), (64, 65), (400, 512), (513, 420), (5000, 4100)):
+        for equal in (0, min(n, m, 1), min(n, m) // 2, min(n, m) * 9 // 10, min(n, m)):
+            pool = np.unique(rng.integers(0, 1 << 63, n + m + 10, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            pool = mixed(rng.permutation(pool))
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:equal], pool[n:n + m - equal]]))
+            bound = simhash.apart_at_least(simhash.parities(a), simhash.parities(b))
+            assert bound <= len(np.setxor1d(a, b)) == n + m - 2 * equal
+            assert equal * 2 > min(n, m) or n < 60 or bound > (n + m) / 9
+
+
+def test_only_possible_pairs_bring_their_whole_sets(spark, monkeypatch):
+    """Texts that share a rare passage but little else meet by their parities alone."""
+    seen = []
+    possible = simhash.possible_pairs
+
+    def watched(*given):
+        found = written(possible(*given), "possible")
+        seen.extend((r.a, r.b) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(simhash, "possible_pairs", watched)
+    rows = [(i, f"rare passage {i // 2} of six words " + " ".join(f"v{i}x{j}" for j in range(100))) for i in range(40)]
+    rows += [(40, rows[0][1] + " tail"), (41, "short"), (42, "short ones")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.first_of_groups(df).collect()} == set(range(40)) | {41, 42}
+    assert len(seen) == 1
+
+
 def test_groups_equal_those_of_all_pairs(spark, small):
     docs = [(i, t.lower().split()) for i, t in texts(small)]
     sets = [(i, {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))}) for i, w in docs]
