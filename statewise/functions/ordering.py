@@ -59,6 +59,13 @@ def settled(df: DataFrame, limit: int = ROWS_PER_BUCKET) -> tuple[DataFrame, boo
     return kept, fits_one_task(kept, limit)
 
 
+def dealt(df: DataFrame, rows: int, *columns: str, limit: int = 1 << 19) -> DataFrame:
+    """``df`` of so many ``rows`` by ``columns``, in partitions of about ``limit`` rows where the session's
+    number of shuffle partitions would give larger ones; else as it is, and AQE decides."""
+    parts = -(-rows // limit)
+    return df.repartition(parts, *columns) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of an aggregate that has exactly one row."""
     return df.crossJoin(F.broadcast(one_row))

@@ -11,10 +11,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.functions.ordering import attach, attach_scalar, exact_quantiles, reread
+from statewise.functions.ordering import attach, attach_scalar, dealt, exact_quantiles, reread
 from statewise.operators.metrics import regression_metrics, split_conformal
 from statewise.operators.ranks import tail_class, zscore_within
 from statewise.operators.regression import _square, moments, predict
@@ -374,36 +374,43 @@ def _cardinal(u):
             .when(u < 3, (p(4 - u) - 4 * p(3 - u)) / 6).otherwise(p(4 - u) / 6))
 
 
-def _basis(df: DataFrame, family: str, dose: str) -> tuple[DataFrame, list[str]]:
+def _basis(family: str, dose: str) -> dict[str, Column]:
     x = F.col(dose)
     if family == "null":
-        return df, []
+        return {}
     if family == "linear":
-        return df.withColumn("__b0", x), ["__b0"]
+        return {"__b0": x}
     if family == "breakpoint":
-        return df.withColumns({"__b0": x, "__b1": F.greatest(x - F.col("dose_median"), F.lit(0.0))}), ["__b0", "__b1"]
+        return {"__b0": x, "__b1": F.greatest(x - F.col("dose_median"), F.lit(0.0))}
     if family == "spline":
         u = (F.least(F.greatest(x, F.col("dose_min")), F.col("dose_max") - 1e-12) - F.col("dose_min")) / F.greatest((F.col("dose_max") - F.col("dose_min")) / SPLINE_PARTS, F.lit(1e-12))
-        names = [f"__b{i}" for i in range(SPLINE_PARTS + 2)]
-        return df.withColumns({n: _cardinal(u - i + 3) for i, n in enumerate(names)}), names
+        return {f"__b{i}": _cardinal(u - i + 3) for i in range(SPLINE_PARTS + 2)}
     if family == "hill":
-        v = F.greatest(x, F.lit(0.0))
-        curve = F.pow(v, F.col("exponent")) / (F.pow(v, F.col("exponent")) + F.pow(F.greatest(F.col("half"), F.lit(0.01)), F.col("exponent")))
-        return df.withColumn("__b0", curve), ["__b0"]
+        return {"__b0": _hill(dose, F.col("exponent"), F.col("half"))}
     raise ValueError(family)
 
 
+def _hill(dose: str, exponent: Column, half: Column) -> Column:
+    v = F.greatest(F.col(dose), F.lit(0.0))
+    return F.pow(v, exponent) / (F.pow(v, exponent) + F.pow(F.greatest(half, F.lit(0.01)), exponent))
+
+
+HILL = [(e, h) for e in (0.5, 1.0, 2.0, 4.0) for h in ("dose_q25", "dose_median", "dose_q75")]
+
+
 def dose_response(df: DataFrame, by: Sequence[str], fold: str, pair: str, guide: str, dose: str, y: str, quality: Sequence[str],
                   families: Sequence[str] = ("null", "linear", "spline", "breakpoint", "hill")) -> DataFrame:
     """Pair-centred fits per (by, held-out fold); each guide is predicted from its partner.
 
     Training rows are labelled with the fold they serve, so every statistic,
-    basis and moment matrix is one grouped aggregation over all folds at once;
-    the Hill grid is one more column and is chosen by AIC.
+    basis and moment matrix is one grouped aggregation over all folds at once.
+    The Hill grid is a column for each point until rows are centred on their pair, so that
+    the shuffle to the pairs does not carry it; it is chosen by AIC.
     """
     heldouts = df.select(*by, F.col(fold).alias("heldout")).distinct()
     train = df.join(heldouts, list(by)).filter(F.col(fold) != F.col("heldout")) if by else attach(df, heldouts, []).filter(F.col(fold) != F.col("heldout"))
     train, df = cut_lineage(train), cut_lineage(df)  # read by every family
+    served, rows = train.count(), df.count()
     keys = [*by, "heldout"]
     cuts = exact_quantiles(train, keys, dose, {"dose_q25": 0.25, "dose_median": 0.5, "dose_q75": 0.75})
     spread = train.groupBy(*keys).agg(F.min(dose).alias("dose_min"), F.max(dose).alias("dose_max"), *[F.avg(q).alias(f"__m_{q}") for q in quality], *[F.stddev_pop(q).alias(f"__s_{q}") for q in quality])
@@ -411,23 +418,24 @@ def dose_response(df: DataFrame, by: Sequence[str], fold: str, pair: str, guide:
     z = {f"__z_{q}": (F.col(q) - F.col(f"__m_{q}")) / F.when(F.col(f"__s_{q}") > 0, F.col(f"__s_{q}")).otherwise(1.0) for q in quality}
     train = train.join(stats, keys).withColumns(z)
     test = df.withColumn("heldout", F.col(fold)).join(stats, keys).withColumns(z)
-    grid = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("exponent"), F.col(h).alias("half")) for e in (0.5, 1.0, 2.0, 4.0) for h in ("dose_q25", "dose_median", "dose_q75")]))
+    met = dealt(train.filter(F.col(pair).isNotNull()), served, *keys, pair)
+    per = Window.partitionBy(*keys, pair)
     out = None
     for family in families:
         extra = ["exponent", "half"] if family == "hill" else []
-        tr = train.withColumn("__g", grid).select("*", "__g.*").drop("__g") if extra else train
-        tr, names = _basis(tr, family, dose)
-        x = [*names, *z]
-        w = [*keys, *extra, pair]
-        means = tr.groupBy(*w).agg(*[F.avg(c).alias(f"__a_{c}") for c in [*x, y]])
-        centred = tr.join(means, w).withColumns({f"__c_{c}": F.col(c) - F.col(f"__a_{c}") for c in [*x, y]})
+        made = {f"__h{i}": _hill(dose, F.lit(e), F.col(h)) for i, (e, h) in enumerate(HILL)} if extra else _basis(family, dose)
+        centred = met.withColumns(made).withColumns({f"__c_{c}": F.col(c) - F.avg(c).over(per) for c in [*made, *z, y]})
+        if extra:
+            points = [F.struct(F.lit(e).alias("exponent"), F.col(h).alias("half"), F.col(f"__c___h{i}").alias("__c___b0")) for i, (e, h) in enumerate(HILL)]
+            centred = centred.select(*keys, *[f"__c_{c}" for c in [*z, y]], F.inline(F.array(*points))).filter(F.col("half").isNotNull())
+        columns = _basis(family, dose)
+        x = [*columns, *z]
         fits = _pair_fits(moments(centred, [*keys, *extra], [f"__c_{c}" for c in x], f"__c_{y}", intercept=False), [*keys, *extra], len(x), 1.0 if family == "spline" else 1e-6)
         if extra:
             fits = fits.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("aic", "exponent", "half"))).filter("__k = 1").drop("__k")
-        te = test.join(fits, keys)
-        te, _ = _basis(te, family, dose)
+        te = test.join(fits, keys).withColumns(columns)
         scored = te.withColumn("score", predict(te, x, "coef", intercept=False)).select(*by, "heldout", pair, guide, dose, y, "score")
-        part = _partner_predictions(scored, [*by, "heldout", pair], guide, dose, y).withColumn("family", F.lit(family))
+        part = _partner_predictions(dealt(scored, rows, *by, "heldout", pair), [*by, "heldout", pair], guide, dose, y).withColumn("family", F.lit(family))
         out = part if out is None else out.unionByName(part)
     return out
 
