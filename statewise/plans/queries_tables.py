@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statewise.functions import scalars as sc
+from statewise.functions.ordering import dealt
 from statewise.operators import contracts as ct
 from statewise.plans.bindings import DUCK, q6
 from statewise.plans.registry import query, with_views
@@ -69,7 +70,7 @@ def _(b):
     s AS (SELECT set_id, count(*) AS set_size FROM m GROUP BY set_id HAVING count(*) BETWEEN 2 AND 4)
     SELECT set_id, member, set_size FROM m JOIN s USING (set_id)""")
 def _(b):
-    lines = b.table("lineitem").groupBy("l_orderkey").agg(
+    lines = dealt(b.table("lineitem"), b.table("lineitem").count(), "l_orderkey").groupBy("l_orderkey").agg(
         F.concat_ws("\t", F.concat(F.lit("o"), "l_orderkey"), F.lit("note"),
                     F.collect_list(F.concat(F.lit("p"), "l_partkey"))).alias("value"))
     universe = b.table("part").filter("p_size > 10").select(F.concat(F.lit("P"), "p_partkey").alias("member"))

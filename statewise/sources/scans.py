@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statewise.functions.ordering import dealt
+
 
 def scan_table(
     spark: SparkSession,
@@ -102,9 +104,12 @@ def parse_gene_sets(
     members = lines.select(
         F.element_at(parts, 1).alias("set_id"),
         F.explode(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0)))).alias("member"),
-    ).select("set_id", F.upper("member").alias("member")).filter(F.col("member") != "").distinct()
+    ).select("set_id", F.upper("member").alias("member")).filter(F.col("member") != "")
+    rows = lines.agg(F.coalesce(F.sum(F.greatest(F.size(parts) - 2, F.lit(0))), F.lit(0))).first()[0]
+    members = dealt(members, rows, "set_id", "member").distinct()
     if universe is not None:
-        members = members.join(universe.select("member").distinct(), "member", "left_semi")
+        members = dealt(members, rows, "member").join(universe.select("member").distinct(), "member", "left_semi")
+    members = dealt(members, rows, "set_id")
     sizes = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("set_size"))
     keep = F.col("set_size") >= minimum
     if maximum is not None:
