@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewise.llm.common import texts_of, written
+from statewise.llm.common import slices, texts_of, written
 
 # Kinds and their patterns; the least length of what each must hold.
 KINDS = ("assign", "access", "hex", "random")
@@ -178,7 +178,7 @@ def _scored(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     def scan(batches):
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         run = pa.list_(pa.struct([(x, pa.int32()) for x in ("start", "end", "group", "score", "decoy")]))
-        for batch in batches:
+        for batch in slices(batches):
             base, runs = [], []
             for text in texts_of(batch.column(1)):
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in base_spans(text)])
@@ -233,7 +233,7 @@ def redact(df: DataFrame, mark: str = "[secret]", rate: float = RATE, text_colum
     place = df.columns.index(text_column)
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(place).to_pylist():
                 if text is not None:

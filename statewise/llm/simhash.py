@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewise.llm.common import Words, byte_texts, chunks, components, discard, lower_ascii, mixed, numbered, release, written
+from statewise.llm.common import Words, byte_texts, chunks, components, discard, lower_ascii, mixed, numbered, release, slices, written
 
 SEED = 42
 SMALL_RUN = 16  # entries of a key compared by shifted arrays, all pairs
@@ -272,7 +272,7 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame, similarity: float) -> D
     share = (1 - similarity) / (1 + similarity)  # of both sizes, the most that such sets can differ in
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b, x, y, p, q = (batch.column(c) for c in ("a", "b", "x", "y", "p", "q"))
             most = share * (np.asarray(x).astype(np.int64) + np.asarray(y)) + 1e-6
             left = np.fromiter((apart_at_least(np.asarray(u.values).view(np.uint64), np.asarray(v.values).view(np.uint64)) for u, v in zip(p, q, strict=True)), dtype=np.int64, count=len(most))
@@ -330,7 +330,7 @@ def similar_links(heads: DataFrame, classes: DataFrame, keys: DataFrame, shingle
     discard(heads)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(byte_texts(batch.column(1)), shingle)], type=pa.list_(pa.int64()))], names=["node", "found"]
             )
@@ -391,7 +391,7 @@ def first_of_groups(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id
 
     def scan(batches):
         common, often = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = byte_texts(batch.column(2))
             digest, size, heads, bits = [], [], [], []
             for s in shingle_sets(texts, shingle):

@@ -59,3 +59,17 @@ def test_near_duplicates_go_through_their_fingerprints(spark, odd, monkeypatch):
     df = spark.createDataFrame([document(1, long + " one end"), document(2, long + " another end"), document(3, "some other words that stand alone")], odd.schema)
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, df, SF).collect()) == [1, 3]
     assert seen == [(2, 1)]
+
+
+def test_scans_hold_a_piece_of_a_batch(spark, odd):
+    """Batches of any length go through in pieces, with every row once and in order."""
+    import pyarrow as pa
+
+    from statewise.llm.common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["x"])
+    got = list(slices(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in got] == [1024, 1024, 452] and [x for b in got for x in b.column(0).to_pylist()] == list(range(2500))
+    df = spark.createDataFrame([document(i, None if i % 7 == 0 else f"text {i} token = 'Zq8Lk2Vw9Xy3Rt5Mn7'") for i in range(3000)], odd.schema).coalesce(1)
+    kept = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["secrets"](spark, df, SF).collect()}
+    assert kept == {i: None if i % 7 == 0 else f"text {i} [secret]'" for i in range(3000)}
