@@ -121,9 +121,10 @@ def _cut(df: DataFrame, by: Sequence[str], value: str, limit: int, shape: DataFr
     return out.select(*df.columns, "__ord_b", F.col("__ord_cuts").isNotNull().alias("__ord_big"), heavy.alias("__ord_heavy"))
 
 
-def _shift(df: DataFrame, by: Sequence[str], cells: Sequence[str], sums: Mapping[str, Column], whole: str | None = None) -> DataFrame:
-    """Join per-cell totals of the cells before each (group, cell); ``whole`` names the group total of the first."""
-    totals = df.groupBy(*by, *cells).agg(*[F.sum(c).alias(f"__ord_o_{k}") for k, c in sums.items()])
+def _shift(df: DataFrame, by: Sequence[str], cells: Sequence[str], sums: Mapping[str, Column], whole: str | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """Join per-cell totals of the cells before each (group, cell); ``whole`` names the group total of the first.
+    ``counted`` holds the same rows of ``by`` and ``cells``, where they are cheaper to read."""
+    totals = (df if counted is None else counted).groupBy(*by, *cells).agg(*[F.sum(c).alias(f"__ord_o_{k}") for k, c in sums.items()])
     before = Window.partitionBy(*by).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
     group = [F.sum(f"__ord_o_{next(iter(sums))}").over(Window.partitionBy(*by)).alias(whole)] if whole else []
     shifts = totals.select(
@@ -232,23 +233,29 @@ def rank_first(
 
 
 def hash_rank(
-    df: DataFrame, by: Sequence[str], hashed: str, key: Sequence[str], out: str, size: str | None = None,
-    limit: int = ROWS_PER_BUCKET, n_out: str | None = None,
+    df: DataFrame, by: Sequence[str], hashed: str | Column, key: Sequence[str], out: str, size: str | None = None,
+    limit: int = ROWS_PER_BUCKET, n_out: str | None = None, ahead: Mapping[str, str] | None = None, opens: str | None = None,
 ) -> DataFrame:
     """0-based position inside the group by (hash, key).
 
     Hashes are uniform, so their prefix gives even buckets without a sketch.
     ``size`` names a column with the group size; without it every group is cut.
-    ``n_out`` adds the size of the group.
+    ``n_out`` adds the size of the group. A ``hashed`` expression is worked out again where
+    the rows have met, so no digest is shuffled. ``ahead`` names columns that take those of the row
+    at the next position, null for the last of a bucket, and ``opens`` one that marks a bucket's first.
     """
     prefix = F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
     bucket = F.when(F.col(size) > limit, prefix).otherwise(0) if size else prefix
     # numbered before they meet the shifts: the join then finds its rows in order and sorts them no second time
+    work = counted = df.withColumn("__ord_b", bucket)
+    if isinstance(hashed, Column):
+        work, hashed = work.repartition(*by, "__ord_b").withColumn("__ord_h", hashed), "__ord_h"
     local = Window.partitionBy(*by, "__ord_b").orderBy(hashed, *key)
-    work = df.withColumn("__ord_b", bucket).withColumn("__ord_r", F.row_number().over(local))
-    work = _shift(work, by, ["__ord_b"], {"c": F.lit(1)}, "__ord_n")
+    work = work.withColumns({"__ord_r": F.row_number().over(local), **{n: F.lead(c).over(local) for c, n in (ahead or {}).items()}})
+    work = _shift(work, by, ["__ord_b"], {"c": F.lit(1)}, "__ord_n", counted)
     return work.select(*df.columns, (F.col("__ord_r") - 1 + F.col("__ord_o_c")).cast("bigint").alias(out),
-                       *([F.col("__ord_n").alias(n_out)] if n_out else []))
+                       *([F.col("__ord_n").alias(n_out)] if n_out else []), *(ahead or {}).values(),
+                       *([(F.col("__ord_r") == 1).alias(opens)] if opens else []))
 
 
 def unit_index(units: DataFrame, key: Sequence[str], by: Sequence[str] = (), out: str = "idx",

@@ -27,7 +27,7 @@ from statewise.functions.ordering import (
     weighted_quantiles,
 )
 from statewise.functions.tails import normal_two_sided
-from statewise.session import cut_lineage
+from statewise.session import cut_lineage, discard, written
 
 
 # bootstraps
@@ -316,24 +316,33 @@ def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds:
     (a,d),(c,b). A pair is kept only when both proposals are no self edge, occur
     once in the round and are not present already; so every in- and out-degree
     and simplicity survive. Lineage is cut in each round. Only the few proposals
-    that fail come back to the pairs.
+    that fail come back to the pairs. The tables and shuffles of a round go when the next has its pairs.
 
     A replicate goes on until it has ``swaps_per_edge`` accepted swaps an edge, or
     for ``rounds`` rounds. Each row carries its replicate's ``successful_swaps``
     and ``status``: ok, or incomplete_swap when the rounds ended first.
     """
     current = edges.select(F.col(source).alias("a"), F.col(target).alias("b"), F.explode(replicates(count)).alias("replicate"))
+    over: list[DataFrame] = []
     sizes = cut_lineage(edges.agg(F.count(F.lit(1)).alias("n")))
     wanted = math.ceil(swaps_per_edge * sizes.first()[0])
     accepted = edges.sparkSession.range(count).select(F.col("id").alias("replicate"), F.lit(0).cast("bigint").alias("successful_swaps"))
     for i in range(rounds):
-        hashed = attach_scalar(current, sizes).withColumn("h", digest(seed, i, F.col("replicate"), F.col("a"), F.col("b")))
-        placed = hash_rank(hashed, ["replicate"], "h", ["a", "b"], "pos", size="n")
-        # both rows of a pair lie side by side, so all but a few are merged before they are shuffled
+        hashed = digest(seed, i, F.col("replicate"), F.col("a"), F.col("b"))
+        placed = hash_rank(attach_scalar(current, sizes), ["replicate"], hashed, ["a", "b"], "pos", size="n", ahead={"a": "c", "b": "d"}, opens="opens")
+        # both rows of a pair lie side by side; only a pair that two buckets share is put together by a shuffle
+        even = F.col("pos") % 2 == 0
+        whole = even & F.col("c").isNotNull()
+        kept = written(placed.filter(even | F.col("opens")).select(
+            "replicate", F.when(~whole, F.col("pos")).alias("pos"), "a", "b", *[F.when(whole, F.col(x)).alias(x) for x in "cd"]), "pairs")
+        if over:
+            discard(*over)
         side = lambda c, odd: F.max(F.when(F.col("pos") % 2 == odd, F.col(c)))
-        pairs = cut_lineage(placed.groupBy("replicate", F.floor(F.col("pos") / 2).alias("pair")).agg(
-            side("a", 0).alias("a"), side("b", 0).alias("b"), side("a", 1).alias("c"), side("b", 1).alias("d"), F.count(F.lit(1)).alias("k")).drop("pair"))
-        taken = cut_lineage(_taken(pairs))
+        halves = kept.filter("pos IS NOT NULL").groupBy("replicate", F.floor(F.col("pos") / 2).alias("pair")).agg(
+            side("a", 0).alias("a"), side("b", 0).alias("b"), side("a", 1).alias("c"), side("b", 1).alias("d"), F.count(F.lit(1)).alias("k")).drop("pair")
+        pairs = kept.filter("pos IS NULL").drop("pos").withColumn("k", F.lit(2).cast("bigint")).unionByName(halves)
+        taken = written(_taken(pairs), "taken")
+        over = [kept, taken]
         going = F.broadcast(accepted.filter(F.col("successful_swaps") < wanted).select("replicate", F.lit(True).alias("going")))  # a row for each replicate at most
         few = taken.limit(FEW_TAKEN + 1).count() <= FEW_TAKEN
         judged = pairs.join(going, "replicate", "left")
@@ -349,7 +358,9 @@ def rewire_edges(edges: DataFrame, source: str, target: str, count: int, rounds:
             break
     status = F.when(F.col("successful_swaps") >= wanted, "ok").otherwise("incomplete_swap")
     done = F.broadcast(accepted.withColumn("status", status))
-    return cut_lineage(current).join(done, "replicate").select("replicate", F.col("a").alias(source), F.col("b").alias(target), "successful_swaps", "status")
+    last = written(current, "rewired")
+    discard(*over)
+    return last.join(done, "replicate").select("replicate", F.col("a").alias(source), F.col("b").alias(target), "successful_swaps", "status")
 
 
 FEW_TAKEN = 200_000  # rejected proposals that are sent to the pairs; more are joined
@@ -363,10 +374,37 @@ def _taken(pairs: DataFrame) -> DataFrame:
     """Proposed edges (replicate, x, y) that are there already or are proposed twice: few in a sparse graph."""
     now = pairs.select("replicate", F.lit(0).alias("proposed"), F.explode(F.when(F.col("k") == 2, _edges("ab", "cd")).otherwise(_edges("ab"))).alias("e"))
     then = pairs.filter("k = 2").select("replicate", F.lit(1).alias("proposed"), F.explode(_edges("ad", "cb")).alias("e"))
-    met = now.unionByName(then).select("replicate", "e.x", "e.y", "proposed").groupBy("replicate", "x", "y").agg(F.count(F.lit(1)).alias("times"), F.max("proposed").alias("proposed"))
+    every = now.unionByName(then).select("replicate", "e.x", "e.y", "proposed")
+    # 63 bits of a hash and the mark travel instead of the edges; those that meet are then compared as they are
+    key = F.shiftrightunsigned(F.xxhash64("replicate", "x", "y"), 1)
+    sent = every.select(F.shiftleft(key, 1).bitwiseOR(F.col("proposed").cast("bigint")).alias("h")).repartition(F.shiftrightunsigned("h", 1))
+    again = sent.groupBy(F.shiftrightunsigned("h", 1).alias("h")).agg(F.count(F.lit(1)).alias("times"), F.max(F.col("h").bitwiseAND(F.lit(1).cast("bigint"))).alias("proposed"))
+    again = written(again.filter("times > 1 AND proposed = 1").select("h"), "met")
+    if again.limit(FEW_TAKEN + 1).count() <= FEW_TAKEN:
+        every = every.join(F.broadcast(again), key == again["h"], "left_semi")
+    met = every.groupBy("replicate", "x", "y").agg(F.count(F.lit(1)).alias("times"), F.max("proposed").alias("proposed"))
     return met.filter("times > 1 AND proposed = 1").select("replicate", "x", "y")
 
 
+def rewiring_invariants(rewired: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Per replicate: edges, swaps and status, repeated and self edges and degree errors (must be 0)."""
+    tags = rewired.groupBy("replicate").agg(
+        F.count(F.lit(1)).alias("edges"), F.max("successful_swaps").alias("successful_swaps"), F.max("status").alias("status"),
+        F.sum((F.col(source) == F.col(target)).cast("bigint")).alias("self_edges"))
+    again = rewired.groupBy(source, target, "replicate").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("replicate").agg(F.sum("n").alias("repeated_edges"))
+    return tags.join(again, "replicate").join(_wrong_degrees(rewired, edges, source, target), "replicate")
+
+
+def _wrong_degrees(rewired: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    wrong = None
+    for side in (source, target):
+        then = edges.groupBy(side).agg(F.count(F.lit(1)).alias("d0"))
+        now = rewired.groupBy("replicate", side).agg(F.count(F.lit(1)).alias("d1"))
+        bad = now.join(then, side, "left").groupBy("replicate").agg(F.sum((~F.col("d0").eqNullSafe(F.col("d1"))).cast("bigint")).alias(f"wrong_{side}"))
+        wrong = bad if wrong is None else wrong.join(bad, "replicate")
+    return wrong
+
+
 def rewiring_report(rewired: DataFrame, edges: DataFrame, source: str, target: str, reference: DataFrame) -> DataFrame:
     """Per replicate: edges, swaps and status, edges changed, repeated and self edges and degree errors
     (must be 0), and overlap with a reference set."""
@@ -380,13 +418,7 @@ def rewiring_report(rewired: DataFrame, edges: DataFrame, source: str, target: s
         F.sum(n).alias("edges"), F.max("successful_swaps").alias("successful_swaps"), F.max("status").alias("status"),
         F.sum(n - 1).alias("repeated_edges"), F.sum(F.when(F.col(source) == F.col(target), n).otherwise(0)).alias("self_edges"),
         F.sum(F.when(F.col("__same").isNull(), n).otherwise(0)).alias("changed"), F.sum(F.when(F.col("__ref").isNotNull(), n).otherwise(0)).alias("reference_overlap"))
-    wrong = None
-    for side in (source, target):
-        then = edges.groupBy(side).agg(F.count(F.lit(1)).alias("d0"))
-        now = rewired.groupBy("replicate", side).agg(F.count(F.lit(1)).alias("d1"))
-        bad = now.join(then, side, "left").groupBy("replicate").agg(F.sum((~F.col("d0").eqNullSafe(F.col("d1"))).cast("bigint")).alias(f"wrong_{side}"))
-        wrong = bad if wrong is None else wrong.join(bad, "replicate")
-    return base.join(wrong, "replicate")
+    return base.join(_wrong_degrees(rewired, edges, source, target), "replicate")
 
 
 # p-values and multiplicity
